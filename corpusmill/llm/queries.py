@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import p1_copies
+from . import p1_copies, p7_leaks, p8_encode
 from .common import table
 
 
@@ -16,3 +16,25 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p1_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with words, its class and the copies of the class."""
     return p1_copies.copies(table(spark, sf_dir, "documents"))
+
+
+def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p7_leaks.items(*(table(spark, sf_dir, f"domain_{t}") for t in ("surface", "application", "recall")))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document and evaluation item it leaks."""
+    return p7_leaks.leaks(table(spark, sf_dir, "documents"), _items(spark, sf_dir))
+
+
+def p7_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The leaked stretches, in characters of the original text."""
+    return p7_leaks.leak_spans(table(spark, sf_dir, "documents"), _items(spark, sf_dir))
+
+
+def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ids of every document."""
+    return p8_encode.encode(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {k: v for k, v in list(globals().items()) if k[0] == "p" and k[1:2].isdigit() and callable(v)}
