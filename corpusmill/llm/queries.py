@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import p1_copies, p7_leaks, p8_encode
-from .common import table
+from . import p1_copies, p3_versions, p7_leaks, p8_encode
+from .common import Durable, table
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +18,15 @@ def p1_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p1_copies.copies(table(spark, sf_dir, "documents"))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every version but the first of its group; of copies only the first takes part."""
+    docs = table(spark, sf_dir, "documents")
+    work = Durable(spark)
+    again = p1_copies.repeated(docs, work).select("doc_id")
+    got = p3_versions.groups(docs.join(again, "doc_id", "left_anti"), threshold=0.5, work=work)
+    return got.select(F.col("root").alias("first_id"), F.col("id").alias("doc_id"))
+
+
 def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p7_leaks.items(*(table(spark, sf_dir, f"domain_{t}") for t in ("surface", "application", "recall")))
 
