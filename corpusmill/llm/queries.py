@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import p1_copies, p3_versions, p7_leaks, p8_encode
+from . import p1_copies, p3_versions, p5_quality, p7_leaks, p8_encode, p10_residue
 from .common import Durable, table
 
 
@@ -27,6 +27,25 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select(F.col("root").alias("first_id"), F.col("id").alias("doc_id"))
 
 
+def _hosted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with the source as the host whose lines may recur."""
+    return table(spark, sf_dir, "documents").select("doc_id", "text", F.col("source").alias("host"))
+
+
+def _common(spark: SparkSession, sf_dir: str) -> set[str]:
+    return p5_quality.common_words(table(spark, sf_dir, "common_words"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that are mostly not natural prose."""
+    return p5_quality.not_prose(_hosted(spark, sf_dir), _common(spark, sf_dir))
+
+
+def p5_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality statistics of every document."""
+    return p5_quality.statistics(table(spark, sf_dir, "documents"), _common(spark, sf_dir))
+
+
 def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p7_leaks.items(*(table(spark, sf_dir, f"domain_{t}") for t in ("surface", "application", "recall")))
 
@@ -46,4 +65,15 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p8_encode.encode(table(spark, sf_dir, "documents"))
 
 
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of template residue, filler, errors or script notices."""
+    return p10_residue.residue(_hosted(spark, sf_dir), _common(spark, sf_dir)).select("doc_id")
+
+
+def p10_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that remain without them."""
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", "source", "n_chars").join(p10_found(spark, sf_dir), "doc_id", "left_anti")
+
+
 QUERIES = {k: v for k, v in list(globals().items()) if k[0] == "p" and k[1:2].isdigit() and callable(v)}
