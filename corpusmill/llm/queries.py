@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import p1_copies, p3_versions, p5_quality, p7_leaks, p8_encode, p10_residue
+from . import p1_copies, p2_packing, p3_versions, p5_quality, p6_budget, p7_leaks, p8_encode, p10_residue
 from .common import Durable, table
 
 
@@ -18,6 +18,17 @@ def p1_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p1_copies.copies(table(spark, sf_dir, "documents"))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that fit a block, by the plan stand whole in one, and were cut by the earlier packing."""
+    return p2_packing.needlessly_cut(table(spark, sf_dir, "token_runs"), table(spark, sf_dir, "packed_blocks"))
+
+
+def p2_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All runs packed anew into blocks of the capacity of the earlier packing."""
+    capacity = p2_packing.capacity_of(table(spark, sf_dir, "packed_blocks"))
+    return p2_packing.blocks(table(spark, sf_dir, "token_runs"), capacity)
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every version but the first of its group; of copies only the first takes part."""
     docs = table(spark, sf_dir, "documents")
@@ -46,6 +57,21 @@ def p5_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p5_quality.statistics(table(spark, sf_dir, "documents"), _common(spark, sf_dir))
 
 
+def p6_token_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of runs and of texts by source, language and domain."""
+    return p6_budget.cube(p6_budget.document_tokens(table(spark, sf_dir, "documents"), table(spark, sf_dir, "token_runs")))
+
+
+def p6_document_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of each document, once."""
+    return p6_budget.document_tokens(table(spark, sf_dir, "documents"), table(spark, sf_dir, "token_runs"))
+
+
+def p6_run_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of runs alone by source, language and domain."""
+    return p6_budget.cube(p6_budget.document_tokens(table(spark, sf_dir, "documents"), table(spark, sf_dir, "token_runs"), None))
+
+
 def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p7_leaks.items(*(table(spark, sf_dir, f"domain_{t}") for t in ("surface", "application", "recall")))
 
