@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import p1_copies, p2_packing, p3_versions, p5_quality, p6_budget, p7_leaks, p8_encode, p10_residue
+from . import p1_copies, p2_packing, p3_versions, p5_quality, p6_budget, p7_leaks, p8_encode, p9_mixture, p10_residue
 from .common import Durable, table
 
 
@@ -91,6 +91,16 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p8_encode.encode(table(spark, sf_dir, "documents"))
 
 
+def p9_mixture_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of the mixture and how often each is used."""
+    return p9_mixture.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[0]
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and actual shares by source."""
+    return p9_mixture.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[1]
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents of template residue, filler, errors or script notices."""
     return p10_residue.residue(_hosted(spark, sf_dir), _common(spark, sf_dir)).select("doc_id")
