@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import p1_copies, p2_packing, p3_versions, p5_quality, p6_budget, p7_leaks, p8_encode, p9_mixture, p10_residue
+from . import p1_copies, p2_packing, p3_versions, p4_body, p5_quality, p6_budget, p7_leaks, p8_encode, p9_mixture, p10_residue
 from .common import Durable, table
 
 
@@ -38,6 +38,16 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select(F.col("root").alias("first_id"), F.col("id").alias("doc_id"))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of captured pages outside the main body."""
+    return p4_body.outside(table(spark, sf_dir, "web_captures"))
+
+
+def p4_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each captured page with its main body only."""
+    return p4_body.bodies(table(spark, sf_dir, "web_captures"))
+
+
 def _hosted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with the source as the host whose lines may recur."""
     return table(spark, sf_dir, "documents").select("doc_id", "text", F.col("source").alias("host"))
