@@ -1,3 +1,92 @@
-"""Every registered query of the corpus and evaluation pipeline."""
+"""Every registered query of the corpus and evaluation pipeline.
+
+Each takes (spark, sf_dir), reads whole tables, and has its statement in ``oracle.py``.  Corpus order
+is ``doc_id``.  Cleaning in the SQL-checked queries uses the Unicode form that DuckDB has, NFC.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from ..functions import text as T
+from ..operators import clean as C, corpus
+from ..session import table
 
 QUERIES: dict = {}
+SQL_CLEAN = C.CleanConfig(unicode_form="NFC")
+
+
+def query(f):
+    QUERIES[f.__name__] = f
+    return f
+
+
+def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents")
+
+
+@query
+def q_ingest_documents(spark, sf_dir):
+    return corpus.documents(docs(spark, sf_dir))
+
+
+@query
+def q_ingest_counts(spark, sf_dir):
+    return corpus.counts(corpus.documents(docs(spark, sf_dir)))
+
+
+@query
+def q_source_stats(spark, sf_dir):
+    return corpus.source_stats(corpus.documents(docs(spark, sf_dir)), table(spark, sf_dir, "mix_targets"))
+
+
+@query
+def q_line_stats(spark, sf_dir):
+    d = docs(spark, sf_dir).where(~T.is_blank("text"))
+    return d.select("doc_id", F.size(T.lines("text")).alias("line_count"), F.round(T.duplicate_line_ratio("text"), 6).alias("dup_ratio"))
+
+
+@query
+def q_char_ratios(spark, sf_dir):
+    d = docs(spark, sf_dir).where(F.col("text").isNotNull())
+    return d.select("doc_id", F.round(T.alphabetic_ratio("text"), 6).alias("alphabetic_ratio"), F.round(T.latin_ratio("text"), 6).alias("latin_ratio"))
+
+
+@query
+def q_normalize_text(spark, sf_dir):
+    c = C.clean(docs(spark, sf_dir), SQL_CLEAN)
+    return c.select("doc_id", "controls_removed", F.length("clean_text").alias("chars"), F.md5("clean_text").alias("hash"))
+
+
+@query
+def q_quality_reasons(spark, sf_dir):
+    c = C.clean(docs(spark, sf_dir), SQL_CLEAN)
+    return c.select("doc_id", F.array_join("reasons", ",").alias("reasons"))
+
+
+@query
+def q_discard_counts(spark, sf_dir):
+    return C.discard_counts(C.clean(docs(spark, sf_dir), SQL_CLEAN))
+
+
+@query
+def q_rejected_samples(spark, sf_dir):
+    return C.rejected_samples(C.clean(docs(spark, sf_dir), SQL_CLEAN))
+
+
+@query
+def q_clean_compatibility(spark, sf_dir):
+    """Cleaning with the default compatibility form; DuckDB has none, so tests hold it against Python."""
+    c = C.clean(docs(spark, sf_dir))
+    return c.select("doc_id", "line_count", F.length("clean_text").alias("chars"), F.array_join("reasons", ",").alias("reasons"))
+
+
+@query
+def q_html_text(spark, sf_dir):
+    return table(spark, sf_dir, "web_captures").where(F.col("text").isNotNull()).select("capture_id", F.md5(T.html_text("text")).alias("hash"))
+
+
+@query
+def q_shingle_counts(spark, sf_dir):
+    d = docs(spark, sf_dir).where(F.col("text").isNotNull()).withColumn("w", T.word_tokens("text"))
+    return d.select("doc_id", F.size("w").alias("words"), F.size(T.shingles(F.col("w"), 5)).alias("shingles"))

@@ -1,3 +1,95 @@
-"""The SQL that states the result of each query of the catalogue."""
+"""The SQL that states the result of each query of the catalogue, for DuckDB on the same tables."""
 
-ORACLE: dict[str, str] = {}
+from __future__ import annotations
+
+# The text model as RE2 patterns.
+_WS = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_NWS = r"[^\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_NL = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
+_W = r"[\p{L}\p{N}_]+"
+
+
+def low(x: str) -> str:
+    """Lower case as Unicode has it for the dotted capital I, which DuckDB maps to a plain i."""
+    return f"lower(replace({x}, 'İ', 'i̇'))"
+
+
+def strip(x: str) -> str:
+    return f"regexp_replace({x}, '^{_WS}+|{_WS}+$', '', 'g')"
+
+
+def lines(x: str) -> str:
+    s = f"string_split_regex({x}, '{_NL}')"
+    return f"(CASE WHEN {s}[-1] = '' THEN {s}[:-2] ELSE {s} END)"
+
+
+def key(x: str) -> str:
+    return low(strip(f"regexp_replace({x}, '{_WS}+', ' ', 'g')"))
+
+
+def count(x: str, pattern: str) -> str:
+    return f"len(regexp_extract_all({x}, '{pattern}'))"
+
+
+def blank(x: str) -> str:
+    return f"NOT coalesce(regexp_matches({x}, '{_NWS}'), false)"
+
+
+def tokens(x: str) -> str:
+    return f"regexp_extract_all({low(x)}, '{_W}')"
+
+
+def windows(w: str, k: str) -> str:
+    return f"list_transform(generate_series(1, greatest(len({w}) - {k} + 1, 1)), lambda i: array_to_string({w}[i:i + {k} - 1], ' '))"
+
+
+_RATIO = f"CASE WHEN len(keys) <= 1 THEN 0.0 ELSE (len(keys) - len(list_distinct(keys))) / len(keys) END"
+_EST = "CASE WHEN length(text) = 0 THEN 0 ELSE greatest(1, round_even(length(text) / 4.0, 0)::BIGINT) END"
+_ALPHA = lambda x: f"coalesce({count(x, r'\p{L}')} / nullif({count(x, _NWS)}, 0), 0.0)"
+_LATIN = lambda x: f"coalesce({count(x, r'\p{Latin}')} / nullif({count(x, r'\p{L}')}, 0), 0.0)"
+
+# Cleaning with NFC, step by step.
+CLEAN = f"""
+f AS (SELECT doc_id, nfc_normalize(text) AS t FROM documents WHERE NOT ({blank('text')})),
+k AS (SELECT doc_id, t, {lines('t')} AS ls, len({lines('t')}) AS line_count FROM f),
+r AS (SELECT doc_id, t, line_count, list_filter(list_transform(ls, lambda x: {key('x')}), lambda x: x <> '') AS keys FROM k),
+c AS (SELECT doc_id, line_count, {_RATIO} AS dup_ratio, len(regexp_extract_all(t, '\\p{{C}}')) - len(regexp_extract_all(t, '[\\n\\r\\t]')) AS controls_removed,
+             regexp_replace(t, '([\\n\\r\\t])|\\p{{C}}', '\\1', 'g') AS t FROM r),
+l AS (SELECT doc_id, line_count, dup_ratio, controls_removed, {lines('t')} AS ls FROM c),
+m AS (SELECT *, list_transform(ls, lambda x: {key('x')}) AS ks FROM l),
+n AS (SELECT doc_id, line_count, dup_ratio, controls_removed,
+             array_to_string(list_filter(ls, lambda x, i: ks[i] = '' OR list_position(ks, ks[i]) = i), chr(10)) AS t FROM m),
+p AS (SELECT * REPLACE (list_filter(list_transform(string_split(t, chr(10)), lambda x: {strip(r"regexp_replace(x, '[ \t\f\x0b]+', ' ', 'g')")}), lambda x: x <> '') AS t) FROM n),
+cleaned AS (SELECT doc_id, line_count, dup_ratio, controls_removed, {strip("array_to_string(t, chr(10))")} AS clean_text FROM p),
+judged AS (SELECT *, list_filter([
+    CASE WHEN length(clean_text) < 200 THEN 'too_short' END,
+    CASE WHEN {_ALPHA('clean_text')} < 0.25 THEN 'low_alphabetic_ratio' END,
+    CASE WHEN dup_ratio > 0.6 THEN 'high_duplicate_line_ratio' END,
+    CASE WHEN regexp_matches({low('clean_text')}, 'enable javascript|cookie policy|all rights reserved') THEN 'boilerplate_phrase' END,
+    CASE WHEN {_LATIN('clean_text')} < 0.8 THEN 'language_filter' END], lambda x: x IS NOT NULL) AS reasons FROM cleaned)"""
+
+_DOCS = f"""
+d AS (SELECT doc_id, sha256(source || chr(10) || source_uri)[1:24] AS stable_id, sha256(text) AS content_hash, octet_length(encode(text)) AS byte_length,
+             length(text) AS char_count, {_EST} AS estimated_tokens, source, source_role, source_group, source_type, license
+      FROM documents WHERE NOT ({blank('text')}))"""
+
+ORACLE: dict[str, str] = {
+    "q_ingest_documents": f"WITH {_DOCS} SELECT * FROM d",
+    "q_ingest_counts": f"""WITH {_DOCS}, x AS (
+SELECT 'total' AS kind, '*' AS value, byte_length, estimated_tokens FROM d UNION ALL
+SELECT 'source_role', coalesce(source_role, 'unspecified'), byte_length, estimated_tokens FROM d UNION ALL
+SELECT 'license', coalesce(license, 'unspecified'), byte_length, estimated_tokens FROM d UNION ALL
+SELECT 'source_group', coalesce(source_group, 'unspecified'), byte_length, estimated_tokens FROM d)
+SELECT kind, value, count(*) AS documents, sum(byte_length)::BIGINT AS bytes, sum(estimated_tokens)::BIGINT AS tokens FROM x GROUP BY kind, value""",
+    "q_source_stats": f"""WITH {_DOCS}
+SELECT m.source, count(d.doc_id) AS documents, coalesce(sum(byte_length), 0)::BIGINT AS bytes FROM (SELECT DISTINCT source FROM mix_targets) m LEFT JOIN d USING (source) GROUP BY m.source""",
+    "q_line_stats": f"""WITH k AS (SELECT doc_id, len({lines('text')}) AS line_count, list_filter(list_transform({lines('text')}, lambda x: {key('x')}), lambda x: x <> '') AS keys
+FROM documents WHERE NOT ({blank('text')})) SELECT doc_id, line_count, round({_RATIO}, 6) AS dup_ratio FROM k""",
+    "q_char_ratios": f"SELECT doc_id, round({_ALPHA('text')}, 6) AS alphabetic_ratio, round({_LATIN('text')}, 6) AS latin_ratio FROM documents WHERE text IS NOT NULL",
+    "q_normalize_text": f"WITH {CLEAN} SELECT doc_id, controls_removed, length(clean_text) AS chars, md5(clean_text) AS hash FROM cleaned",
+    "q_quality_reasons": f"WITH {CLEAN} SELECT doc_id, array_to_string(reasons, ',') AS reasons FROM judged",
+    "q_discard_counts": f"WITH {CLEAN} SELECT reason, count(*) AS n FROM (SELECT unnest(reasons) AS reason FROM judged) GROUP BY reason",
+    "q_rejected_samples": f"WITH {CLEAN} SELECT doc_id, array_to_string(reasons, ',') AS reasons, clean_text[1:240] AS preview FROM judged WHERE len(reasons) > 0 ORDER BY doc_id LIMIT 20",
+    "q_shingle_counts": f"""WITH w AS (SELECT doc_id, {tokens('text')} AS w FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, len(w) AS words, CASE WHEN len(w) = 0 THEN 0 ELSE len(list_distinct({windows('w', '5')})) END AS shingles FROM w""",
+}
