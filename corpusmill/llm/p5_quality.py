@@ -117,25 +117,25 @@ def _prose_words(lines: list[str], found: list[list[str]], common) -> int:
     return max(prose, by_line)
 
 
-def _repeat_share(text: str, total: int) -> float:
-    """Share of the words in sentences or lines that repeat an earlier one."""
-    seen: set[tuple] = set()
-    again = 0
-    for part in re.split(r"(?<=[.!?…])\s+|\n+", text):
-        w = tuple(_WORD.findall(part))
-        if len(w) >= 3:
-            if w in seen:
-                again += len(w)
-            seen.add(w)
+def _repeat_share(folded: str) -> float:
+    """Share of the characters in sentences and lines that repeat an earlier one."""
+    seen: set[str] = set()
+    again = total = 0
+    for part in folded.replace("\n", ".").replace("!", ".").replace("?", ".").split("."):
+        part = part.strip()
+        total += len(part)
+        if len(part) > 10:
+            if part in seen:
+                again += len(part)
+            seen.add(part)
     return again / max(total, 1)
 
 
 def _top_share(w: list[str]) -> float:
-    """Share of the characters that the n-gram covers that covers most."""
-    if len(w) < NGRAM:
-        return 0.0
-    top = max(Counter(zip(*(w[k:] for k in range(NGRAM)))).items(), key=lambda x: (x[1] * sum(map(len, x[0])), x[0]))
-    return min(1.0, top[1] * sum(map(len, top[0])) / sum(map(len, w))) if top[1] > 1 else 0.0
+    """Share of the characters that the n-gram covers that covers most; occurrences may overlap."""
+    counts = Counter(zip(*(w[k:] for k in range(NGRAM))))
+    most = max((c * sum(map(len, g)) for g, c in counts.items() if c > 1), default=0)
+    return min(1.0, most / max(sum(map(len, w)), 1))
 
 
 def _layout(text: str, common) -> tuple[list[str], list[list[str]], list[str], float, float]:
@@ -157,16 +157,19 @@ def _layout(text: str, common) -> tuple[list[str], list[list[str]], list[str], f
 def is_prose(text: str | None, common) -> bool | None:
     """Whether most of the text is natural prose in any language; None if it is null or blank.
 
-    Repetition is measured only where the words are few enough for it to be possible: a sentence or
-    n-gram above the limit leaves at most 1 - limit / 2 of the words different.
+    Repetition is measured only where it can be above its limit: what repeats more than that leaves
+    less than the rest, and one occurrence, to different words.
     """
     if not text or text.isspace():
         return None
     _, _, w, symbols, share = _layout(text, common)
     if not w or share < PROSE_SHARE or symbols > SYMBOL_SHARE:
         return False
-    if len(w) > 20 and len(set(w)) <= (1 - REPEAT_SHARE / 2) * len(w):
-        return _repeat_share(fold(text), len(w)) <= REPEAT_SHARE and _top_share(w) <= REPEAT_SHARE
+    if len(w) > 20:
+        different = set(w)
+        left = sum(map(len, different)) - NGRAM * max(map(len, different))
+        if left <= (1 - REPEAT_SHARE) * sum(map(len, w)):
+            return _repeat_share(fold(text)) <= REPEAT_SHARE and _top_share(w) <= REPEAT_SHARE
     return True
 
 
@@ -192,7 +195,7 @@ def measure(text: str | None, common) -> dict | None:
         "dup_paragraph_share": (len(paragraphs) - len(set(paragraphs))) / max(len(paragraphs), 1),
         "top_ngram_share": _top_share(w),
         "prose_share": share,
-        "repeat_share": _repeat_share(folded, n),
+        "repeat_share": _repeat_share(folded),
     }
 
 
