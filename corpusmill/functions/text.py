@@ -26,6 +26,15 @@ def col(c: Text) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once a row, however often the body names it.
+
+    The optimizer inlines columns into lambdas, where they would be computed for every element; a
+    lambda's own variable is not.
+    """
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def strip(c: Text) -> Column:
     """Without white space of any kind at either end."""
     return F.regexp_replace(col(c), f"^{SPACE}+|{SPACE}+$", "")
@@ -37,8 +46,7 @@ def is_blank(c: Text) -> Column:
 
 def lines(c: Text) -> Column:
     """The lines of a text; a final line end opens no further line; an empty text has none."""
-    parts = F.split(col(c), NEWLINE, -1)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    return let(F.split(col(c), NEWLINE, -1), lambda p: F.when(F.element_at(p, -1) == "", F.slice(p, 1, F.size(p) - 1)).otherwise(p))
 
 
 def line_key(line: Text) -> Column:
@@ -47,8 +55,7 @@ def line_key(line: Text) -> Column:
 
 def duplicate_line_ratio(c: Text) -> Column:
     keys = F.filter(F.transform(lines(c), line_key), lambda k: k != "")
-    n = F.size(keys)
-    return F.when(n <= 1, F.lit(0.0)).otherwise((n - F.size(F.array_distinct(keys))) / n)
+    return let(keys, lambda k: F.when(F.size(k) <= 1, F.lit(0.0)).otherwise((F.size(k) - F.size(F.array_distinct(k))) / F.size(k)))
 
 
 def remove_controls(c: Text) -> Column:
@@ -65,11 +72,14 @@ def remove_repeated_lines(c: Text) -> Column:
     Sorting (key, position) brings equal keys together, so the cost is n log n in the lines.
     """
     entries = F.array_sort(F.transform(lines(c), lambda x, i: F.struct(line_key(x).alias("k"), i.alias("i"), x.alias("x"))))
-    # Neighbours by zipping with the entries shifted by one: constant cost a line.
-    shifted = F.concat(F.array(F.lit(None).cast("string")), F.transform(F.slice(entries, 1, F.greatest(F.size(entries) - 1, F.lit(0))), lambda e: e["k"]))
-    pairs = F.zip_with(entries, shifted, lambda e, before: F.struct(e["i"].alias("i"), e["x"].alias("x"), ((e["k"] == "") | before.isNull() | (e["k"] != before)).alias("keep")))
-    kept = F.array_sort(F.filter(pairs, lambda p: p["keep"]))
-    return F.array_join(F.transform(kept, lambda p: p["x"]), "\n")
+
+    def first_of_key(e: Column) -> Column:
+        # Neighbours by zipping with the entries shifted by one: constant cost a line.
+        before = F.concat(F.array(F.lit(None).cast("string")), F.transform(F.slice(e, 1, F.greatest(F.size(e) - 1, F.lit(0))), lambda x: x["k"]))
+        pairs = F.zip_with(e, before, lambda x, k: F.struct(x["i"].alias("i"), x["x"].alias("x"), ((x["k"] == "") | k.isNull() | (x["k"] != k)).alias("keep")))
+        return F.array_join(F.transform(F.array_sort(F.filter(pairs, lambda p: p["keep"])), lambda p: p["x"]), "\n")
+
+    return let(entries, first_of_key)
 
 
 def collapse_whitespace(c: Text) -> Column:
@@ -133,18 +143,20 @@ def word_tokens(c: Text) -> Column:
 
 def windows(tokens: Column, size: int | Column) -> Column:
     """Every run of ``size`` tokens, joined by spaces; one run of all of them if there are fewer."""
-    n = F.size(tokens)
-    return F.transform(F.sequence(F.lit(1), F.greatest(n - size + 1, F.lit(1))), lambda i: F.array_join(F.slice(tokens, i, size), " "))
+    return let(
+        F.struct(tokens.alias("w"), (F.lit(size) if isinstance(size, int) else size).alias("k")),
+        lambda s: F.transform(F.sequence(F.lit(1), F.greatest(F.size(s["w"]) - s["k"] + 1, F.lit(1))), lambda i: F.array_join(F.slice(s["w"], i, s["k"]), " ")),
+    )
 
 
 def shingles(tokens: Column, size: int) -> Column:
     """The set of runs; empty without tokens."""
-    return F.when(F.size(tokens) == 0, F.array().cast("array<string>")).otherwise(F.array_distinct(windows(tokens, size)))
+    return let(tokens, lambda w: F.when(F.size(w) == 0, F.array().cast("array<string>")).otherwise(F.array_distinct(windows(w, size))))
 
 
 def ngrams(tokens: Column, size: int | Column) -> Column:
     """The set of runs; empty with fewer tokens than ``size``."""
-    return F.when(F.size(tokens) < size, F.array().cast("array<string>")).otherwise(F.array_distinct(windows(tokens, size)))
+    return let(tokens, lambda w: F.when(F.size(w) < size, F.array().cast("array<string>")).otherwise(F.array_distinct(windows(w, size))))
 
 
 def effective_ngram(tokens: Column, size: int) -> Column:
@@ -155,14 +167,14 @@ def effective_ngram(tokens: Column, size: int) -> Column:
 
 def repetition_ratio(c: Text, size: int = 4) -> Column:
     tokens = F.filter(F.split(F.lower(strip(c)), f"{SPACE}+"), lambda x: x != "")
-    n = F.size(tokens) - size + 1
-    return F.when(n <= 0, F.lit(0.0)).otherwise(1 - F.size(F.array_distinct(windows(tokens, size))) / n)
+    return let(tokens, lambda w: F.when(F.size(w) < size, F.lit(0.0)).otherwise(1 - F.size(F.array_distinct(windows(w, size))) / (F.size(w) - size + 1)))
 
 
 def lexical_drift(a: Text, b: Text) -> Column:
     """One less the Jaccard similarity of the lower-case tokens; 0 if both are empty."""
     x, y = (F.array_distinct(F.filter(F.split(F.lower(strip(v)), f"{SPACE}+"), lambda t: t != "")) for v in (a, b))
-    return F.when((F.size(x) == 0) & (F.size(y) == 0), F.lit(0.0)).otherwise(1 - F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y)))
+    both = F.struct(x.alias("x"), y.alias("y"))
+    return let(both, lambda s: F.when((F.size(s["x"]) == 0) & (F.size(s["y"]) == 0), F.lit(0.0)).otherwise(1 - F.size(F.array_intersect(s["x"], s["y"])) / F.size(F.array_union(s["x"], s["y"]))))
 
 
 def byte_tokens(c: Text) -> Column:

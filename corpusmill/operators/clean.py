@@ -24,20 +24,25 @@ class CleanConfig:
 
 def quality_reasons(clean: Column, ratio: Column, config: CleanConfig) -> Column:
     """Every reason to reject a normalized text, in fixed order; all comparisons are strict."""
-    low = F.lower(clean)
-    phrases = [F.contains(low, F.lit(p.lower())) for p in config.boilerplate]
-    tests = [("too_short", F.length(clean) < config.min_chars)]
-    if config.max_chars is not None:
-        tests.append(("too_long", F.length(clean) > config.max_chars))
-    tests += [
-        ("low_alphabetic_ratio", T.alphabetic_ratio(clean) < config.min_alphabetic_ratio),
-        ("high_duplicate_line_ratio", ratio > config.max_duplicate_line_ratio),
-    ]
-    if phrases:
-        tests.append(("boilerplate_phrase", F.greatest(*phrases) if len(phrases) > 1 else phrases[0]))
-    if config.language == "en":
-        tests.append(("language_filter", T.latin_ratio(clean) < config.min_latin_ratio))
-    return F.array_compact(F.array(*(F.when(t, F.lit(name)) for name, t in tests)))
+
+    def reasons(s: Column) -> Column:
+        text, dup = s["text"], s["dup"]
+        low = F.lower(text)
+        phrases = [F.contains(low, F.lit(p.lower())) for p in config.boilerplate]
+        tests = [("too_short", F.length(text) < config.min_chars)]
+        if config.max_chars is not None:
+            tests.append(("too_long", F.length(text) > config.max_chars))
+        tests += [
+            ("low_alphabetic_ratio", T.alphabetic_ratio(text) < config.min_alphabetic_ratio),
+            ("high_duplicate_line_ratio", dup > config.max_duplicate_line_ratio),
+        ]
+        if phrases:
+            tests.append(("boilerplate_phrase", F.greatest(*phrases) if len(phrases) > 1 else phrases[0]))
+        if config.language == "en":
+            tests.append(("language_filter", T.latin_ratio(text) < config.min_latin_ratio))
+        return F.array_compact(F.array(*(F.when(t, F.lit(name)) for name, t in tests)))
+
+    return T.let(F.struct(clean.alias("text"), ratio.alias("dup")), reasons)
 
 
 def clean(docs: DataFrame, config: CleanConfig = CleanConfig()) -> DataFrame:

@@ -90,3 +90,103 @@ def q_html_text(spark, sf_dir):
 def q_shingle_counts(spark, sf_dir):
     d = docs(spark, sf_dir).where(F.col("text").isNotNull()).withColumn("w", T.word_tokens("text"))
     return d.select("doc_id", F.size("w").alias("words"), F.size(T.shingles(F.col("w"), 5)).alias("shingles"))
+
+
+# --- deduplication ---------------------------------------------------------------------------
+
+from ..operators import contamination as K, dedup as D  # noqa: E402
+
+NEAR = 0.6
+
+
+def _texts(spark, sf_dir):
+    return docs(spark, sf_dir).where(~T.is_blank("text")).select("doc_id", "text", "source", "source_role")
+
+
+@query
+def q_minhash_signature(spark, sf_dir):
+    s = D.signatures(_texts(spark, sf_dir))
+    return s.select("doc_id", F.md5(F.array_join("sig", ",")).alias("sig"))
+
+
+@query
+def q_lsh_candidates(spark, sf_dir):
+    return D.candidate_pairs(D.signatures(_texts(spark, sf_dir)), 0.0).select("a", "b", F.round("sim", 6).alias("sim"))
+
+
+@query
+def q_near_dup_pairs(spark, sf_dir):
+    return D.candidate_pairs(D.signatures(_texts(spark, sf_dir)), NEAR).select("a", "b", F.round("sim", 6).alias("sim"))
+
+
+@query
+def q_exact_dedup(spark, sf_dir):
+    return D.decide(_texts(spark, sf_dir), near=False)
+
+
+@query
+def q_dedup_decisions(spark, sf_dir):
+    return D.decide(_texts(spark, sf_dir), threshold=NEAR).select("doc_id", "status")
+
+
+@query
+def q_dedup_report(spark, sf_dir):
+    return D.report(D.decide(_texts(spark, sf_dir), threshold=NEAR))
+
+
+# --- contamination ---------------------------------------------------------------------------
+
+
+def _examples(spark, sf_dir):
+    return K.examples(*(table(spark, sf_dir, f"domain_{t}") for t in ("surface", "application", "recall")), form="NFC")
+
+
+def _cleaned(spark, sf_dir):
+    return C.clean(docs(spark, sf_dir), SQL_CLEAN).select("doc_id", "clean_text", "source_role")
+
+
+@query
+def q_eval_examples(spark, sf_dir):
+    return _examples(spark, sf_dir).select("example_id", "task_id", "kind", "prompt", "answer", "raw_hash", "hash")
+
+
+@query
+def q_eval_counts(spark, sf_dir):
+    return K.example_counts(_examples(spark, sf_dir))
+
+
+@query
+def q_eval_coverage(spark, sf_dir):
+    return K.missing_kinds(_examples(spark, sf_dir))
+
+
+@query
+def q_contam_exact(spark, sf_dir):
+    """The examples here are copies of documents, so that equal texts exist."""
+    d = _cleaned(spark, sf_dir)
+    ex = d.select(F.concat(F.lit("copy:"), F.col("doc_id")).alias("example_id"), F.col("clean_text").alias("text"), T.content_hash("clean_text").alias("hash"))
+    return d.select("doc_id", T.content_hash("clean_text").alias("hash")).join(ex.select("example_id", "hash"), "hash").select("doc_id", "example_id")
+
+
+@query
+def q_contam_ngram(spark, sf_dir):
+    o = K.overlaps(_cleaned(spark, sf_dir), _examples(spark, sf_dir))
+    return o.select("doc_id", "example_id", "size", "hits", F.round("score", 6).alias("score"))
+
+
+@query
+def q_contam_short(spark, sf_dir):
+    """Twenty words, so that most examples fall back to their own length."""
+    o = K.overlaps(_cleaned(spark, sf_dir), _examples(spark, sf_dir), size=20)
+    return o.select("doc_id", "example_id", "size", "hits", F.round("score", 6).alias("score"))
+
+
+@query
+def q_contam_status(spark, sf_dir):
+    d = _cleaned(spark, sf_dir)
+    return K.status(d, K.flags(d, _examples(spark, sf_dir)), "require_override")
+
+
+@query
+def q_contam_report(spark, sf_dir):
+    return K.match_counts(K.flags(_cleaned(spark, sf_dir), _examples(spark, sf_dir)))

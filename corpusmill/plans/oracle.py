@@ -93,3 +93,90 @@ FROM documents WHERE NOT ({blank('text')})) SELECT doc_id, line_count, round({_R
     "q_shingle_counts": f"""WITH w AS (SELECT doc_id, {tokens('text')} AS w FROM documents WHERE text IS NOT NULL)
 SELECT doc_id, len(w) AS words, CASE WHEN len(w) = 0 THEN 0 ELSE len(list_distinct({windows('w', '5')})) END AS shingles FROM w""",
 }
+
+# --- deduplication ---------------------------------------------------------------------------
+
+_P = 2147483647
+_SIGNED = f"""
+v AS (SELECT doc_id, text, {low(f"trim(regexp_replace(text, '{_WS}+', ' ', 'g'))")} AS norm, {tokens('text')} AS w FROM documents WHERE NOT ({blank('text')})),
+s AS (SELECT doc_id, sha256(text) AS text_hash, sha256(norm) AS norm_hash, CASE WHEN len(w) = 0 THEN [norm] ELSE list_distinct({windows('w', '5')}) END AS g FROM v),
+h AS (SELECT doc_id, text_hash, norm_hash, list_transform(g, lambda x: ('0x' || md5(x)[1:7])::BIGINT) AS h FROM s),
+p AS (SELECT i, (1103515245::HUGEINT * (i + 1) % {_P})::BIGINT AS a, (12345::HUGEINT * (i + 7) * 2654435 % {_P})::BIGINT AS b FROM range(64) t(i)),
+e AS (SELECT doc_id, unnest(h) AS h FROM h),
+z AS (SELECT doc_id, i, min((a * h + b) % {_P}) AS m FROM e, p GROUP BY doc_id, i),
+signed AS (SELECT doc_id, list(m ORDER BY i) AS sig FROM z GROUP BY doc_id),
+bands AS (SELECT doc_id, b, sig[b * 4 + 1:b * 4 + 4] AS k FROM signed, range(16) t(b)),
+pairs AS (SELECT DISTINCT x.doc_id AS a, y.doc_id AS b FROM bands x JOIN bands y ON x.b = y.b AND x.k = y.k AND x.doc_id < y.doc_id),
+sims AS (SELECT a, b, len(list_filter(list_zip(x.sig, y.sig), lambda t: t[1] = t[2])) / 64 AS sim FROM pairs JOIN signed x ON x.doc_id = a JOIN signed y ON y.doc_id = b)"""
+_DECIDED = f"""WITH RECURSIVE {_SIGNED},
+edges AS (SELECT a, b FROM sims WHERE sim >= 0.6 UNION SELECT x.doc_id, y.doc_id FROM h x JOIN h y ON x.norm_hash = y.norm_hash AND x.doc_id < y.doc_id),
+nodes AS (SELECT b, row_number() OVER (ORDER BY b) AS k, list(a) AS before FROM edges GROUP BY b),
+walk(k, gone) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL
+  SELECT n.k, CASE WHEN len(list_filter(n.before, lambda x: NOT list_contains(w.gone, x))) > 0 THEN list_append(w.gone, n.b) ELSE w.gone END
+  FROM walk w JOIN nodes n ON n.k = w.k + 1),
+removed AS (SELECT unnest(gone) AS doc_id FROM (SELECT gone FROM walk ORDER BY k DESC LIMIT 1)),
+decided AS (SELECT h.doc_id, CASE WHEN r.doc_id IS NULL THEN 'kept'
+   WHEN EXISTS (SELECT 1 FROM h o ANTI JOIN removed q USING (doc_id) WHERE o.text_hash = h.text_hash AND o.doc_id < h.doc_id) THEN 'exact_duplicate'
+   WHEN EXISTS (SELECT 1 FROM h o ANTI JOIN removed q USING (doc_id) WHERE o.norm_hash = h.norm_hash AND o.doc_id < h.doc_id) THEN 'normalized_duplicate'
+   ELSE 'near_duplicate' END AS status FROM h LEFT JOIN removed r USING (doc_id))"""
+ORACLE |= {
+    "q_minhash_signature": f"WITH {_SIGNED} SELECT doc_id, md5(array_to_string(sig, ',')) AS sig FROM signed",
+    "q_lsh_candidates": f"WITH {_SIGNED} SELECT a, b, round(sim, 6) AS sim FROM sims",
+    "q_near_dup_pairs": f"WITH {_SIGNED} SELECT a, b, round(sim, 6) AS sim FROM sims WHERE sim >= 0.6",
+    "q_exact_dedup": f"""WITH v AS (SELECT doc_id, text, {low(f"trim(regexp_replace(text, '{_WS}+', ' ', 'g'))")} AS norm FROM documents WHERE NOT ({blank('text')})),
+f AS (SELECT doc_id, text, first_value(doc_id) OVER n AS a, first_value(text) OVER n AS t FROM v WINDOW n AS (PARTITION BY norm ORDER BY doc_id))
+SELECT doc_id, CASE WHEN doc_id = a THEN 'kept' WHEN text = t THEN 'exact_duplicate' ELSE 'normalized_duplicate' END AS status, CASE WHEN doc_id <> a THEN a END AS match_id FROM f""",
+    "q_dedup_decisions": f"{_DECIDED} SELECT doc_id, status FROM decided",
+    "q_dedup_report": f"{_DECIDED} SELECT status, count(*) AS n FROM decided GROUP BY status",
+}
+
+# --- contamination ---------------------------------------------------------------------------
+
+
+def clean_of(source: str, id_: str) -> str:
+    """The cleaning steps over another text; the names of the steps get the prefix x."""
+    import re
+
+    s = CLEAN[: CLEAN.index("judged AS")].rstrip().rstrip(",")
+    s = s.replace("doc_id", id_).replace("FROM documents", f"FROM {source}")
+    names = ["f", "k", "r", "c", "l", "m", "n", "p", "cleaned"]
+    for n in names:
+        s = re.sub(rf"(?m)^{n} AS \(", f"x{n} AS (", s)
+        s = re.sub(rf"FROM {n}\b", f"FROM x{n}", s)
+    return s
+
+
+_EX = f"""
+ex AS (
+  SELECT 'domain_surface:' || id AS example_id, 'domain_surface' AS task_id, 'surface' AS kind, NULL::VARCHAR AS prompt, NULL::VARCHAR AS answer, text FROM domain_surface UNION ALL
+  SELECT 'domain_application:' || id, 'domain_application', 'application', nullif(question, ''), nullif(answer, ''), concat_ws(chr(10), question, answer) FROM domain_application UNION ALL
+  SELECT 'domain_recall:' || id, 'domain_recall', 'recall', nullif(prompt, ''), nullif(answer, ''), concat_ws(chr(10), prompt, answer) FROM domain_recall),
+{clean_of('ex', 'example_id')},
+examples AS (SELECT ex.*, xcleaned.clean_text FROM ex JOIN xcleaned USING (example_id))"""
+
+
+def _overlap(size: int) -> str:
+    return f"""
+xw AS (SELECT example_id, {tokens('clean_text')} AS w FROM examples),
+xs AS (SELECT example_id, w, CASE WHEN len(w) >= {size} THEN {size} WHEN len(w) >= 3 THEN len(w) ELSE 0 END AS size FROM xw),
+xg AS (SELECT example_id, size, list_distinct({windows('w', 'size')}) AS g FROM xs WHERE size > 0),
+index AS (SELECT example_id, size, len(g) AS total, unnest(g) AS gram FROM xg),
+dw AS (SELECT doc_id, {tokens('clean_text')} AS w FROM cleaned),
+dg AS (SELECT doc_id, size, unnest(list_distinct({windows('w', 'size')})) AS gram FROM dw, (SELECT DISTINCT size FROM index) WHERE len(w) >= size),
+hits AS (SELECT doc_id, example_id, size, count(*) AS hits, count(*) / any_value(total) AS score FROM dg JOIN index USING (size, gram) GROUP BY doc_id, example_id, size),
+same AS (SELECT doc_id, example_id FROM cleaned c JOIN examples e ON e.clean_text = c.clean_text),
+overlap AS (SELECT h.* FROM hits h ANTI JOIN same USING (doc_id, example_id) WHERE score >= 0.2),
+flags AS (SELECT doc_id, example_id FROM same UNION ALL SELECT doc_id, example_id FROM overlap)"""
+
+
+ORACLE |= {
+    "q_eval_examples": f"WITH {_EX} SELECT example_id, task_id, kind, prompt, answer, sha256(text) AS raw_hash, sha256(clean_text) AS hash FROM examples",
+    "q_eval_counts": f"WITH {_EX} SELECT task_id, kind, count(*) AS n, count(answer) AS with_answer FROM examples GROUP BY task_id, kind",
+    "q_eval_coverage": f"WITH {_EX} SELECT kind FROM (VALUES ('surface'), ('application'), ('recall')) t(kind) ANTI JOIN examples USING (kind)",
+    "q_contam_exact": f"WITH {CLEAN} SELECT a.doc_id, 'copy:' || b.doc_id AS example_id FROM cleaned a JOIN cleaned b USING (clean_text)",
+    "q_contam_ngram": f"WITH {CLEAN}, {_EX}, {_overlap(13)} SELECT doc_id, example_id, size, hits, round(score, 6) AS score FROM overlap",
+    "q_contam_short": f"WITH {CLEAN}, {_EX}, {_overlap(20)} SELECT doc_id, example_id, size, hits, round(score, 6) AS score FROM overlap",
+    "q_contam_status": f"""WITH {CLEAN}, {_EX}, {_overlap(13)}, fn AS (SELECT doc_id, count(*) AS n FROM flags GROUP BY doc_id)
+SELECT doc_id, CASE WHEN n IS NULL THEN 'clean' ELSE 'contaminated_retained' END AS status, coalesce(n, 0) AS match_count FROM cleaned LEFT JOIN fn USING (doc_id)""",
+    "q_contam_report": f"WITH {CLEAN}, {_EX}, {_overlap(13)} SELECT example_id, count(DISTINCT doc_id) AS docs, count(*) AS matches FROM flags GROUP BY example_id",
+}
