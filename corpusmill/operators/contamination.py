@@ -64,10 +64,15 @@ def overlaps(docs: DataFrame, ex: DataFrame, size: int = NGRAM, threshold: float
     """
     index = ngram_index(ex, size)
     sizes = sorted(r.size for r in index.select("size").distinct().collect())
-    words = docs.select("doc_id", T.word_tokens("clean_text").alias("w"))
-    each = F.array(*(F.lit(s) for s in sizes)).cast("array<int>")
-    grams = words.select("doc_id", "w", F.explode(each).alias("size")).where(F.size("w") >= F.col("size"))
-    grams = grams.select("doc_id", "size", F.explode(F.array_distinct(F.transform(T.windows(F.col("w"), F.col("size")), lambda x: F.xxhash64(x)))).alias("gram"))
+
+    def of_size(w, k: int):
+        return F.when(F.size(w) < k, F.array().cast("array<struct<size:int,gram:bigint>>")).otherwise(
+            F.transform(F.array_distinct(F.transform(T.windows(w, k), lambda g: F.xxhash64(g))), lambda h: F.struct(F.lit(k).alias("size"), h.alias("gram")))
+        )
+
+    every = T.let(T.word_tokens("clean_text"), lambda w: F.flatten(F.array(*(of_size(w, k) for k in sizes)))) if sizes else F.array().cast("array<struct<size:int,gram:bigint>>")
+    # Outer, because the optimizer would compute the array once more to see whether it is empty.
+    grams = docs.select("doc_id", F.explode_outer(every).alias("s")).select("doc_id", "s.size", "s.gram").where("gram is not null")
     hits = grams.join(F.broadcast(index), ["size", "gram"]).groupBy("doc_id", "example_id", "size", "total").agg(F.count("*").alias("hits"))
     scored = hits.withColumn("score", F.col("hits") / F.col("total")).where(F.col("score") >= threshold)
     return scored.join(exact(docs, ex), ["doc_id", "example_id"], "left_anti").select("doc_id", "example_id", "size", "hits", "score")

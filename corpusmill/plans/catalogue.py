@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text as T
 from ..operators import clean as C, corpus
-from ..session import table
+from ..session import keep, table
 
 QUERIES: dict = {}
 SQL_CLEAN = C.CleanConfig(unicode_form="NFC")
@@ -138,11 +138,12 @@ def q_dedup_report(spark, sf_dir):
 
 
 def _examples(spark, sf_dir):
-    return K.examples(*(table(spark, sf_dir, f"domain_{t}") for t in ("surface", "application", "recall")), form="NFC")
+    return keep(K.examples(*(table(spark, sf_dir, f"domain_{t}") for t in ("surface", "application", "recall")), form="NFC"))
 
 
 def _cleaned(spark, sf_dir):
-    return C.clean(docs(spark, sf_dir), SQL_CLEAN).select("doc_id", "clean_text", "source_role")
+    """The stage's output as the next stages read it: written once, not computed by each of them."""
+    return keep(C.clean(docs(spark, sf_dir), SQL_CLEAN).select("doc_id", "clean_text", "source_role"))
 
 
 @query
@@ -190,3 +191,59 @@ def q_contam_status(spark, sf_dir):
 @query
 def q_contam_report(spark, sf_dir):
     return K.match_counts(K.flags(_cleaned(spark, sf_dir), _examples(spark, sf_dir)))
+
+
+# --- tokens ----------------------------------------------------------------------------------
+
+from ..operators import tokens as N  # noqa: E402
+
+LENGTH = 512
+
+
+def _runs(spark, sf_dir):
+    return N.latest_runs(table(spark, sf_dir, "token_runs"))
+
+
+@query
+def q_byte_tokens(spark, sf_dir):
+    d = docs(spark, sf_dir).where(F.col("text").isNotNull()).withColumn("ids", F.concat(T.byte_tokens("text"), F.array(F.lit(1))))
+    return d.select("doc_id", F.size("ids").alias("n"), F.aggregate("ids", F.lit(0).cast("long"), lambda s, x: s + x).alias("total"))
+
+
+@query
+def q_tokens_by_role(spark, sf_dir):
+    return N.totals(_runs(spark, sf_dir))
+
+
+@query
+def q_replay_select(spark, sf_dir):
+    return N.replay_select(_runs(spark, sf_dir), 0.2).select("doc_id", "source_role", "n")
+
+
+@query
+def q_split_assign(spark, sf_dir):
+    return N.split(_runs(spark, sf_dir), 0.05, LENGTH).select("doc_id", "split")
+
+
+@query
+def q_single_doc_split(spark, sf_dir):
+    s = N.split_single(_runs(spark, sf_dir).where("n > 1"), 0.25, 8)
+    return s.select("doc_id", F.size("train_ids").alias("train"), F.size("validation_ids").alias("validation"), F.element_at("validation_ids", 1).alias("first"))
+
+
+@query
+def q_pack_blocks(spark, sf_dir):
+    b = N.pack(_runs(spark, sf_dir), LENGTH)
+    return b.select("block_id", F.md5(F.array_join("input_ids", ",")).alias("ids"), "original_length", "padding_length", "source_roles_json", "doc_ids_json")
+
+
+@query
+def q_pack_stats(spark, sf_dir):
+    return N.pack_stats(N.pack(_runs(spark, sf_dir), LENGTH), LENGTH)
+
+
+@query
+def q_pack_scan(spark, sf_dir):
+    """The reader of stored blocks: one split, three columns."""
+    b = table(spark, sf_dir, "packed_blocks").where("split = 'validation'").select("input_ids", "attention_mask", "labels")
+    return b.select(F.md5(F.array_join("input_ids", ",")).alias("ids"), F.aggregate("attention_mask", F.lit(0), lambda s, x: s + x).alias("content"), F.size(F.filter("labels", lambda x: x == -100)).alias("ignored"))

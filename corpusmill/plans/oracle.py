@@ -180,3 +180,38 @@ ORACLE |= {
 SELECT doc_id, CASE WHEN n IS NULL THEN 'clean' ELSE 'contaminated_retained' END AS status, coalesce(n, 0) AS match_count FROM cleaned LEFT JOIN fn USING (doc_id)""",
     "q_contam_report": f"WITH {CLEAN}, {_EX}, {_overlap(13)} SELECT example_id, count(DISTINCT doc_id) AS docs, count(*) AS matches FROM flags GROUP BY example_id",
 }
+
+# --- tokens ----------------------------------------------------------------------------------
+
+_RUNS = """
+runs AS (SELECT doc_id, coalesce(lower(trim(source_role)), 'unspecified') AS source_role, coalesce(lower(trim(source_group)), 'unspecified') AS source_group,
+                token_ids, len(token_ids) AS n FROM token_runs WHERE len(token_ids) > 0 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY run_id) = 1)"""
+_PACKED = f"""{_RUNS},
+placed AS (SELECT *, (sum(n) OVER (ORDER BY doc_id) - n)::BIGINT AS start FROM runs),
+toks AS (SELECT doc_id, source_role, unnest(token_ids) AS t, start + generate_subscripts(token_ids, 1) - 1 AS pos FROM placed),
+blocks AS (SELECT pos // 512 AS block, list(t ORDER BY pos) AS ids, count(*) AS n FROM toks GROUP BY 1),
+roles AS (SELECT block, '{{' || string_agg('"' || source_role || '":' || c, ',' ORDER BY source_role) || '}}' AS j
+          FROM (SELECT pos // 512 AS block, source_role, count(*) AS c FROM toks GROUP BY 1, 2) GROUP BY block),
+ids AS (SELECT block, '[' || string_agg('"' || d || '"', ',' ORDER BY d) || ']' AS j FROM (SELECT DISTINCT pos // 512 AS block, doc_id::VARCHAR AS d FROM toks) GROUP BY block)"""
+ORACLE |= {
+    "q_byte_tokens": """SELECT doc_id, octet_length(encode(text)) + 1 AS n, (1 + coalesce(list_sum(list_transform(range(octet_length(encode(text))),
+  lambda i: ('0x' || hex(encode(text))[2 * i + 1:2 * i + 2])::BIGINT + 2)), 0))::BIGINT AS total FROM documents WHERE text IS NOT NULL""",
+    "q_tokens_by_role": f"""WITH {_RUNS} SELECT 'source_role' AS kind, source_role AS value, sum(n)::BIGINT AS tokens, count(*) AS runs FROM runs GROUP BY 2
+UNION ALL SELECT 'source_group', source_group, sum(n)::BIGINT, count(*) FROM runs GROUP BY 2""",
+    "q_replay_select": f"""WITH {_RUNS}, t AS (SELECT round_even(sum(n) * 0.2 / 0.8, 0)::BIGINT AS target FROM runs WHERE source_role = 'domain'),
+r AS (SELECT doc_id, source_role, n, sum(n) OVER (ORDER BY doc_id) AS cum FROM runs WHERE source_role = 'replay_general')
+SELECT doc_id, source_role, n FROM runs WHERE source_role = 'domain' UNION ALL
+SELECT doc_id, source_role, n FROM r, t WHERE cum = n OR (cum <= target AND cum - n < target)""",
+    "q_split_assign": f"""WITH {_RUNS}, t AS (SELECT greatest(1, least(sum(n) - 1, greatest(512, round_even(sum(n) * 0.05, 0)::BIGINT))) AS want, count(*) AS docs FROM runs),
+h AS (SELECT doc_id, n, ('0x' || md5('13:' || doc_id)[1:13])::BIGINT AS h FROM runs),
+c AS (SELECT doc_id, sum(n) OVER (ORDER BY h) - n AS before, row_number() OVER (ORDER BY h) AS rn FROM h)
+SELECT doc_id, CASE WHEN before < want AND rn < docs THEN 'validation' ELSE 'train' END AS split FROM c, t""",
+    "q_single_doc_split": f"""WITH {_RUNS}, w AS (SELECT doc_id, token_ids, n, greatest(1, least(n - 1, greatest(8, round_even(n * 0.25, 0)::BIGINT))) AS want FROM runs WHERE n > 1)
+SELECT doc_id, n - want AS train, want AS validation, token_ids[n - want + 1] AS first FROM w""",
+    "q_pack_blocks": f"""WITH {_PACKED}
+SELECT format('train_{{:010d}}', block) AS block_id, md5(array_to_string(list_resize(ids, 512, 0), ',')) AS ids, n AS original_length, 512 - n AS padding_length, roles.j AS source_roles_json, ids.j AS doc_ids_json
+FROM blocks JOIN roles USING (block) JOIN ids USING (block)""",
+    "q_pack_stats": f"""WITH {_PACKED} SELECT 'train' AS split, count(*) AS blocks, sum(n)::BIGINT AS content, sum(512 - n)::BIGINT AS padding, count(*) * 512 AS capacity,
+round(sum(512 - n) / (count(*) * 512), 6) AS padding_ratio FROM blocks""",
+    "q_pack_scan": "SELECT md5(array_to_string(input_ids, ',')) AS ids, list_sum(attention_mask)::BIGINT AS content, len(list_filter(labels, lambda x: x = -100)) AS ignored FROM packed_blocks WHERE split = 'validation'",
+}
