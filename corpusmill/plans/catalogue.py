@@ -247,3 +247,280 @@ def q_pack_scan(spark, sf_dir):
     """The reader of stored blocks: one split, three columns."""
     b = table(spark, sf_dir, "packed_blocks").where("split = 'validation'").select("input_ids", "attention_mask", "labels")
     return b.select(F.md5(F.array_join("input_ids", ",")).alias("ids"), F.aggregate("attention_mask", F.lit(0), lambda s, x: s + x).alias("content"), F.size(F.filter("labels", lambda x: x == -100)).alias("ignored"))
+
+
+# --- evaluation ------------------------------------------------------------------------------
+
+from ..operators import evaluation as E, metrics as M  # noqa: E402
+
+BOOTSTRAPS, SEED = 20, 9186
+
+
+def _results(spark, sf_dir):
+    return table(spark, sf_dir, "eval_results").withColumn("metric", F.concat_ws(".", "task_id", "metric_name"))
+
+
+def _pairs(spark, sf_dir):
+    """Answers of the application task against those of the recall task with the same number."""
+    number = F.regexp_extract("id", r"_(\d+)$", 1).alias("n")
+    a = table(spark, sf_dir, "domain_application").select(number, F.coalesce("answer", F.lit("")).alias("prediction"))
+    return a.join(table(spark, sf_dir, "domain_recall").select(number, F.coalesce("answer", F.lit("")).alias("answer")), "n")
+
+
+@query
+def q_byte_perplexity(spark, sf_dir):
+    d = docs(spark, sf_dir).where(F.col("text").isNotNull()).select("doc_id", E.byte_entropy(F.col("text")).alias("e"))
+    return d.select("doc_id", F.round("e.nll", 6).alias("nll"), F.round("e.perplexity", 6).alias("perplexity"), "e.token_count")
+
+
+@query
+def q_overall_perplexity(spark, sf_dir):
+    return E.weighted_perplexity(_results(spark, sf_dir)).select("token_count", F.round("nll", 6).alias("nll"), F.round("perplexity", 6).alias("perplexity"))
+
+
+@query
+def q_metric_means(spark, sf_dir):
+    return E.metric_means(_results(spark, sf_dir)).withColumn("mean", F.round("mean", 6))
+
+
+@query
+def q_benchmark_pivot(spark, sf_dir):
+    p = E.benchmark_pivot(_results(spark, sf_dir))
+    return p.select(*(F.round(c, 6).alias(c) for c in p.columns))
+
+
+@query
+def q_exact_match(spark, sf_dir):
+    r = table(spark, sf_dir, "domain_recall")
+    own = E.exact_match(F.concat(F.lit(" "), F.upper("answer"), F.lit("!")), F.col("answer"))
+    return r.select("id", E.exact_match(E.proxy_prediction(F.coalesce("prompt", F.lit(""))), F.coalesce("answer", F.lit(""))).alias("proxy"), F.coalesce(own, F.lit(0.0)).alias("own"))
+
+
+@query
+def q_token_f1(spark, sf_dir):
+    return E.token_f1(_pairs(spark, sf_dir), "n", "prediction", "answer").withColumn("f1", F.round("f1", 6))
+
+
+@query
+def q_lexical_drift(spark, sf_dir):
+    return _pairs(spark, sf_dir).select("n", F.round(T.lexical_drift("prediction", "answer"), 6).alias("drift"))
+
+
+@query
+def q_drift_summary(spark, sf_dir):
+    p = _pairs(spark, sf_dir).select(T.lexical_drift("prediction", "answer").alias("d"), T.repetition_ratio("prediction").alias("r"))
+    return p.agg(F.round(F.avg("d"), 6).alias("mean_drift"), F.round(F.max("r"), 6).alias("max_repetition"))
+
+
+@query
+def q_repetition(spark, sf_dir):
+    d = docs(spark, sf_dir).where(F.col("text").isNotNull())
+    return d.select("doc_id", F.round(T.repetition_ratio("text"), 6).alias("repetition"))
+
+
+@query
+def q_repeat_stats(spark, sf_dir):
+    s = E.repeat_stats(_results(spark, sf_dir))
+    return s.select("metric", "n", *(F.round(c, 6).alias(c) for c in ("mean", "sd", "se", "least", "most")))
+
+
+@query
+def q_bootstrap_ci(spark, sf_dir):
+    b = E.bootstrap(_results(spark, sf_dir), BOOTSTRAPS, SEED)
+    return b.select("metric", "n", *(F.round(c, 6).alias(c) for c in ("low", "high", "half_width")))
+
+
+def _floors(spark, sf_dir):
+    r = _results(spark, sf_dir)
+    return E.noise_floors(E.repeat_stats(r), E.bootstrap(r, BOOTSTRAPS, SEED), {"domain_surface.nll": 0.05})
+
+
+@query
+def q_noise_floors(spark, sf_dir):
+    return _floors(spark, sf_dir).withColumn("floor", F.round("floor", 6))
+
+
+@query
+def q_alert_policy(spark, sf_dir):
+    return E.alert_policy(E.bootstrap(_results(spark, sf_dir), 0))
+
+
+def _deltas(spark, sf_dir):
+    """The validation split stands for the base, the other for the checkpoint."""
+    r = _results(spark, sf_dir).where(E.finite(F.col("value")))
+    mean = lambda split: r.where(F.col("split") == split).groupBy("metric").agg(F.avg("value").alias("mean"))
+    return E.deltas(mean("validation"), mean("eval"))
+
+
+@query
+def q_checkpoint_deltas(spark, sf_dir):
+    return _deltas(spark, sf_dir).select("metric", *(F.round(c, 6).alias(c) for c in ("base", "checkpoint", "delta")))
+
+
+@query
+def q_differential(spark, sf_dir):
+    d = _deltas(spark, sf_dir)
+    half = d.withColumn("delta", F.col("delta") / 2)
+    x = M.differential(d, half, _floors(spark, sf_dir))
+    return x.select("metric", F.round("differential", 6).alias("differential"), F.round("floor", 6).alias("floor"), "within_noise")
+
+
+# --- metric facts ----------------------------------------------------------------------------
+
+DOMAIN, GENERAL, RUN = "domain_surface_perplexity", "general_perplexity", "config_hash"
+
+
+def _metrics(spark, sf_dir):
+    return table(spark, sf_dir, "metric_rows")
+
+
+@query
+def q_metric_scan(spark, sf_dir):
+    m = _metrics(spark, sf_dir).withColumn("m", M.metadata("metadata_json"))
+    return m.select("id", "stage", "name", F.try_element_at("m", F.lit("device")).alias("device"), F.size("m").alias("keys"))
+
+
+@query
+def q_latest_metrics(spark, sf_dir):
+    return M.latest(_metrics(spark, sf_dir), "stage", "name").withColumn("value", F.round("value", 6))
+
+
+@query
+def q_step_series(spark, sf_dir):
+    return M.step_series(_metrics(spark, sf_dir), RUN, "stage", "name").withColumn("value", F.round("value", 6))
+
+
+def _points(spark, sf_dir):
+    return M.stream_points(_metrics(spark, sf_dir), RUN, DOMAIN, GENERAL)
+
+
+@query
+def q_stream_points(spark, sf_dir):
+    return _points(spark, sf_dir).select(RUN, "step", *(F.round(c, 6).alias(c) for c in ("domain_gain", "general_loss", "threshold")))
+
+
+@query
+def q_alerts(spark, sf_dir):
+    return M.alerts(_points(spark, sf_dir), RUN).select(RUN, "step", F.round("general_loss", 6).alias("general_loss"), "persistence")
+
+
+@query
+def q_early_stop(spark, sf_dir):
+    return M.early_stop(M.step_series(_metrics(spark, sf_dir).where(F.col("name") == "train_loss"), RUN), RUN, patience=2, min_steps=10)
+
+
+@query
+def q_recommend(spark, sf_dir):
+    p = _points(spark, sf_dir)
+    return M.recommend(p, M.alerts(p, RUN), RUN).withColumn("score", F.round("score", 6))
+
+
+@query
+def q_train_stats(spark, sf_dir):
+    s = M.step_series(_metrics(spark, sf_dir).where("stage = 'train'"), RUN, "name")
+    g = s.groupBy(RUN, "name").agg(F.max_by("value", "step").alias("last"), F.avg("value").alias("mean"), F.count("*").alias("steps"))
+    return g.select(RUN, "name", F.round("last", 6).alias("last"), F.round("mean", 6).alias("mean"), "steps")
+
+
+def _run_table(spark, sf_dir):
+    """A row a run: the latest of some metrics."""
+    m = _metrics(spark, sf_dir).where(E.finite(F.col("value")))
+    last = lambda n: F.max_by(F.when(F.col("name") == n, F.col("value")), F.when(F.col("name") == n, F.col("id")))
+    return m.groupBy(F.col(RUN).alias("run")).agg(
+        F.max("step").alias("steps"), last(DOMAIN).alias("domain"), last(GENERAL).alias("general"), last("raw_token_count").alias("tokens"), last("learning_rate").alias("lr")
+    )
+
+
+@query
+def q_run_ranking(spark, sf_dir):
+    r = _run_table(spark, sf_dir).select("run", (-F.col("domain")).alias("gain"), (-F.col("general")).alias("retention"), "tokens")
+    return M.rank(r).select("run", "rank", F.round("gain", 6).alias("gain"))
+
+
+@query
+def q_matched_budget(spark, sf_dir):
+    r = _run_table(spark, sf_dir).withColumn("k", F.substring("run", 1, 0))
+    one = r.orderBy("run").limit(1)
+    x = M.matched_budget(r.withColumn("other", F.lit(1)), one.select(F.lit(1).alias("other"), "steps", "tokens", "lr"), ["other"], ["steps", "tokens", "lr"])
+    return x.groupBy("steps", "tokens", "lr", "all_matched").agg(F.count("*").alias("runs"))
+
+
+@query
+def q_sweep_expand(spark, sf_dir):
+    return M.expand_sweep(spark, {"rank": [2, 4], "alpha": [8, 16], "lr": [0.001, 0.0005]})
+
+
+@query
+def q_memory_estimate(spark, sf_dir):
+    rows = [("Demo-0.6B", "adapter", "lora", False, 4, 8, 128, 1), ("Demo-4B", "adapter", "qlora", False, 7, 16, 1024, 2), ("demo-350M", "full_finetune_small", "none", True, 0, 0, 512, 4), ("unnamed", "partial_unfreeze", "none", False, 0, 0, 256, 1)]
+    return M.memory_estimate(spark.createDataFrame(rows, "model_id string, mode string, adapter string, fp32 boolean, targets int, rank int, length int, batch int"))
+
+
+# --- layers ----------------------------------------------------------------------------------
+
+
+def _layers(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings").withColumn("norm", M.l2(F.col("embedding")) * (F.col("vec_id") % 11 + 1))
+    return e.select(F.concat(F.lit("L"), F.col("label")).alias("label"), (F.col("vec_id") % 7).alias("step"), F.col("norm").alias("movement"), (F.col("norm") / 8).alias("ratio"), (F.col("norm") * 125).alias("gradient"), "vec_id")
+
+
+@query
+def q_layer_norms(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(M.l2(F.col("embedding")), 6).alias("norm"))
+
+
+@query
+def q_layer_summary(spark, sf_dir):
+    s = M.layer_summary(_layers(spark, sf_dir))
+    return s.select("rows", "labels", F.round("max_movement", 6).alias("max_movement"), F.round("sum_movement", 4).alias("sum_movement"))
+
+
+def _steps(spark, sf_dir):
+    return _layers(spark, sf_dir).groupBy("label", "step").agg(F.max("movement").alias("movement"), F.max("ratio").alias("ratio"), F.max("gradient").alias("gradient"))
+
+
+@query
+def q_layer_compare(spark, sf_dir):
+    c = M.layer_compare(_steps(spark, sf_dir))
+    return c.select("label", "steps", F.round("first", 4).alias("first"), F.round("last", 4).alias("last"), (F.round("change", 4) + 0.0).alias("change"))
+
+
+@query
+def q_layer_warnings(spark, sf_dir):
+    return M.layer_warnings(_steps(spark, sf_dir), share=0.1).withColumn("value", F.round("value", 6))
+
+
+@query
+def q_heatmap(spark, sf_dir):
+    p = _steps(spark, sf_dir).groupBy("label").pivot("step", list(range(7))).agg(F.max("movement"))
+    return p.select("label", *(F.round(str(k), 6).alias(f"step_{k}") for k in range(7)))
+
+
+@query
+def q_module_metadata(spark, sf_dir):
+    parts = ["self_attn.q_proj.weight", "mlp.down_proj.lora_A.default.weight", "input_norm.weight", "mlp.fc1.bias"]
+    suffix = F.element_at(F.array(*(F.lit(p) for p in parts)), (F.col("vec_id") % 4 + 1).cast("int"))
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.concat(F.lit("model.layers."), F.col("label"), F.lit("."), suffix).alias("name"))
+    return e.select("vec_id", "name", *M.module_metadata("name"), M.matches_pattern(F.lit("layers.1"), F.col("name")).alias("in_layer_1"))
+
+
+# --- funnel ----------------------------------------------------------------------------------
+
+
+@query
+def q_funnel(spark, sf_dir):
+    """Documents that remain after each preparation stage."""
+    raw = docs(spark, sf_dir)
+    cleaned = keep(C.clean(raw, SQL_CLEAN).select("doc_id", "clean_text", "reasons"))
+    good = cleaned.where(F.size("reasons") == 0).select("doc_id", F.col("clean_text").alias("text"))
+    decided = keep(D.decide(good, threshold=NEAR))
+    left = decided.where("status = 'kept'").select("doc_id")
+    rest = cleaned.join(left, "doc_id", "left_semi").select("doc_id", "clean_text")
+    clear = K.status(rest, K.flags(rest, _examples(spark, sf_dir)))
+    runs = _runs(spark, sf_dir).join(clear.select("doc_id"), "doc_id", "left_semi")
+    stages = [("1 ingest", raw), ("2 text", cleaned), ("3 clean", good), ("4 dedup", left), ("5 contamination", clear), ("6 tokenize", runs)]
+    out = None
+    for name, df in stages:
+        one = df.agg(F.count("*").alias("documents")).select(F.lit(name).alias("stage"), "documents")
+        out = one if out is None else out.unionByName(one)
+    return out

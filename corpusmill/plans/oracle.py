@@ -60,8 +60,8 @@ m AS (SELECT *, list_transform(ls, lambda x: {key('x')}) AS ks FROM l),
 n AS (SELECT doc_id, line_count, dup_ratio, controls_removed,
              array_to_string(list_filter(ls, lambda x, i: ks[i] = '' OR list_position(ks, ks[i]) = i), chr(10)) AS t FROM m),
 p AS (SELECT * REPLACE (list_filter(list_transform(string_split(t, chr(10)), lambda x: {strip(r"regexp_replace(x, '[ \t\f\x0b]+', ' ', 'g')")}), lambda x: x <> '') AS t) FROM n),
-cleaned AS (SELECT doc_id, line_count, dup_ratio, controls_removed, {strip("array_to_string(t, chr(10))")} AS clean_text FROM p),
-judged AS (SELECT *, list_filter([
+cleaned AS MATERIALIZED (SELECT doc_id, line_count, dup_ratio, controls_removed, {strip("array_to_string(t, chr(10))")} AS clean_text FROM p),
+judged AS MATERIALIZED (SELECT *, list_filter([
     CASE WHEN length(clean_text) < 200 THEN 'too_short' END,
     CASE WHEN {_ALPHA('clean_text')} < 0.25 THEN 'low_alphabetic_ratio' END,
     CASE WHEN dup_ratio > 0.6 THEN 'high_duplicate_line_ratio' END,
@@ -98,27 +98,27 @@ SELECT doc_id, len(w) AS words, CASE WHEN len(w) = 0 THEN 0 ELSE len(list_distin
 
 _P = 2147483647
 _SIGNED = f"""
-v AS (SELECT doc_id, text, {low(f"trim(regexp_replace(text, '{_WS}+', ' ', 'g'))")} AS norm, {tokens('text')} AS w FROM documents WHERE NOT ({blank('text')})),
-s AS (SELECT doc_id, sha256(text) AS text_hash, sha256(norm) AS norm_hash, CASE WHEN len(w) = 0 THEN [norm] ELSE list_distinct({windows('w', '5')}) END AS g FROM v),
-h AS (SELECT doc_id, text_hash, norm_hash, list_transform(g, lambda x: ('0x' || md5(x)[1:7])::BIGINT) AS h FROM s),
-p AS (SELECT i, (1103515245::HUGEINT * (i + 1) % {_P})::BIGINT AS a, (12345::HUGEINT * (i + 7) * 2654435 % {_P})::BIGINT AS b FROM range(64) t(i)),
-e AS (SELECT doc_id, unnest(h) AS h FROM h),
-z AS (SELECT doc_id, i, min((a * h + b) % {_P}) AS m FROM e, p GROUP BY doc_id, i),
-signed AS (SELECT doc_id, list(m ORDER BY i) AS sig FROM z GROUP BY doc_id),
+sv AS (SELECT doc_id, text, {low(f"trim(regexp_replace(text, '{_WS}+', ' ', 'g'))")} AS norm, {tokens('text')} AS w FROM documents WHERE NOT ({blank('text')})),
+ss AS (SELECT doc_id, sha256(text) AS text_hash, sha256(norm) AS norm_hash, CASE WHEN len(w) = 0 THEN [norm] ELSE list_distinct({windows('w', '5')}) END AS g FROM sv),
+sh AS MATERIALIZED (SELECT doc_id, text_hash, norm_hash, list_transform(g, lambda x: ('0x' || md5(x)[1:7])::BIGINT) AS h FROM ss),
+sp AS (SELECT i, (1103515245::HUGEINT * (i + 1) % {_P})::BIGINT AS a, (12345::HUGEINT * (i + 7) * 2654435 % {_P})::BIGINT AS b FROM range(64) t(i)),
+se AS (SELECT doc_id, unnest(h) AS h FROM sh),
+sz AS (SELECT doc_id, i, min((a * h + b) % {_P}) AS m FROM se, sp GROUP BY doc_id, i),
+signed AS MATERIALIZED (SELECT doc_id, list(m ORDER BY i) AS sig FROM sz GROUP BY doc_id),
 bands AS (SELECT doc_id, b, sig[b * 4 + 1:b * 4 + 4] AS k FROM signed, range(16) t(b)),
 pairs AS (SELECT DISTINCT x.doc_id AS a, y.doc_id AS b FROM bands x JOIN bands y ON x.b = y.b AND x.k = y.k AND x.doc_id < y.doc_id),
-sims AS (SELECT a, b, len(list_filter(list_zip(x.sig, y.sig), lambda t: t[1] = t[2])) / 64 AS sim FROM pairs JOIN signed x ON x.doc_id = a JOIN signed y ON y.doc_id = b)"""
+sims AS MATERIALIZED (SELECT a, b, len(list_filter(list_zip(x.sig, y.sig), lambda t: t[1] = t[2])) / 64 AS sim FROM pairs JOIN signed x ON x.doc_id = a JOIN signed y ON y.doc_id = b)"""
 _DECIDED = f"""WITH RECURSIVE {_SIGNED},
-edges AS (SELECT a, b FROM sims WHERE sim >= 0.6 UNION SELECT x.doc_id, y.doc_id FROM h x JOIN h y ON x.norm_hash = y.norm_hash AND x.doc_id < y.doc_id),
+edges AS (SELECT a, b FROM sims WHERE sim >= 0.6 UNION SELECT x.doc_id, y.doc_id FROM sh x JOIN sh y ON x.norm_hash = y.norm_hash AND x.doc_id < y.doc_id),
 nodes AS (SELECT b, row_number() OVER (ORDER BY b) AS k, list(a) AS before FROM edges GROUP BY b),
 walk(k, gone) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL
   SELECT n.k, CASE WHEN len(list_filter(n.before, lambda x: NOT list_contains(w.gone, x))) > 0 THEN list_append(w.gone, n.b) ELSE w.gone END
   FROM walk w JOIN nodes n ON n.k = w.k + 1),
 removed AS (SELECT unnest(gone) AS doc_id FROM (SELECT gone FROM walk ORDER BY k DESC LIMIT 1)),
-decided AS (SELECT h.doc_id, CASE WHEN r.doc_id IS NULL THEN 'kept'
-   WHEN EXISTS (SELECT 1 FROM h o ANTI JOIN removed q USING (doc_id) WHERE o.text_hash = h.text_hash AND o.doc_id < h.doc_id) THEN 'exact_duplicate'
-   WHEN EXISTS (SELECT 1 FROM h o ANTI JOIN removed q USING (doc_id) WHERE o.norm_hash = h.norm_hash AND o.doc_id < h.doc_id) THEN 'normalized_duplicate'
-   ELSE 'near_duplicate' END AS status FROM h LEFT JOIN removed r USING (doc_id))"""
+decided AS MATERIALIZED (SELECT sh.doc_id, CASE WHEN r.doc_id IS NULL THEN 'kept'
+   WHEN EXISTS (SELECT 1 FROM sh o ANTI JOIN removed q USING (doc_id) WHERE o.text_hash = sh.text_hash AND o.doc_id < sh.doc_id) THEN 'exact_duplicate'
+   WHEN EXISTS (SELECT 1 FROM sh o ANTI JOIN removed q USING (doc_id) WHERE o.norm_hash = sh.norm_hash AND o.doc_id < sh.doc_id) THEN 'normalized_duplicate'
+   ELSE 'near_duplicate' END AS status FROM sh LEFT JOIN removed r USING (doc_id))"""
 ORACLE |= {
     "q_minhash_signature": f"WITH {_SIGNED} SELECT doc_id, md5(array_to_string(sig, ',')) AS sig FROM signed",
     "q_lsh_candidates": f"WITH {_SIGNED} SELECT a, b, round(sim, 6) AS sim FROM sims",
@@ -138,7 +138,7 @@ def clean_of(source: str, id_: str) -> str:
     import re
 
     s = CLEAN[: CLEAN.index("judged AS")].rstrip().rstrip(",")
-    s = s.replace("doc_id", id_).replace("FROM documents", f"FROM {source}")
+    s = s.replace(" AS MATERIALIZED (", " AS (").replace("doc_id", id_).replace("FROM documents", f"FROM {source}")
     names = ["f", "k", "r", "c", "l", "m", "n", "p", "cleaned"]
     for n in names:
         s = re.sub(rf"(?m)^{n} AS \(", f"x{n} AS (", s)
@@ -215,3 +215,118 @@ FROM blocks JOIN roles USING (block) JOIN ids USING (block)""",
 round(sum(512 - n) / (count(*) * 512), 6) AS padding_ratio FROM blocks""",
     "q_pack_scan": "SELECT md5(array_to_string(input_ids, ',')) AS ids, list_sum(attention_mask)::BIGINT AS content, len(list_filter(labels, lambda x: x = -100)) AS ignored FROM packed_blocks WHERE split = 'validation'",
 }
+
+# --- evaluation ------------------------------------------------------------------------------
+
+_FIN = "value IS NOT NULL AND isfinite(value)"
+_RES = f"res AS (SELECT *, task_id || '.' || metric_name AS metric FROM eval_results WHERE {_FIN})"
+_KEY = lambda x: f"trim(regexp_replace(regexp_replace(lower({x}), '[^a-z0-9 ]', ' ', 'g'), ' +', ' ', 'g'))"
+_TOK = lambda x: f"list_filter(string_split_regex({low(strip(x))}, '{_WS}+'), lambda t: t <> '')"
+_PAIRS = r"""pairs AS (SELECT regexp_extract(a.id, '_(\d+)$', 1) AS n, coalesce(a.answer, '') AS prediction, coalesce(r.answer, '') AS answer
+FROM domain_application a JOIN domain_recall r ON regexp_extract(a.id, '_(\d+)$', 1) = regexp_extract(r.id, '_(\d+)$', 1))"""
+_REP = lambda w: f"CASE WHEN len({w}) < 4 THEN 0.0 ELSE 1 - len(list_distinct({windows(w, '4')})) / (len({w}) - 3) END"
+_BOOT = f"""{_RES},
+num AS (SELECT metric, value, count(*) OVER (PARTITION BY metric) AS n,
+  row_number() OVER (PARTITION BY metric ORDER BY md5(example_id)[1:2], example_id, evaluated_at, value) - 1 AS i FROM res),
+dr AS (SELECT metric, b, ('0x' || md5('9186:' || metric || ':' || b || ':' || i)[1:7])::BIGINT % n AS i FROM num, range(20) t(b)),
+mn AS (SELECT metric, b, avg(value) AS m FROM dr JOIN num USING (metric, i) GROUP BY metric, b),
+ag AS (SELECT metric, list(m ORDER BY m) AS m FROM mn GROUP BY metric),
+pt AS (SELECT metric, count(*) AS n, avg(value) AS mean FROM num GROUP BY metric),
+boot AS (SELECT metric, n, CASE WHEN n > 1 THEN m[1] ELSE mean END AS low, CASE WHEN n > 1 THEN m[19] ELSE mean END AS high FROM pt JOIN ag USING (metric)),
+st AS (SELECT metric, count(*) AS n, avg(value) AS mean, coalesce(stddev_samp(value), 0) AS sd, min(value) AS least, max(value) AS most FROM res GROUP BY metric),
+floors AS (SELECT metric, greatest(st.sd / sqrt(st.n), (high - low) / 2, CASE WHEN metric = 'domain_surface.nll' THEN 0.05 ELSE 0 END) AS floor,
+  boot.n < 2 AND metric <> 'domain_surface.nll' AS degenerate FROM st FULL JOIN boot USING (metric)),
+mean AS (SELECT split, metric, avg(value) AS mean FROM res GROUP BY split, metric),
+deltas AS (SELECT metric, b.mean AS base, c.mean AS checkpoint, c.mean - b.mean AS delta FROM (SELECT * FROM mean WHERE split = 'validation') b
+  FULL JOIN (SELECT * FROM mean WHERE split = 'eval') c USING (metric))"""
+ORACLE |= {
+    "q_byte_perplexity": """WITH b AS (SELECT doc_id, octet_length(encode(text)) AS n, unnest(list_transform(range(octet_length(encode(text))), lambda i: hex(encode(text))[2 * i + 1:2 * i + 2])) AS b FROM documents),
+c AS (SELECT doc_id, n, b, count(*) / n AS p FROM b GROUP BY doc_id, n, b), e AS (SELECT doc_id, any_value(n) AS n, sum(-p * ln(p)) AS nll FROM c GROUP BY doc_id)
+SELECT doc_id, round(coalesce(nll, 0.0), 6) AS nll, round(exp(coalesce(nll, 0.0)), 6) AS perplexity, coalesce(n, 0) AS token_count FROM documents LEFT JOIN e USING (doc_id) WHERE text IS NOT NULL""",
+    "q_overall_perplexity": f"""SELECT coalesce(sum(token_count), 0)::BIGINT AS token_count, round(sum(value * token_count) / sum(token_count), 6) AS nll,
+round(exp(sum(value * token_count) / sum(token_count)), 6) AS perplexity FROM eval_results WHERE metric_name = 'nll' AND {_FIN}""",
+    "q_metric_means": f"SELECT suite, kind, metric_name, round(avg(value), 6) AS mean, count(*) AS n FROM eval_results WHERE {_FIN} GROUP BY ALL",
+    "q_benchmark_pivot": "SELECT " + ", ".join(f"round(avg(value) FILTER (WHERE kind = '{k}' AND metric_name = '{m}'), 6) AS {k}_{m}" for k, m in (("surface", "perplexity"), ("surface", "nll"), ("recall", "exact_match"), ("recall", "token_f1"), ("application", "exact_match"), ("application", "token_f1"))) + f" FROM eval_results WHERE {_FIN}",
+    "q_exact_match": f"""SELECT id, CASE WHEN {_KEY("coalesce(answer, '')")} <> '' AND {_KEY("coalesce(answer, '')")} =
+{_KEY(f"'simple_statistical_baseline: ' || array_to_string(list_filter(string_split_regex(coalesce(prompt, ''), '{_WS}+'), lambda x: x <> '')[1:16], ' ')")} THEN 1.0::DOUBLE ELSE 0.0 END AS proxy,
+CASE WHEN {_KEY("coalesce(answer, '')")} <> '' THEN 1.0::DOUBLE ELSE 0.0 END AS own FROM domain_recall""",
+    "q_token_f1": f"""WITH {_PAIRS}, p AS (SELECT n, t, count(*) AS p FROM (SELECT n, unnest(string_split({_KEY('prediction')}, ' ')) AS t FROM pairs) WHERE t <> '' GROUP BY n, t),
+a AS (SELECT n, t, count(*) AS a FROM (SELECT n, unnest(string_split({_KEY('answer')}, ' ')) AS t FROM pairs) WHERE t <> '' GROUP BY n, t),
+s AS (SELECT n, sum(least(coalesce(p, 0), coalesce(a, 0))) AS o, sum(coalesce(p, 0)) AS p, sum(coalesce(a, 0)) AS a FROM p FULL JOIN a USING (n, t) GROUP BY n)
+SELECT pairs.n, round(CASE WHEN coalesce(o, 0) > 0 THEN 2 * o / (p + a) ELSE 0.0 END, 6) AS f1 FROM pairs LEFT JOIN s USING (n)""",
+    "q_lexical_drift": f"""WITH {_PAIRS}, t AS (SELECT n, list_distinct({_TOK('prediction')}) AS x, list_distinct({_TOK('answer')}) AS y FROM pairs)
+SELECT n, round(CASE WHEN len(x) = 0 AND len(y) = 0 THEN 0.0 ELSE 1 - len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))) END, 6) AS drift FROM t""",
+    "q_drift_summary": f"""WITH {_PAIRS}, t AS (SELECT {_TOK('prediction')} AS w, list_distinct({_TOK('prediction')}) AS x, list_distinct({_TOK('answer')}) AS y FROM pairs)
+SELECT round(avg(CASE WHEN len(x) = 0 AND len(y) = 0 THEN 0.0 ELSE 1 - len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))) END), 6) AS mean_drift, round(max({_REP('w')}), 6) AS max_repetition FROM t""",
+    "q_repetition": f"WITH t AS (SELECT doc_id, {_TOK('text')} AS w FROM documents WHERE text IS NOT NULL) SELECT doc_id, round({_REP('w')}, 6) AS repetition FROM t",
+    "q_repeat_stats": f"WITH {_BOOT} SELECT metric, n, round(mean, 6) AS mean, round(sd, 6) AS sd, round(sd / sqrt(n), 6) AS se, round(least, 6) AS least, round(most, 6) AS most FROM st",
+    "q_bootstrap_ci": f"WITH {_BOOT} SELECT metric, n, round(low, 6) AS low, round(high, 6) AS high, round((high - low) / 2, 6) AS half_width FROM boot",
+    "q_noise_floors": f"WITH {_BOOT} SELECT metric, round(floor, 6) AS floor, degenerate FROM floors",
+    "q_alert_policy": f"WITH {_BOOT}, m AS (SELECT count(*) AS c, max(n) AS n FROM st), s AS (SELECT CASE WHEN c = 0 THEN 'blocked' WHEN n < 2 THEN 'insufficient_calibration_data' ELSE 'calibrated' END AS status FROM m) SELECT status, status = 'calibrated' AS alerts_allowed FROM s",
+    "q_checkpoint_deltas": f"WITH {_BOOT} SELECT metric, round(base, 6) AS base, round(checkpoint, 6) AS checkpoint, round(delta, 6) AS delta FROM deltas",
+    "q_differential": f"WITH {_BOOT} SELECT metric, round(delta / 2, 6) AS differential, round(floor, 6) AS floor, abs(delta / 2) <= floor AS within_noise FROM deltas LEFT JOIN floors USING (metric)",
+}
+
+# --- metric facts ----------------------------------------------------------------------------
+
+_SERIES = f"series AS (SELECT config_hash, stage, name, step, arg_max(value, id) AS value FROM metric_rows WHERE step IS NOT NULL AND {_FIN} GROUP BY ALL)"
+_POINTS = """
+wide AS (SELECT config_hash, step, max(value) FILTER (WHERE name = 'domain_surface_perplexity') AS d, max(value) FILTER (WHERE name = 'general_perplexity') AS g
+  FROM series WHERE name IN ('domain_surface_perplexity', 'general_perplexity') GROUP BY ALL),
+fr AS (SELECT *, first_value(d) OVER w AS d0, first_value(g) OVER w AS g0 FROM wide WINDOW w AS (PARTITION BY config_hash ORDER BY step)),
+points AS (SELECT config_hash, step, d0 - d AS domain_gain, g - g0 AS general_loss, greatest(0, abs(g0) * 0.02) AS threshold FROM fr),
+mk AS (SELECT *, coalesce(general_loss > 0.02 AND general_loss >= threshold, false) AS c FROM points),
+il AS (SELECT *, sum((NOT c)::INT) OVER (PARTITION BY config_hash ORDER BY step) AS island FROM mk),
+hd AS (SELECT *, row_number() OVER (PARTITION BY config_hash, island ORDER BY step) AS persistence FROM il WHERE c),
+alerts AS (SELECT * FROM hd WHERE persistence >= 2)"""
+_RUNTAB = f"""runtab AS (SELECT config_hash AS run, max(step) AS steps, arg_max(value, id) FILTER (WHERE name = 'domain_surface_perplexity') AS domain,
+  arg_max(value, id) FILTER (WHERE name = 'general_perplexity') AS general, arg_max(value, id) FILTER (WHERE name = 'raw_token_count') AS tokens,
+  arg_max(value, id) FILTER (WHERE name = 'learning_rate') AS lr FROM metric_rows WHERE {_FIN} GROUP BY 1)"""
+_LAY = """nm AS (SELECT vec_id, label, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) AS norm FROM embeddings),
+lay AS (SELECT 'L' || label AS label, vec_id % 7 AS step, norm * (vec_id % 11 + 1) AS movement, norm * (vec_id % 11 + 1) / 8 AS ratio, norm * (vec_id % 11 + 1) * 125 AS gradient FROM nm),
+stp AS (SELECT label, step, max(movement) AS movement, max(ratio) AS ratio, max(gradient) AS gradient FROM lay GROUP BY ALL)"""
+ORACLE |= {
+    "q_metric_scan": """WITH j AS (SELECT id, stage, name, CASE WHEN json_valid(metadata_json) THEN metadata_json ELSE '{}' END AS m FROM metric_rows)
+SELECT id, stage, name, m ->> 'device' AS device, len(json_keys(m)) AS keys FROM j""",
+    "q_latest_metrics": "SELECT stage, name, round(value, 6) AS value, step, created_at, unit FROM metric_rows QUALIFY row_number() OVER (PARTITION BY stage, name ORDER BY id DESC) = 1",
+    "q_step_series": f"WITH {_SERIES} SELECT config_hash, stage, name, step, round(value, 6) AS value FROM series",
+    "q_stream_points": f"WITH {_SERIES}, {_POINTS} SELECT config_hash, step, round(domain_gain, 6) AS domain_gain, round(general_loss, 6) AS general_loss, round(threshold, 6) AS threshold FROM points",
+    "q_alerts": f"WITH {_SERIES}, {_POINTS} SELECT config_hash, step, round(general_loss, 6) AS general_loss, persistence FROM alerts",
+    "q_early_stop": f"""WITH {_SERIES}, d AS (SELECT config_hash, step, value - first_value(value) OVER w > 0.05 AS up FROM series WHERE name = 'train_loss' WINDOW w AS (PARTITION BY config_hash ORDER BY step)),
+i AS (SELECT *, sum((NOT up)::INT) OVER (PARTITION BY config_hash ORDER BY step) AS island FROM d), c AS (SELECT *, row_number() OVER (PARTITION BY config_hash, island ORDER BY step) AS n FROM i WHERE up)
+SELECT config_hash, min(step) AS stop_step FROM c WHERE n >= 2 AND step >= 10 GROUP BY config_hash""",
+    "q_recommend": f"""WITH {_SERIES}, {_POINTS}, s AS (SELECT config_hash, step, greatest(0, coalesce(domain_gain, 0)) - greatest(0, coalesce(general_loss, 0)) AS score FROM points ANTI JOIN alerts USING (config_hash, step))
+SELECT config_hash, step, round(score, 6) AS score FROM s QUALIFY row_number() OVER (PARTITION BY config_hash ORDER BY score DESC, step) = 1""",
+    "q_train_stats": f"WITH {_SERIES} SELECT config_hash, name, round(arg_max(value, step), 6) AS last, round(avg(value), 6) AS mean, count(*) AS steps FROM series WHERE stage = 'train' GROUP BY ALL",
+    "q_run_ranking": f"WITH {_RUNTAB} SELECT run, row_number() OVER (ORDER BY -domain DESC NULLS LAST, -general DESC NULLS LAST, tokens NULLS LAST, run) AS rank, round(-domain, 6) AS gain FROM runtab",
+    "q_matched_budget": f"""WITH {_RUNTAB}, o AS (SELECT steps AS s, tokens AS t, lr AS l FROM runtab ORDER BY run LIMIT 1),
+x AS (SELECT steps IS NOT DISTINCT FROM s AS steps, tokens IS NOT DISTINCT FROM t AS tokens, lr IS NOT DISTINCT FROM l AS lr FROM runtab, o)
+SELECT steps, tokens, lr, steps AND tokens AND lr AS all_matched, count(*) AS runs FROM x GROUP BY ALL""",
+    "q_sweep_expand": """WITH v AS (SELECT r, a, l, rank, alpha, lr FROM (VALUES (0, 2), (1, 4)) x(r, rank), (VALUES (0, 8), (1, 16)) y(a, alpha), (VALUES (0, 0.001::DOUBLE, '0.001'), (1, 0.0005::DOUBLE, '5.0E-4')) z(l, lr, s))
+SELECT rank, alpha, lr, 'rank-' || rank || '_alpha-' || alpha || '_lr-' || CASE l WHEN 0 THEN '0.001' ELSE '5.0e-4' END AS variant, row_number() OVER (ORDER BY r, a, l) AS ordinal FROM v""",
+    "q_memory_estimate": """SELECT * FROM (VALUES
+('Demo-0.6B', 'adapter', 600000000, 300000, 1200000000, 600000, 2400000, 4194304), ('Demo-4B', 'adapter', 4000000000, 6835937, 2000000000, 13671874, 54687496, 67108864),
+('demo-350M', 'full_finetune_small', 350000000, 350000000, 1400000000, 1400000000, 2800000000, 134217728), ('unnamed', 'partial_unfreeze', 600000000, 30000000, 1200000000, 60000000, 240000000, 8388608))
+t(model_id, mode, parameters, trainable, weight_bytes, gradient_bytes, optimizer_bytes, activation_bytes)""",
+    "q_layer_norms": f"WITH {_LAY} SELECT vec_id, round(norm, 6) AS norm FROM nm",
+    "q_layer_summary": f"WITH {_LAY} SELECT count(*) AS rows, count(DISTINCT label) AS labels, round(max(movement), 6) AS max_movement, round(sum(movement), 4) AS sum_movement FROM lay",
+    "q_layer_compare": f"""WITH {_LAY}, c AS (SELECT label, count(*) AS steps, CASE WHEN count(*) > 1 THEN arg_min(movement, step) ELSE 0 END AS first, arg_max(movement, step) AS last FROM stp GROUP BY label)
+SELECT label, steps, round(first, 4) AS first, round(last, 4) AS last, round(last - first, 4) + 0.0 AS change FROM c""",
+    "q_layer_warnings": f"""WITH {_LAY}, b AS (SELECT step, count(*) AS n, sum(movement) AS total, max(movement) AS m, arg_max(label, (movement, label)) AS label FROM stp WHERE movement > 0 GROUP BY step)
+SELECT 'dominant_update_module' AS code, step, label, round(m / total, 6) AS value FROM b WHERE n >= 3 AND m / total >= 0.1 UNION ALL
+SELECT 'large_update_to_weight_ratio', step, label, round(ratio, 6) FROM stp WHERE ratio > 1 UNION ALL SELECT 'large_gradient_norm', step, label, round(gradient, 6) FROM stp WHERE gradient > 1000""",
+    "q_heatmap": f"WITH {_LAY} SELECT label, " + ", ".join(f"round(max(movement) FILTER (WHERE step = {k}), 6) AS step_{k}" for k in range(7)) + " FROM stp GROUP BY label",
+    "q_module_metadata": """WITH n AS (SELECT vec_id, label, vec_id % 4 AS k, 'model.layers.' || label || '.' || ['self_attn.q_proj.weight', 'mlp.down_proj.lora_A.default.weight', 'input_norm.weight', 'mlp.fc1.bias'][vec_id % 4 + 1] AS name FROM embeddings),
+m AS (SELECT *, ['q_proj', 'down_proj', 'input_norm', 'fc1'][k + 1] AS module, ['attention', 'mlp', 'other', 'mlp'][k + 1] AS family FROM n)
+SELECT vec_id, name, label AS layer_index, module, family, ['weight', 'lora_A', 'weight', 'bias'][k + 1] AS matrix_type,
+       'L' || printf('%02d', label) || ' ' || family || ' ' || module AS label, label = 1 AS in_layer_1 FROM m""",
+}
+
+_DEDUPED = _DECIDED.replace("FROM documents WHERE NOT (" + blank("text") + ")", "FROM good").replace(
+    "WITH RECURSIVE ", f"WITH RECURSIVE {CLEAN}, good AS MATERIALIZED (SELECT doc_id, clean_text AS text FROM judged WHERE len(reasons) = 0), "
+)
+_LEFT = "rest AS MATERIALIZED (SELECT doc_id, clean_text FROM cleaned SEMI JOIN (SELECT doc_id FROM decided WHERE status = 'kept') USING (doc_id))"
+ORACLE["q_funnel"] = f"""{_DEDUPED}, {_LEFT}, {_EX}, {_overlap(13).replace('FROM cleaned', 'FROM rest')}, {_RUNS},
+clear AS (SELECT doc_id FROM rest ANTI JOIN flags USING (doc_id))
+SELECT '1 ingest' AS stage, count(*) AS documents FROM documents UNION ALL SELECT '2 text', count(*) FROM cleaned UNION ALL SELECT '3 clean', count(*) FROM good UNION ALL
+SELECT '4 dedup', count(*) FROM rest UNION ALL SELECT '5 contamination', count(*) FROM clear UNION ALL SELECT '6 tokenize', count(*) FROM runs SEMI JOIN clear USING (doc_id)"""
