@@ -112,6 +112,15 @@ def join_unique(left: DataFrame, right: DataFrame, key: str, weight: str, hot_ro
     return left.join(F.broadcast(hot), key).unionByName(lefts.join(cold, key))
 
 
+def bounded_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
+    """About ``rows`` rows at most, taken by the hash of the key; the same rows however partitioned.
+
+    The share follows from a count, so no task sorts or gathers more than the sample.
+    """
+    n = df.count()
+    return df if n <= rows else df.where(F.pmod(F.xxhash64(key, F.lit("sample")), F.lit(1 << 30)) < int((1 << 30) * rows / n))
+
+
 # --- arrow -----------------------------------------------------------------------------------
 
 

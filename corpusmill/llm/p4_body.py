@@ -16,7 +16,7 @@ import re
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from .common import Durable, arrow_map, fold, join_unique, words
+from .common import Durable, arrow_map, bounded_sample, fold, join_unique, words
 from .trees import Boosted
 
 #: Pages that the classifier is fitted on, at most, taken by hash order.
@@ -76,7 +76,7 @@ def line_table(pages: DataFrame) -> DataFrame:
                 out["site_h"].append(site_h), out["url_h"].append(url_h), out["run"].append(run[k])
         return out
 
-    return arrow_map(pages.select("capture_id", "site", "url", "text"), each, "capture_id long, line_no int, key long, gkey long, site_h long, url_h long, run int")
+    return arrow_map(pages.select("capture_id", "site", "url", "text").where("capture_id is not null"), each, "capture_id long, line_no int, key long, gkey long, site_h long, url_h long, run int")
 
 
 def line_statistics(lines: DataFrame) -> DataFrame:
@@ -222,7 +222,7 @@ def fit(ready: DataFrame, sample_pages: int = SAMPLE_PAGES) -> Boosted:
             x.append(page.x[label >= 0]), y.append(label[label >= 0])
         return {"x": [np.concatenate(x).astype(np.float32).tobytes()], "y": [np.concatenate(y).astype(np.int8).tobytes()]}
 
-    sample = ready.orderBy(F.xxhash64("capture_id"), "capture_id").limit(sample_pages)
+    sample = bounded_sample(ready, "capture_id", sample_pages)
     rows = arrow_map(sample, each, "x binary, y binary").collect()
     x = np.concatenate([np.zeros((0, len(FEATURES)), np.float32), *(np.frombuffer(r.x, np.float32).reshape(-1, len(FEATURES)) for r in rows)])
     y = np.concatenate([np.zeros(0, np.int8), *(np.frombuffer(r.y, np.int8) for r in rows)])
@@ -243,8 +243,12 @@ def outside(pages: DataFrame, work: Durable | None = None, sample_pages: int = S
 
     def each(batch):
         out: dict[str, list] = {"capture_id": [], "line_no": []}
-        for i, page in _pages(batch):
-            off = page.decode(model.value.score(page.x))
+        pages = list(_pages(batch))
+        # The trees score all lines of a batch at once.
+        odds = model.value.score(np.concatenate([np.zeros((0, len(FEATURES))), *(p.x for _, p in pages)]))
+        ends = np.cumsum([len(p.x) for _, p in pages])
+        for (i, page), own in zip(pages, np.split(odds, ends[:-1]) if pages else []):
+            off = page.decode(own)
             out["capture_id"].extend([i] * len(off)), out["line_no"].extend(off)
         return out
 

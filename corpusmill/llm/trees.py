@@ -21,6 +21,9 @@ class Boosted:
         x = np.nan_to_num(np.asarray(x, float), nan=-1e300, neginf=-1e300, posinf=1e300)
         y = np.asarray(y, float)
         n, m = x.shape
+        if not n:
+            self.cuts = [np.zeros(0)] * m
+            return self
         self.cuts = [np.unique(np.quantile(np.unique(x[:, k]), np.linspace(0, 1, self.bins + 1)[1:-1], method="nearest")) for k in range(m)]
         width = max((len(c) for c in self.cuts), default=0) + 1
         b = self._bin(x)
