@@ -22,7 +22,7 @@ def runs_of(token_runs: DataFrame) -> DataFrame:
     Only ids, times and lengths are compared; the tokens follow by a join on the run's id.
     """
     n = F.size("token_ids")
-    held = token_runs.where(n > 0)
+    held = token_runs.where((n > 0) & F.col("doc_id").isNotNull() & F.col("run_id").isNotNull())
     last = held.groupBy("doc_id").agg(F.max(F.struct(F.coalesce("tokenized_at", F.lit("1900-01-01").cast("timestamp")).alias("at"), "run_id")).alias("m"))
     return held.join(last.select(F.col("m.run_id").alias("run_id")), "run_id", "left_semi").select("doc_id", "token_ids", n.alias("n"))
 

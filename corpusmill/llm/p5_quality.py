@@ -227,7 +227,7 @@ def statistics(docs: DataFrame, common: set[str]) -> DataFrame:
             out["prose"].append(is_prose(text, common))
         return out
 
-    return arrow_map(docs.select("doc_id", "text"), each, schema)
+    return arrow_map(docs.select("doc_id", "text").where("doc_id is not null"), each, schema)
 
 
 def not_prose(docs: DataFrame, common: set[str]) -> DataFrame:

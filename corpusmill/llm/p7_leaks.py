@@ -130,7 +130,7 @@ def _scan(docs: DataFrame, held_out: DataFrame, with_spans: bool, size: int, cha
                         got["doc_id"].append(i), got["item_id"].append(item)
             return got
 
-        part = arrow_map(docs.select("doc_id", "text"), each, schema)
+        part = arrow_map(docs.select("doc_id", "text").where("doc_id is not null"), each, schema)
         out = part if out is None else out.unionByName(part)
     return out if len(found) == 0 or with_spans else out.distinct()
 
