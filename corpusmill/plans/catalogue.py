@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text as T
 from ..operators import clean as C, corpus
-from ..session import keep, table
+from ..session import keep, spread, table
 
 QUERIES: dict = {}
 SQL_CLEAN = C.CleanConfig(unicode_form="NFC")
@@ -22,7 +22,7 @@ def query(f):
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents")
+    return spread(table(spark, sf_dir, "documents"))
 
 
 @query
