@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from .bpe import TOKENIZERS, encoder
-from .common import Durable, arrow_map, words
+from .common import Durable, arrow_map, bounded_sample, words
 
 #: Labelled rows that the classifier is fitted on, at most, taken by hash order; hashed features.
 SAMPLE_ROWS = 20_000
@@ -35,9 +35,9 @@ def _feature(word: str) -> int:
 def fit_classifier(labelled: DataFrame, sources: list[str], rows: int = SAMPLE_ROWS) -> np.ndarray:
     """Log likelihoods (source, feature) of a multinomial naive Bayes model, the prior in a last column.
 
-    ``labelled`` has doc_id, source and text.  Each task returns one matrix of counts.
+    ``labelled`` has doc_id, source and text.
     """
-    sample = labelled.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    sample = bounded_sample(labelled, "doc_id", rows)
     at = {s: k for k, s in enumerate(sources)}
 
     def each(batch):
@@ -47,11 +47,13 @@ def fit_classifier(labelled: DataFrame, sources: list[str], rows: int = SAMPLE_R
                 m[at[s], FEATURES] += 1
                 for w in words(text):
                     m[at[s], _feature(w)] += 1
-        return {"m": [m.tobytes()]}
+        cells = np.flatnonzero(m)
+        return {"cell": cells, "n": m.ravel()[cells]}
 
     total = np.zeros((len(sources), FEATURES + 1))
-    for r in arrow_map(sample.select("source", "text"), each, "m binary").toLocalIterator():
-        total += np.frombuffer(r.m).reshape(total.shape)
+    # One number a cell, whatever the number of tasks.
+    for r in arrow_map(sample.select("source", "text"), each, "cell long, n double").groupBy("cell").agg(F.sum("n").alias("n")).collect():
+        total.ravel()[r.cell] = r.n
     total[:, :FEATURES] = np.log(total[:, :FEATURES] + 0.5) - np.log((total[:, :FEATURES] + 0.5).sum(axis=1, keepdims=True))
     prior = total[:, FEATURES] + 1
     total[:, FEATURES] = np.log(prior / prior.sum())
@@ -66,7 +68,7 @@ def memberships(docs: DataFrame, sources: list[str], path: str, sample_rows: int
     tokens and take no part.
     """
     spark = docs.sparkSession
-    named = docs.select("doc_id", F.when(F.trim("source") == "", None).otherwise(F.col("source")).alias("source"), "text")
+    named = docs.where("doc_id is not null").select("doc_id", F.when(F.trim("source") == "", None).otherwise(F.col("source")).alias("source"), "text")
     model = spark.sparkContext.broadcast(fit_classifier(named.where(F.col("source").isin(sources)), sources, sample_rows))
     at = {s: k for k, s in enumerate(sources)}
 
@@ -97,26 +99,22 @@ def memberships(docs: DataFrame, sources: list[str], path: str, sample_rows: int
 def fit_rates(members: DataFrame, targets: np.ndarray, caps: np.ndarray, iterations: int = ITERATIONS, tolerance: float = TOLERANCE) -> np.ndarray:
     """One multiplier a source; a document's rate is its expected multiplier, between 0 and its cap.
 
-    Projected gradient on the squared error of the expected tokens.  The step of each source is its
-    error over the tokens that still respond to it, so scales of sources do not matter.
+    Projected gradient on the squared error of the expected tokens.  The step of a source is its
+    error over all tokens that belong to it, which bounds the curvature whatever the memberships.
     """
     k = len(targets)
-    lam = np.ones(k)
+    lam = np.minimum(1.0, caps)
     p = [F.col("p")[i] for i in range(k)]
     cap = sum(p[i] * float(caps[i]) for i in range(k))
     for _ in range(iterations if k else 0):
-        raw = sum(p[i] * float(lam[i]) for i in range(k))
-        rate = F.greatest(F.lit(0.0), F.least(raw, cap))
-        free = F.when((raw > 0) & (raw < cap), 1.0).otherwise(0.0)
+        rate = F.greatest(F.lit(0.0), F.least(sum(p[i] * float(lam[i]) for i in range(k)), cap))
         got = members.agg(
             *(F.coalesce(F.sum(F.col("tokens") * p[i] * rate), F.lit(0.0)).alias(f"e{i}") for i in range(k)),
-            *(F.coalesce(F.sum(F.col("tokens") * p[i] * p[i]), F.lit(0.0)).alias(f"h{i}") for i in range(k)),
-            *(F.coalesce(F.sum(F.col("tokens") * p[i] * p[i] * free), F.lit(0.0)).alias(f"f{i}") for i in range(k)),
+            *(F.coalesce(F.sum(F.col("tokens") * p[i]), F.lit(0.0)).alias(f"h{i}") for i in range(k)),
         ).first()
-        e, h, f = (np.array([got[f"{c}{i}"] for i in range(k)]) for c in "ehf")
-        error = targets - e
-        step = np.where(f > 0, error / np.maximum(f, 1e-9), np.where(h > 0, error / np.maximum(h, 1e-9), 0.0))
-        new = np.clip(lam + step, 0.0, caps)  # a multiplier beyond the cap changes no rate
+        e, h = (np.array([got[f"{c}{i}"] for i in range(k)]) for c in "eh")
+        # A multiplier beyond the cap changes no rate; a source without tokens moves nothing.
+        new = np.clip(lam + np.where(h > 1e-6, (targets - e) / np.maximum(h, 1e-6), 0.0), 0.0, caps)
         if np.all(np.abs(new - lam) <= tolerance * np.maximum(lam, 1e-9)):
             return new
         lam = new
