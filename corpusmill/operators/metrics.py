@@ -174,3 +174,81 @@ def memory_estimate(models: DataFrame) -> DataFrame:
         (F.col("trainable") * F.col("width")).alias("gradient_bytes"), (F.col("trainable") * 8).alias("optimizer_bytes"),
         (F.col("length") * F.col("batch") * 4096 * F.col("width") * 4).cast("long").alias("activation_bytes"),
     )
+
+
+# --- parameter pairs, scores, labels ---------------------------------------------------------
+
+
+def lora_pairs(tensors: DataFrame) -> DataFrame:
+    """(prefix, a, b, scaling) of the parameters whose names differ only in lora_A and lora_B.
+
+    ``tensors`` has name, rows, cols, values (row by row) and scaling.
+    """
+    part = lambda side: tensors.where(F.contains("name", F.lit(f".lora_{side}."))).select(
+        F.regexp_extract("name", rf"^(.*)\.lora_{side}\.", 1).alias("prefix"), F.struct("rows", "cols", "values").alias(side.lower()), "scaling"
+    )
+    return part("A").join(part("B").drop("scaling"), "prefix")
+
+
+def lora_delta_norm(pairs: DataFrame, exact_elements: int = 5_000_000) -> DataFrame:
+    """(prefix, norm): the norm of B A times the scaling; above the limit the product of the norms.
+
+    The product is a join of coordinates on the inner index, so no task holds a matrix.
+    """
+    size = F.col("b.rows").cast("long") * F.col("a.cols")
+    small = pairs.where(size <= exact_elements)
+    cells = lambda c: F.posexplode(f"{c}.values").alias("p", "v")
+    a = small.select("prefix", F.col("a.cols").alias("w"), cells("a")).select("prefix", F.floor(F.col("p") / F.col("w")).alias("k"), (F.col("p") % F.col("w")).alias("j"), F.col("v").cast("double").alias("x"))
+    b = small.select("prefix", F.col("b.cols").alias("w"), cells("b")).select("prefix", F.floor(F.col("p") / F.col("w")).alias("i"), (F.col("p") % F.col("w")).alias("k"), F.col("v").cast("double").alias("y"))
+    product = a.join(b, ["prefix", "k"]).groupBy("prefix", "i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("z"))
+    exact = product.groupBy("prefix").agg(F.sqrt(F.sum(F.col("z") * F.col("z"))).alias("n"))
+    bound = pairs.where(size > exact_elements).select("prefix", (l2(F.col("a.values")) * l2(F.col("b.values"))).alias("n"))
+    return exact.unionByName(bound).join(pairs.select("prefix", "scaling"), "prefix").select("prefix", (F.col("n") * F.col("scaling")).alias("norm"))
+
+
+def reference_rows(now: DataFrame, reference: DataFrame) -> DataFrame:
+    """(name, weight_norm, reference_norm, ratio): current against initial norms; null without a reference or with 0."""
+    met = now.select("name", F.col("norm").alias("weight_norm")).join(reference.select("name", F.col("norm").alias("reference_norm")), "name", "left")
+    return met.withColumn("ratio", F.try_divide(F.abs(F.col("weight_norm") - F.col("reference_norm")), F.col("reference_norm")))
+
+
+def scored(points: DataFrame, floor: float = 0.0, default_floor: float = 0.02, allowed: bool = True) -> DataFrame:
+    """``points`` with forgetting_score, overfitting_score, recommendation_score and interpretation.
+
+    ``points`` has domain_gain, general_loss, reference and qa_delta.  A movement counts only above
+    the larger of the two floors.
+    """
+    least = max(floor, default_floor)
+    loss, gain = F.col("general_loss"), F.col("domain_gain")
+    meaningful = F.coalesce(loss > least, F.lit(False))
+    scale = F.when(F.coalesce(F.col("reference"), F.lit(0.0)) != 0, F.greatest(F.abs("reference"), F.lit(1e-9))).otherwise(1.0)
+    forgetting = F.when(F.coalesce(loss > 0, F.lit(False)), F.greatest(F.lit(0.0), loss - least) / scale).otherwise(0.0)
+    over = F.when(~F.coalesce(gain > least, F.lit(False)), 0.0).when(F.coalesce(F.col("qa_delta") < -least, F.lit(False)), 1.0).when(F.coalesce(F.abs("qa_delta") <= least, F.lit(False)), 0.5).otherwise(0.0)
+    pos = lambda c: F.greatest(F.lit(0.0), F.coalesce(c, F.lit(0.0)))
+    out = points.withColumns({"forgetting_score": forgetting, "overfitting_score": over})
+    return out.withColumns({
+        "recommendation_score": pos(gain) - pos(loss) - F.col("overfitting_score") * F.greatest(pos(gain), F.lit(1.0)),
+        "interpretation": F.when(meaningful, "forgetting_warning" if allowed else "diagnostic_general_loss").when(F.col("overfitting_score") > 0, "domain_overfitting_watch").otherwise("within_noise_or_improving"),
+    })
+
+
+def slug(c: Column) -> Column:
+    """Lower case, other characters as single hyphens, none at the ends."""
+    return F.regexp_replace(F.regexp_replace(F.lower(c), "[^a-z0-9]+", "-"), "^-+|-+$", "")
+
+
+def metric_label(c: Column) -> Column:
+    """A name for a metric: other characters as single underscores, none at the ends."""
+    return F.regexp_replace(F.regexp_replace(c, "[^A-Za-z0-9]+", "_"), "^_+|_+$", "")
+
+
+def realized(runs: DataFrame) -> DataFrame:
+    """Tokens seen and cost of each run: steps x length x batch x accumulation, hours x rate."""
+    return runs.select("run", (F.col("steps") * F.col("length") * F.col("batch") * F.col("accumulation")).alias("train_tokens"), (F.col("seconds") / 3600 * F.col("rate")).alias("cost"))
+
+
+def mini_eval(rows: DataFrame, most: float = 50.0) -> DataFrame:
+    """(suite, loss, perplexity): token-weighted loss; the perplexity is infinite from a loss of ``most``."""
+    good = rows.where((F.col("metric_name") == "nll") & finite(F.col("value")) & (F.col("token_count") > 0))
+    got = good.groupBy("suite").agg((F.sum(F.col("value") * F.col("token_count")) / F.sum("token_count")).alias("loss"))
+    return got.withColumn("perplexity", F.when(F.col("loss") >= most, F.lit(float("inf"))).otherwise(F.exp("loss")))

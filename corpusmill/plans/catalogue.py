@@ -504,6 +504,70 @@ def q_module_metadata(spark, sf_dir):
     return e.select("vec_id", "name", *M.module_metadata("name"), M.matches_pattern(F.lit("layers.1"), F.col("name")).alias("in_layer_1"))
 
 
+@query
+def q_lora_delta_norm(spark, sf_dir):
+    """Pairs of neighbouring vectors as 8 x 8 matrices A and B."""
+    e = table(spark, sf_dir, "embeddings")
+    side = F.when(F.col("vec_id") % 2 == 0, "A").otherwise("B")
+    name = F.concat(F.lit("layers."), F.floor(F.col("vec_id") / 2).cast("string"), F.lit(".q_proj.lora_"), side, F.lit(".weight"))
+    t = e.select(name.alias("name"), F.lit(8).alias("rows"), F.lit(8).alias("cols"), F.col("embedding").alias("values"), F.lit(2.0).alias("scaling"))
+    return M.lora_delta_norm(M.lora_pairs(t)).withColumn("norm", F.round("norm", 5))
+
+
+@query
+def q_reference_rows(spark, sf_dir):
+    n = _layers(spark, sf_dir).select(F.col("vec_id").alias("id"), F.col("movement").alias("norm"))
+    first = n.where("id % 3 > 0").select(F.col("id").alias("name"), (F.col("norm") * (F.col("id") % 3 - 1)).alias("norm"))
+    x = M.reference_rows(n.withColumnRenamed("id", "name"), first)
+    return x.select("name", *(F.round(c, 4).alias(c) for c in ("weight_norm", "reference_norm", "ratio")))
+
+
+@query
+def q_point_scores(spark, sf_dir):
+    p = _points(spark, sf_dir).select(RUN, "step", "domain_gain", "general_loss", (F.col("threshold") * 50).alias("reference"), (F.col("step") % 5 / 50.0 - 0.04).alias("qa_delta"))
+    x = M.scored(p)
+    return x.select(RUN, "step", "interpretation", *(F.round(c, 4).alias(c) for c in ("forgetting_score", "overfitting_score", "recommendation_score")))
+
+
+@query
+def q_earliest_alert(spark, sf_dir):
+    return M.alerts(_points(spark, sf_dir), RUN).groupBy(RUN).agg(F.min("step").alias("step"))
+
+
+@query
+def q_qa_delta(spark, sf_dir):
+    """The mean of the deltas of the question-answering metrics, and the largest of their floors."""
+    qa = F.col("metric").isin("domain_recall.token_f1", "domain_application.token_f1")
+    d = _deltas(spark, sf_dir).where(qa).agg(F.avg("delta").alias("delta"))
+    f = _floors(spark, sf_dir).where(qa).agg(F.greatest(F.coalesce(F.max("floor"), F.lit(0.0)), F.lit(0.02)).alias("floor"))
+    return d.join(F.broadcast(f), F.lit(True)).select(F.round("delta", 6).alias("delta"), F.round("floor", 6).alias("floor"))
+
+
+@query
+def q_names(spark, sf_dir):
+    m = _metrics(spark, sf_dir).select("stage", "name").distinct()
+    return m.select("stage", "name", M.slug(F.concat_ws(" / ", "stage", F.upper("name"))).alias("slug"), M.metric_label(F.concat(F.lit("-"), "stage", F.lit(".."), "name", F.lit("!"))).alias("label"))
+
+
+@query
+def q_realized_tokens(spark, sf_dir):
+    r = _run_table(spark, sf_dir).where("steps is not null")
+    x = M.realized(r.select("run", "steps", F.lit(1024).alias("length"), F.lit(2).alias("batch"), F.lit(4).alias("accumulation"), (F.col("steps") * 1.5).alias("seconds"), F.lit(2.0).alias("rate")))
+    return x.withColumn("cost", F.round("cost", 6))
+
+
+@query
+def q_mini_eval(spark, sf_dir):
+    x = M.mini_eval(_results(spark, sf_dir))
+    return x.select("suite", F.round("loss", 6).alias("loss"), F.round("perplexity", 6).alias("perplexity"))
+
+
+@query
+def q_surface_examples(spark, sf_dir):
+    """The first eight examples of the surface kind in order of their id, as a training loop looks at them."""
+    return _examples(spark, sf_dir).where(F.col("kind").isin("surface", "general")).orderBy("example_id").limit(8).select("example_id", "hash")
+
+
 # --- funnel ----------------------------------------------------------------------------------
 
 

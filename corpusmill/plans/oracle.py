@@ -330,3 +330,23 @@ ORACLE["q_funnel"] = f"""{_DEDUPED}, {_LEFT}, {_EX}, {_overlap(13).replace('FROM
 clear AS (SELECT doc_id FROM rest ANTI JOIN flags USING (doc_id))
 SELECT '1 ingest' AS stage, count(*) AS documents FROM documents UNION ALL SELECT '2 text', count(*) FROM cleaned UNION ALL SELECT '3 clean', count(*) FROM good UNION ALL
 SELECT '4 dedup', count(*) FROM rest UNION ALL SELECT '5 contamination', count(*) FROM clear UNION ALL SELECT '6 tokenize', count(*) FROM runs SEMI JOIN clear USING (doc_id)"""
+ORACLE |= {
+    "q_lora_delta_norm": """WITH c AS (SELECT vec_id // 2 AS p, vec_id % 2 AS side, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) - 1 AS k FROM embeddings),
+z AS (SELECT a.p, b.k // 8 AS i, a.k % 8 AS j, sum(a.v * b.v) AS z FROM c a JOIN c b ON a.p = b.p AND a.side = 0 AND b.side = 1 AND a.k // 8 = b.k % 8 GROUP BY ALL)
+SELECT 'layers.' || p || '.q_proj' AS prefix, round(2 * sqrt(sum(z * z)), 5) AS norm FROM z GROUP BY p""",
+    "q_reference_rows": f"""WITH {_LAY}, n AS (SELECT vec_id, norm * (vec_id % 11 + 1) AS w, CASE WHEN vec_id % 3 > 0 THEN norm * (vec_id % 11 + 1) * (vec_id % 3 - 1) END AS r FROM nm)
+SELECT vec_id AS name, round(w, 4) AS weight_norm, round(r, 4) AS reference_norm, CASE WHEN r <> 0 THEN round(abs(w - r) / r, 4) END AS ratio FROM n""",
+    "q_point_scores": f"""WITH {_SERIES}, {_POINTS}, p AS (SELECT config_hash, step, domain_gain AS g, general_loss AS l, threshold * 50 AS r, step % 5 / 50.0::DOUBLE - 0.04 AS q FROM points),
+o AS (SELECT *, CASE WHEN NOT coalesce(g > 0.02, false) THEN 0.0 WHEN q < -0.02 THEN 1.0 WHEN abs(q) <= 0.02 THEN 0.5 ELSE 0.0 END::DOUBLE AS o FROM p)
+SELECT config_hash, step, CASE WHEN coalesce(l > 0.02, false) THEN 'forgetting_warning' WHEN o > 0 THEN 'domain_overfitting_watch' ELSE 'within_noise_or_improving' END AS interpretation,
+round(CASE WHEN coalesce(l > 0, false) THEN greatest(0, l - 0.02) / CASE WHEN coalesce(r, 0) <> 0 THEN greatest(abs(r), 1e-9) ELSE 1 END ELSE 0 END, 4) AS forgetting_score, o AS overfitting_score,
+round(greatest(0, coalesce(g, 0)) - greatest(0, coalesce(l, 0)) - o * greatest(1, coalesce(g, 0)), 4) AS recommendation_score FROM o""",
+    "q_earliest_alert": f"WITH {_SERIES}, {_POINTS} SELECT config_hash, min(step) AS step FROM alerts GROUP BY config_hash",
+    "q_qa_delta": f"""WITH {_BOOT} SELECT round((SELECT avg(delta) FROM deltas WHERE metric IN ('domain_recall.token_f1', 'domain_application.token_f1')), 6) AS delta,
+round((SELECT greatest(coalesce(max(floor), 0), 0.02) FROM floors WHERE metric IN ('domain_recall.token_f1', 'domain_application.token_f1')), 6) AS floor""",
+    "q_names": """SELECT DISTINCT stage, name, stage || '-' || replace(name, '_', '-') AS slug, stage || '_' || name AS label FROM metric_rows""",
+    "q_realized_tokens": f"WITH {_RUNTAB} SELECT run, steps * 8192 AS train_tokens, round(steps * 1.5 / 3600 * 2.0, 6) AS cost FROM runtab WHERE steps IS NOT NULL",
+    "q_mini_eval": f"""SELECT suite, round(sum(value * token_count) / sum(token_count), 6) AS loss, round(exp(sum(value * token_count) / sum(token_count)), 6) AS perplexity
+FROM eval_results WHERE metric_name = 'nll' AND token_count > 0 AND {_FIN} GROUP BY suite""",
+    "q_surface_examples": f"WITH {_EX} SELECT example_id, sha256(clean_text) AS hash FROM examples WHERE kind = 'surface' ORDER BY example_id LIMIT 8",
+}
