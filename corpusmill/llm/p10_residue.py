@@ -1,10 +1,10 @@
 """Problem 10: template residue, filler, error output and script notices in place of content.
 
 Lines are normalised (numbers and codes masked) and counted by source; lines that many documents of
-one source share are its boilerplate and are taken off where a text of some length remains.  The
-residual is judged: a placeholder that stands for a value or word, or evidence of filler, an error
-or a script notice that makes up most of what is left.  A sentence that only speaks of such things
-inside a complete text does not reach that share.
+one source share are its boilerplate and are taken off where any other line remains.  The whole
+text and the residual are judged, and either makes a case: a placeholder that stands for a value or
+word, or evidence of filler, an error or a script notice that makes up most of it.  A sentence that
+only speaks of such things inside a complete text does not reach that share.
 """
 
 from __future__ import annotations
@@ -18,9 +18,7 @@ from .common import arrow_map, fold, words
 
 #: A line is boilerplate of its source once this many of its documents hold it.
 RECURRENT = 10
-#: Boilerplate is taken off only where at least so many words remain.
-REMAIN_WORDS = 40
-#: Share of the words of the residual that evidence must cover.
+#: Share of the words of the text or residual that evidence must cover.
 SHARE = 0.5
 #: An error message or notice has at most so many words; a longer text is a text of its own.
 SHORT_WORDS = 60
@@ -122,12 +120,12 @@ def filler_lexicon(docs: DataFrame, common: set[str], most: int = LEXICON_WORDS)
 
 
 def residual(text: str, boilerplate) -> str:
-    """The text without its source's boilerplate lines, where enough of it remains."""
+    """The text without its source's boilerplate lines, where any other line has words."""
     if boilerplate is None or not len(boilerplate):
         return text
     lines = text.split("\n")
     left = "\n".join(line for line, off in zip(lines, boilerplate) if not off)
-    return left if len(left) < len(text) and len(words(left)) >= REMAIN_WORDS else text
+    return left if len(left) < len(text) and words(left) else text
 
 
 def _different(text: str) -> str | None:
@@ -145,7 +143,7 @@ def _different(text: str) -> str | None:
 
 
 def verdict(text: str | None, lexicon: frozenset[str] | set[str] = frozenset(("lorem", "ipsum"))) -> str | None:
-    """placeholder, filler, error, script, or None; of a residual text."""
+    """placeholder, filler, error, script, or None; of a whole or residual text."""
     if not text or not text.strip():
         return None
     if any(c in text for c in _OPENERS) and PLACEHOLDER.search(text):
@@ -178,6 +176,11 @@ def verdict(text: str | None, lexicon: frozenset[str] | set[str] = frozenset(("l
     return most if sum(by.values()) >= SHARE * n or by[most] and n <= ALONE_WORDS else None
 
 
+def either(text: str, left: str, lexicon) -> str | None:
+    """The verdict on the whole text, else on its residual: short error pages themselves recur."""
+    return verdict(text, lexicon) or (verdict(left, lexicon) if left != text else None)
+
+
 def _bare(text: str) -> str:
     return _CODE.sub(" ", _LABEL.sub(" ", text))
 
@@ -227,7 +230,7 @@ def residue(docs: DataFrame, common: set[str], least: int = RECURRENT, broadcast
     lexicon = filler_lexicon(docs, common)
 
     def each(i, text, left):
-        kind = verdict(left, lexicon)
+        kind = either(text, left, lexicon)
         return [(i, kind)] if kind else []
 
     return judged(docs, recurrent_lines(docs, least), lexicon, each, "doc_id long, kind string", broadcast_keys)

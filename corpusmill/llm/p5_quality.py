@@ -238,6 +238,6 @@ def not_prose(docs: DataFrame, common: set[str]) -> DataFrame:
     lexicon = p10_residue.filler_lexicon(docs, common)
 
     def each(i, text, left):
-        return [(i,)] if is_prose(text, common) is False and not p10_residue.verdict(left, lexicon) else []
+        return [(i,)] if is_prose(text, common) is False and not p10_residue.either(text, left, lexicon) else []
 
     return p10_residue.judged(docs, p10_residue.recurrent_lines(docs), lexicon, each, "doc_id long")

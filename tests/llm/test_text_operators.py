@@ -219,3 +219,15 @@ def test_boilerplate_is_subtracted_alike_by_both_ways(spark):
     for keys in (1 << 20, 0):
         got = {r.doc_id: r.kind for r in p10_residue.residue(d, COMMON, broadcast_keys=keys).collect()}
         assert got == {13: "script"}
+
+
+FRAME = "North yard archive of pumps and valves\nAll notes of the keepers since the first winter stand here in order\n" \
+    "Open from Monday to Friday between nine and noon except on feast days\nWritten by hand and copied by the hall in the south wing above the long stair"
+
+
+def test_short_error_under_boilerplate_is_found(spark):
+    notice = "The record you wanted was not found. It may have been moved. Please try again later or go back to the start."
+    texts = [f"{FRAME}\n{PROSE * 3} number {k}" for k in range(12)] + [f"{FRAME}\n{notice}", FRAME]
+    got = {r.doc_id: r.kind for r in p10_residue.residue(table(spark, texts), COMMON).collect()}
+    assert got == {13: "error"}
+    assert 13 not in {r.doc_id for r in p5_quality.not_prose(table(spark, texts), COMMON).collect()}
