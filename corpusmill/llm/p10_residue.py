@@ -16,8 +16,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import arrow_map, fold, words
 
-#: A line is boilerplate of its source once this many of its documents hold it.
-RECURRENT = 10
+#: A line is boilerplate of its source if this share of its documents hold it, and so many at least
+#: that it is no coincidence.
+RECURRENT_SHARE, RECURRENT = 0.01, 10
 #: Share of the words of the text or residual that evidence must cover.
 SHARE = 0.5
 #: An error message or notice has at most so many words; a longer text is a text of its own.
@@ -92,14 +93,18 @@ def line_keys(text: Column, host: Column) -> Column:
     return F.transform(lines, key)
 
 
-def recurrent_lines(docs: DataFrame, least: int = RECURRENT) -> DataFrame:
-    """(key) of the lines that at least ``least`` documents of one source share.
+def recurrent_lines(docs: DataFrame, least: int = RECURRENT, share: float = RECURRENT_SHARE) -> DataFrame:
+    """(key) of the lines that ``share`` of the documents of one source hold, ``least`` of them at least.
 
     ``docs`` has text and host.  Keys are counted once a document and pre-aggregated, so a line
-    that every page of a source repeats is one row a task.
+    that every page of a source repeats is one row a task.  Documents with a null or empty text
+    do not count for the size of a source.
     """
-    keys = docs.select(F.explode(F.array_distinct(line_keys(F.col("text"), F.col("host")))).alias("key")).where("key <> 0")
-    return keys.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("key")
+    hosted = docs.where(F.length("text") > 0).select("text", "host", F.xxhash64("host").alias("h"))
+    keys = hosted.select("h", F.explode(F.array_distinct(line_keys(F.col("text"), F.col("host")))).alias("key")).where("key <> 0")
+    held = keys.groupBy("h", "key").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    sizes = hosted.groupBy("h").agg(F.count("*").alias("docs"))
+    return held.join(sizes, "h").where(F.col("n") >= share * F.col("docs")).select("key")
 
 
 def filler_lexicon(docs: DataFrame, common: set[str], most: int = LEXICON_WORDS) -> set[str]:
@@ -143,7 +148,11 @@ def _different(text: str) -> str | None:
 
 
 def verdict(text: str | None, lexicon: frozenset[str] | set[str] = frozenset(("lorem", "ipsum"))) -> str | None:
-    """placeholder, filler, error, script, or None; of a whole or residual text."""
+    """placeholder, filler, error, script, or None; of a whole or residual text.
+
+    Placeholders count wherever they stand: an unfilled template recurs by nature, so the whole text
+    is always searched for them.
+    """
     if not text or not text.strip():
         return None
     if any(c in text for c in _OPENERS) and PLACEHOLDER.search(text):

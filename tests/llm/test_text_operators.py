@@ -231,3 +231,14 @@ def test_short_error_under_boilerplate_is_found(spark):
     got = {r.doc_id: r.kind for r in p10_residue.residue(table(spark, texts), COMMON).collect()}
     assert got == {13: "error"}
     assert 13 not in {r.doc_id for r in p5_quality.not_prose(table(spark, texts), COMMON).collect()}
+
+
+def test_recurrent_placeholders_are_found(spark):
+    """A template's line is boilerplate by its count; a larger source needs more of a line."""
+    texts = [f"station: {{{{ value }}}}\n{PROSE * 3} number {k}" for k in range(15)]
+    got = {r.doc_id: r.kind for r in p10_residue.residue(table(spark, texts), COMMON).collect()}
+    assert got == {k: "placeholder" for k in range(1, 16)}
+    lines = ["shared line\n"] * 12 + [""] * 1500
+    few, many = ([f"{x}page {chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676)}" for k, x in enumerate(lines[:n])] for n in (100, 1500))
+    assert p10_residue.recurrent_lines(table(spark, few)).count() == 1
+    assert p10_residue.recurrent_lines(table(spark, many)).count() == 0
