@@ -21,7 +21,8 @@ from .common import arrow_map, fold, words
 RECURRENT_SHARE, RECURRENT = 0.01, 10
 #: Share of the words of the text or residual that evidence must cover.
 SHARE = 0.5
-#: An error message or notice has at most so many words; a longer text is a text of its own.
+#: A text of at most so many words is judged by sentences over its lines; a longer one by sentences
+#: and lines, each once, as far as its sentences go over more words than this.
 SHORT_WORDS = 60
 #: A text of no more words than this is a case by any evidence in it.
 ALONE_WORDS = 16
@@ -72,9 +73,40 @@ SCRIPTS = re.compile(
 # A code or a number with its usual label, which says nothing of a text.
 _LABEL = re.compile(r"\b(?:request id|incident|ref\.?|id)\s*(?=[#\w-]*\d)", re.I)
 _CODE = re.compile(r"[\w/.-]*\d[\w/.-]*")
+_CALL = re.compile(r"\bat [\w.$]+\(|^\s*#\d", re.M | re.I)
+_RAISING = re.compile("Error|Exception|Interrupt|Exit")
+_KINDS = {"filler": FILLER, "script": SCRIPTS, "error": ERROR}
 _OPENERS = ("{", "[", "<", "__", "%(", "XX_", "xx_", "Xx_")
 _NO_DIGITS = dict.fromkeys(map(ord, "0123456789"))
-_FRAME = re.compile(r"\s*(?:at \S+\(|File \"|#\d+ )")
+_FRAME = re.compile(r"\s*(?:at \S+\(|at \S+ \(\S+:\d+\)|File \"|#\d+ )")
+_INDENT = re.compile(r"[^\S\n]*")
+# The line of an error's name and message in error output.
+_RAISED = re.compile(r"\s*(?:Caused by: |Exception in thread \S+ )?(?:[\w.$]*(?:Error|Exception)|[\w.$]+(?:Interrupt|Exit))\b\s*(?::|\Z)")
+# Of each alternative of FILLER, ERROR and SCRIPTS a word, or a word and one of others,
+# that it cannot match without.
+_CUES = frozenset(
+    "lorem ipsum sample dummy placeholder publishing coming beispieltext platzhaltertext blindtext"
+    " error erreur fehler exception traceback undefined unhandled segmentation stack exist unknown"
+    " forbidden denied authorized authorised unauthorized unauthorised permission maintenance unavailable offline"
+    " snag fatal timed timeout object reload expired"
+    " interdit refusé introuvable indisponible réessayer supprimé supprimée zutritt zugriff verweigert wartung"
+    " prohibido denegado mantenimiento sesión sitzung planned"
+    " noscript java javascript javascripts js script scripts scripting skript skripte skripten verifying checking browser navigateur navegador".split()
+) | frozenset(map(str, range(400, 600)))
+_PAIRS = [
+    (a, frozenset(b.split()))
+    for a, b in {
+        "here": "goes comes go appear", "before": "publishing", "be": "written filled added announced", "ici": "votre", "votre": "texte session",
+        "texte": "exemple venir", "aquí": "su", "su": "texto sesión", "texto": "ejemplo relleno", "hier": "steht", "ihr": "text browser", "not": "found authorized authorised",
+        "page": "moved removed longer busy closed down", "record": "moved removed longer", "entry": "moved removed longer", "address": "moved removed longer",
+        "document": "moved removed longer", "resource": "moved removed longer", "block": "list lift", "too": "many long", "slow": "down",
+        "service": "busy closed down", "site": "busy closed down", "archive": "busy closed down", "server": "busy closed down", "system": "busy closed down",
+        "again": "try come later in soon sign", "back": "try come", "went": "wrong", "unexpected": "fault", "database": "connection", "cannot": "open",
+        "sent": "answer", "closed": "line", "time": "out", "existe": "n no", "revenir": "tard", "été": "supprimé supprimée",
+        "nicht": "gefunden erreichbar", "später": "erneut", "existiert": "nicht", "no": "encontrado encontrada disponible", "más": "tarde", "fuera": "servicio",
+        "se": "produjo", "kein": "zutritt zugriff", "keinen": "zutritt zugriff", "active": "parts",
+    }.items()
+]
 # A line of a log, which reports errors among other things.
 _LOG = re.compile(r"^\W*\d{4}-\d\d-\d\d[T ]\d\d:\d\d.*\b(?:INFO|DEBUG|WARN|TRACE|ERROR)\b", re.M | re.I)
 _TERMINAL = re.compile(r"[.!?…:;][\"'”»)\]]*\s*\Z")
@@ -162,22 +194,28 @@ def verdict(text: str | None, lexicon: frozenset[str] | set[str] = frozenset(("l
     w = words(text)
     if sum(map(lexicon.__contains__, w)) >= SHARE * len(w) > 1:
         return "filler"
-    if len(w) > SHORT_WORDS:
-        short = _different(text) if "\n" in text else None
-        if short is None or len(words(short)) > SHORT_WORDS:
-            return None
-        text = short
+    if len(w) <= SHORT_WORDS:
+        return _short(text)
+    if "\n" in text and (short := _different(text)) is not None and len(words(short)) <= SHORT_WORDS and (kind := _short(short)):
+        return kind
+    if not (_cued(set(w)) or _RAISING.search(text) or _CALL.search(text)) or _LOG.search(text):
+        return None
+    return _long(text, len(w))
+
+
+def _short(text: str) -> str | None:
+    """filler, error, script, or None; of a text of few words."""
     if _LOG.search(text) or not (ERROR.search(text) or SCRIPTS.search(text) or FILLER.search(text)):
         return None
     head, _, rest = text.strip().partition("\n")
     if words(_bare(rest)) and not _TERMINAL.search(head) and not any(p.search(head) for p in (FILLER, SCRIPTS, ERROR)):
         text = rest  # a title
-    n, by = 0, {"filler": 0, "script": 0, "error": 0}
+    n, by = 0, dict.fromkeys(_KINDS, 0)
     for s in _SENTENCE.split(_SPACE.sub(" ", text)):
         flat = s.replace("\n", " ")
         size = len(words(_bare(flat)))
         n += size
-        for kind, pattern in (("filler", FILLER), ("script", SCRIPTS), ("error", ERROR)):
+        for kind, pattern in _KINDS.items():
             if pattern.search(flat):
                 by[kind] += size or 1
                 break
@@ -185,6 +223,77 @@ def verdict(text: str | None, lexicon: frozenset[str] | set[str] = frozenset(("l
     return most if sum(by.values()) >= SHARE * n or by[most] and n <= ALONE_WORDS else None
 
 
+def _units(text: str):
+    """(text, whether it names an error) of the parts of a long text.
+
+    Stack frames, with the deeper source lines after them, say nothing of their own and are left out.
+    The line that names an error is a part; of the rest each sentence, by lines where it goes on
+    without an end over too many words.
+    """
+    run: list[str] = []
+    frame = None
+    for line in text.split("\n"):
+        indent = _INDENT.match(line).end()
+        if _FRAME.match(line):
+            frame, named = indent, False
+        elif frame is not None and indent > frame and line.strip():
+            continue
+        else:
+            frame, named = None, bool(_RAISED.match(line))
+            if not named:
+                run.append(line)
+                continue
+        yield from ((s, False) for s in _sentences(run))
+        run = []
+        if named:
+            yield line, True
+    yield from ((s, False) for s in _sentences(run))
+
+
+def _sentences(run: list[str]):
+    for s in _SENTENCE.split("\n".join(run)):
+        if "\n" in s and s.count(" ") + s.count("\n") >= SHORT_WORDS:
+            yield from s.split("\n")
+        else:
+            yield s
+
+
+def _long(text: str, most: int) -> str | None:
+    """filler, error, script, or None; of a text of ``most`` words, each different part counted once.
+
+    Numbers and codes do not count.  It ends where the words without evidence are more than all that
+    can still carry some.
+    """
+    plain, by, seen = 0, dict.fromkeys(_KINDS, 0), set()
+    for s, named in _units(text):
+        w = words(s)
+        most -= len(w)
+        key = tuple(filter(str.isalpha, w))
+        if key in seen or not key:
+            continue
+        seen.add(key)
+        size = len(key)
+        if named:
+            by["error"] += size
+            continue
+        if _cued(set(w)) or "(" in s and _CALL.search(s):
+            flat = _SPACE.sub(" ", s.replace("\n", " "))
+            for kind, pattern in _KINDS.items():
+                if pattern.search(flat):
+                    by[kind] += size
+                    size = 0
+                    break
+        plain += size
+        if plain > sum(by.values()) + max(most, 0):
+            return None
+    return max(by, key=by.get) if any(by.values()) and sum(by.values()) >= plain else None
+
+
+def _cued(w: set[str]) -> bool:
+    """Whether the different words allow any evidence."""
+    return not _CUES.isdisjoint(w) or any(a in w and not b.isdisjoint(w) for a, b in _PAIRS)
+
+
 def either(text: str, left: str, lexicon) -> str | None:
     """The verdict on the whole text, else on its residual: short error pages themselves recur."""
     return verdict(text, lexicon) or (verdict(left, lexicon) if left != text else None)

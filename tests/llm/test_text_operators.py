@@ -242,3 +242,16 @@ def test_recurrent_placeholders_are_found(spark):
     few, many = ([f"{x}page {chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676)}" for k, x in enumerate(lines[:n])] for n in (100, 1500))
     assert p10_residue.recurrent_lines(table(spark, few)).count() == 1
     assert p10_residue.recurrent_lines(table(spark, many)).count() == 0
+
+
+def test_long_errors_and_filler_are_found():
+    """Evidence counts by share whatever the length; frames take their source lines with them."""
+    verbs = "open read write close parse check fetch store merge split count scale round trim join sort pick drop send load shift mark bind pack seal".split()
+    frames = "\n".join(f'  File "/srv/yard/{v}.py", line {k}, in {v}\n    {v}_valve = {v}(pump, drain={k}, wall="{v} north")' for k, v in enumerate(verbs))
+    trace = f"Traceback (most recent call last):\n{frames}\nValueError: the drain of the hall is shut"
+    chained = "\n\nDuring handling of the above exception, another exception occurred:\n\n".join(trace.replace("hall", v).replace("drain of", f"{v} near") for v in verbs[:6])
+    assert p10_residue.verdict(trace) == p10_residue.verdict(chained) == "error"
+    assert p10_residue.verdict("Your content goes here. " * 30) == "filler"
+    told = TEXT.replace("a long crack", "an error message")
+    assert p10_residue.verdict(told) is None and p10_residue.verdict(f"{told}\n{trace}\n{PROSE}") is None
+    assert p10_residue.verdict("\n".join(f"#{k} {v} the north pump again" for k, v in enumerate(verbs))) is None
