@@ -1,6 +1,6 @@
 """Problem 10: template residue, filler, error output and script notices in place of content.
 
-Lines are normalised (numbers and codes masked) and counted by source; lines that many documents of
+Lines are normalised (numbers and codes masked, punctuation and spacing folded) and counted by source; lines that many documents of
 one source share are its boilerplate and are taken off where any other line remains.  The whole
 text and the residual are judged, and either makes a case: a placeholder that stands for a value or
 word, or evidence of filler, an error or a script notice that makes up most of it.  A sentence that
@@ -10,11 +10,13 @@ only speaks of such things inside a complete text does not reach that share.
 from __future__ import annotations
 
 import re
+from collections import Counter
+from hashlib import blake2b
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from .common import arrow_map, fold, words
+from .common import _WORD, arrow_map, fold, words
 
 #: A line is boilerplate of its source if this share of its documents hold it, and so many at least
 #: that it is no coincidence.
@@ -76,6 +78,8 @@ _CODE = re.compile(r"[\w/.-]*\d[\w/.-]*")
 _CALL = re.compile(r"\bat [\w.$]+\(|^\s*#\d", re.M | re.I)
 _RAISING = re.compile("Error|Exception|Interrupt|Exit")
 _KINDS = {"filler": FILLER, "script": SCRIPTS, "error": ERROR}
+_KEYED = re.compile(r"[^\W_]+(?:[-_]+[^\W_]+)*")
+_DIGIT = re.compile(r"\d")
 _OPENERS = ("{", "[", "<", "__", "%(", "XX_", "xx_", "Xx_")
 _NO_DIGITS = dict.fromkeys(map(ord, "0123456789"))
 _FRAME = re.compile(r"\s*(?:at \S+\(|at \S+ \(\S+:\d+\)|File \"|#\d+ )")
@@ -114,28 +118,40 @@ _SENTENCE = re.compile(r"(?<=[.!?…])[\"'”»)\]]*\s+|\n\s*\n")
 _SPACE = re.compile(r"[^\S\n]+")
 
 
-def line_keys(text: Column, host: Column) -> Column:
-    """A 64-bit key of each line: its source, and the line without case, digits and outer space; 0 if blank."""
-    lines = F.split(text, "\n")
-
-    def key(line):
-        bare = F.trim(F.translate(F.lower(line), "0123456789\t\r", ""))
-        return F.when(bare == "", F.lit(0).cast("long")).otherwise(F.xxhash64(host, bare))
-
-    return F.transform(lines, key)
+def line_keys(text: str, host: int) -> list[int]:
+    """A 64-bit key of each line: its source and its words, with numbers and codes masked; 0 without letters."""
+    seed, out = host.to_bytes(8, "little", signed=True), []
+    for line in fold(text).split("\n"):
+        found = _KEYED.findall(line)
+        if not all(map(str.isalpha, found)):
+            masked = ["0" if _DIGIT.search(x) else x for x in found]
+            # As many numbers in a row as there are: one.
+            found = _WORD.findall(" ".join(x for k, x in enumerate(masked) if x != "0" or not k or masked[k - 1] != "0"))
+            if found == ["0"]:
+                found = []
+        key = int.from_bytes(blake2b(" ".join(found).encode("utf-8", "replace"), digest_size=8, key=seed).digest(), "little", signed=True)
+        out.append((key or 1) if found else 0)
+    return out
 
 
 def recurrent_lines(docs: DataFrame, least: int = RECURRENT, share: float = RECURRENT_SHARE) -> DataFrame:
     """(key) of the lines that ``share`` of the documents of one source hold, ``least`` of them at least.
 
     ``docs`` has text and host.  Keys are counted once a document and pre-aggregated, so a line
-    that every page of a source repeats is one row a task.  Documents with a null or empty text
+    that every page of a source repeats is one row a batch.  Documents with a null or empty text
     do not count for the size of a source.
     """
-    hosted = docs.where(F.length("text") > 0).select("text", "host", F.xxhash64("host").alias("h"))
-    keys = hosted.select("h", F.explode(F.array_distinct(line_keys(F.col("text"), F.col("host")))).alias("key")).where("key <> 0")
-    held = keys.groupBy("h", "key").agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    sizes = hosted.groupBy("h").agg(F.count("*").alias("docs"))
+    hosted = docs.where(F.length("text") > 0).select("text", F.xxhash64("host").alias("h"))
+
+    def each(batch):
+        n: Counter = Counter()
+        for text, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            n.update((h, key) for key in set(line_keys(text, h)) if key)
+        return {"h": [h for h, _ in n], "key": [key for _, key in n], "n": list(n.values())}
+
+    keys = arrow_map(hosted, each, "h long, key long, n long")
+    held = keys.groupBy("h", "key").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    sizes = docs.where(F.length("text") > 0).groupBy(F.xxhash64("host").alias("h")).agg(F.count("*").alias("docs"))
     return held.join(sizes, "h").where(F.col("n") >= share * F.col("docs")).select("key")
 
 
@@ -308,31 +324,36 @@ def judged(docs: DataFrame, recurrent: DataFrame, lexicon: set[str], each_text,
 
     Recurrent keys go to the tasks while they are few, else they join the exploded lines by shuffle.
     """
-    base = docs.select("doc_id", "text", "host").where("doc_id is not null")
-    n = recurrent.count()
-    if n <= broadcast_keys:
-        keys = np.sort(np.array([r.key for r in recurrent.toLocalIterator()], np.int64))
-        shared = docs.sparkSession.sparkContext.broadcast(keys)
-        base = base.withColumn("keys", line_keys(F.col("text"), F.col("host")))
-
-        def marks(column):
-            known = set(shared.value.tolist())
-            return [None if k is None else [x in known for x in k] for k in column.to_pylist()]
+    base = docs.select("doc_id", "text", F.xxhash64("host").alias("h")).where("doc_id is not null")
+    # At most one key more than may be sent comes back.
+    got = recurrent.limit(broadcast_keys + 1).toArrow()
+    if got.num_rows <= broadcast_keys:
+        shared = docs.sparkSession.sparkContext.broadcast(np.sort(got.column(0).to_numpy()))
+        known: set[int] = set()
+
+        def flags(text, h):
+            if not known:
+                known.update(shared.value.tolist())
+            return [key in known for key in line_keys(text, h)] if known else []
     else:
-        lines = base.select("doc_id", F.posexplode(line_keys(F.col("text"), F.col("host"))).alias("at", "key")).where("key <> 0")
-        hit = lines.join(recurrent, "key").groupBy("doc_id").agg(F.collect_set("at").alias("keys"))
-        base = base.join(hit, "doc_id", "left").select("doc_id", "text", "host", "keys")
 
-        def marks(column):
-            # Positions of boilerplate lines, as flags up to the last of them.
-            return [None if k is None else [x in set(k) for x in range(max(k) + 1)] for k in column.to_pylist()]
+        def at(batch):
+            rows = [(i, k, key) for i, text, h in zip(*(c.to_pylist() for c in batch.columns)) if text for k, key in enumerate(line_keys(text, h)) if key]
+            return {"doc_id": [r[0] for r in rows], "at": [r[1] for r in rows], "key": [r[2] for r in rows]}
+
+        hit = arrow_map(base, at, "doc_id long, at int, key long").join(recurrent, "key").groupBy("doc_id").agg(F.collect_set("at").alias("h"))
+        base = base.drop("h").join(hit, "doc_id", "left").select("doc_id", "text", "h")
+
+        def flags(text, found):
+            known = set(found or ())
+            return [k in known for k in range(text.count("\n") + 1)] if known else []
 
     def each(batch):
         rows = []
-        for i, text, off in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), marks(batch.column(3))):
+        for i, text, h in zip(*(c.to_pylist() for c in batch.columns)):
             if text:
-                flags = None if off is None else off + [False] * (text.count("\n") + 1 - len(off))
-                rows.extend(each_text(i, text, residual(text, flags) if flags and any(flags) else text))
+                off = flags(text, h)
+                rows.extend(each_text(i, text, residual(text, off) if any(off) else text))
         names = [f.strip().split()[0] for f in schema.split(",")]
         return {name: [r[k] for r in rows] for k, name in enumerate(names)}
 

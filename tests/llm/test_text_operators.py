@@ -255,3 +255,16 @@ def test_long_errors_and_filler_are_found():
     told = TEXT.replace("a long crack", "an error message")
     assert p10_residue.verdict(told) is None and p10_residue.verdict(f"{told}\n{trace}\n{PROSE}") is None
     assert p10_residue.verdict("\n".join(f"#{k} {v} the north pump again" for k, v in enumerate(verbs))) is None
+
+
+def test_line_keys_mask_codes_and_fold_punctuation(spark):
+    same = ["Request 7f3ac2-bd of Node_12: done", "request  91, of node_7 \u2013 DONE!", "Request\u00a0A-17-c of N-4 done", "REQUEST 1,204.5 of x9: \u200bdone"]
+    assert len({k for x in same for k in p10_residue.line_keys(x, 5)}) == 1
+    assert p10_residue.line_keys("well-known a\nwell known a\n\n 12:30 \nother", 5)[2:4] == [0, 0]
+    assert len(set(p10_residue.line_keys("well-known a\nwell known a\nother", 5))) == 2
+    assert p10_residue.line_keys("other", 5) != p10_residue.line_keys("other", 6)
+    notice = "Please enable JavaScript to view this page."
+    heads = [f"Request {k:x}f{k * 7919:x}b of the north yard archive of pumps and valves in order of the first winter and of the hall" for k in range(13)]
+    texts = [f"{h}\n{PROSE * 3}" for h in heads[:12]] + [f"{heads[12]}\n{notice}"]
+    for keys in (1 << 20, 0):
+        assert {r.doc_id: r.kind for r in p10_residue.residue(table(spark, texts), COMMON, broadcast_keys=keys).collect()} == {13: "script"}
