@@ -17,13 +17,15 @@ from . import p10_residue
 from .common import _WORD, arrow_map, fold, words
 
 NGRAM = 3
+#: Words of a phrase whose repetition counts wherever it stands.
+PHRASE = 5
 #: Words that a line or sentence of prose has at least, and a sentence at most.
 LINE_WORDS, SENTENCE_WORDS, SENTENCE_MOST = 7, 4, 60
 #: Share of common words in prose, at least.
 COMMON_SHARE = 0.1
 #: A text is prose if at least this share of its words is in prose lines or sentences.
 PROSE_SHARE = 0.5
-#: Duplicate sentences, or one n-gram's characters, above this share make a text repetition.
+#: Duplicate sentences, lines or phrases, or one n-gram's characters, above this share make a text repetition.
 REPEAT_SHARE = 0.5
 
 # Function words that frequency lists of single words often lack.
@@ -138,6 +140,38 @@ def _top_share(w: list[str]) -> float:
     return min(1.0, most / max(sum(map(len, w)), 1))
 
 
+def _line_share(found: list[list[str]]) -> float:
+    """Share of the characters of the words in lines that repeat an earlier one; so do lines of equal paragraphs."""
+    seen: set[tuple] = set()
+    again = total = 0
+    for w in found:
+        size, key = sum(map(len, w)), tuple(w)
+        total += size
+        if key in seen:
+            again += size
+        seen.add(key)
+    return again / max(total, 1)
+
+
+def _phrase_share(w: list[str]) -> float:
+    """Share of the characters in phrases of PHRASE words that repeat an earlier one; each word counts once.
+
+    Longer phrases that repeat consist of such.
+    """
+    grams = list(zip(*(w[k:] for k in range(PHRASE))))
+    if len(set(grams)) == len(grams):
+        return 0.0
+    seen: set[tuple] = set()
+    again = end = 0
+    for k, g in enumerate(grams):
+        if g in seen:
+            again += sum(map(len, w[max(k, end) : k + PHRASE]))
+            end = k + PHRASE
+        else:
+            seen.add(g)
+    return again / max(sum(map(len, w)), 1)
+
+
 def _layout(text: str, common) -> tuple[list[str], list[list[str]], list[str], float, float]:
     """Lines, their words, all words, symbol share and prose share of a text."""
     folded = fold(text)
@@ -162,14 +196,14 @@ def is_prose(text: str | None, common) -> bool | None:
     """
     if not text or text.isspace():
         return None
-    _, _, w, symbols, share = _layout(text, common)
+    _, found, w, symbols, share = _layout(text, common)
     if not w or share < PROSE_SHARE or symbols > SYMBOL_SHARE:
         return False
     if len(w) > 20:
         different = set(w)
         left = sum(map(len, different)) - NGRAM * max(map(len, different))
         if left <= (1 - REPEAT_SHARE) * sum(map(len, w)):
-            return _repeat_share(fold(text)) <= REPEAT_SHARE and _top_share(w) <= REPEAT_SHARE
+            return max(_repeat_share(fold(text)), _top_share(w), _line_share(found), _phrase_share(w)) <= REPEAT_SHARE
     return True
 
 

@@ -268,3 +268,12 @@ def test_line_keys_mask_codes_and_fold_punctuation(spark):
     texts = [f"{h}\n{PROSE * 3}" for h in heads[:12]] + [f"{heads[12]}\n{notice}"]
     for keys in (1 << 20, 0):
         assert {r.doc_id: r.kind for r in p10_residue.residue(table(spark, texts), COMMON, broadcast_keys=keys).collect()} == {13: "script"}
+
+
+def test_phrases_repeated_without_marks_are_no_prose():
+    phrase = "click here to read more about our offers today and in the summer "
+    assert p5_quality.is_prose(phrase * 100, COMMON) is False
+    assert p5_quality.is_prose("click here to read more about our offers today " * 100, COMMON | {"to", "here", "more", "our"}) is False
+    other = " ".join(f"{phrase}{chr(97 + k)}{chr(98 + k)}" for k in range(20))
+    assert p5_quality.is_prose(other, COMMON) is False
+    assert p5_quality.is_prose(TEXT, COMMON) is True and p5_quality.is_prose(f"{TEXT}\n{TEXT}", COMMON) is True
