@@ -277,3 +277,13 @@ def test_phrases_repeated_without_marks_are_no_prose():
     other = " ".join(f"{phrase}{chr(97 + k)}{chr(98 + k)}" for k in range(20))
     assert p5_quality.is_prose(other, COMMON) is False
     assert p5_quality.is_prose(TEXT, COMMON) is True and p5_quality.is_prose(f"{TEXT}\n{TEXT}", COMMON) is True
+
+
+def test_copies_of_records_meet_plain_words(spark):
+    """Equal words are copies whatever stands between them; equal fields join classes of words."""
+    texts = ["Inlet: 5\nOutlet: 7", "inlet 5 outlet 7", "Inlet: 5, Outlet: 7", "Outlet: 7\nInlet: 5", "outlet 7 | inlet 5", "Inlet: 7\nOutlet: 5",
+             "unlike", "a: b c\nd: e", "a b: c\nd: e", "d: e\na b: c"]
+    d = table(spark, texts)
+    assert pairs(p1_copies.repeated(d)) == {(1, 2), (1, 3), (1, 4), (1, 5), (8, 9), (8, 10)}
+    got = {r.doc_id: (r.first_id, r.copies) for r in p1_copies.copies(d, rows=2, size=20, first_bytes=1).collect()}
+    assert got == {**{k: (1, 5) for k in range(1, 6)}, 6: (6, 1), 7: (7, 1), **{k: (8, 3) for k in (8, 9, 10)}}
