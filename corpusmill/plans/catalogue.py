@@ -254,6 +254,8 @@ def q_pack_scan(spark, sf_dir):
 from ..operators import evaluation as E, metrics as M  # noqa: E402
 
 BOOTSTRAPS, SEED = 20, 9186
+#: The draws of the reference, for the queries ending in _200; those with fewer are the ones SQL repeats.
+REFERENCE_BOOTSTRAPS = 200
 
 
 def _results(spark, sf_dir):
@@ -324,15 +326,24 @@ def q_repeat_stats(spark, sf_dir):
     return s.select("metric", "n", *(F.round(c, 6).alias(c) for c in ("mean", "sd", "se", "least", "most")))
 
 
+def _intervals(spark, sf_dir, samples):
+    b = E.bootstrap(_results(spark, sf_dir), samples, SEED)
+    return b.select("metric", "n", *(F.round(c, 6).alias(c) for c in ("low", "high", "half_width")))
+
+
 @query
 def q_bootstrap_ci(spark, sf_dir):
-    b = E.bootstrap(_results(spark, sf_dir), BOOTSTRAPS, SEED)
-    return b.select("metric", "n", *(F.round(c, 6).alias(c) for c in ("low", "high", "half_width")))
+    return _intervals(spark, sf_dir, BOOTSTRAPS)
+
+
+@query
+def q_bootstrap_ci_200(spark, sf_dir):
+    return _intervals(spark, sf_dir, REFERENCE_BOOTSTRAPS)
 
 
-def _floors(spark, sf_dir):
+def _floors(spark, sf_dir, samples=BOOTSTRAPS):
     r = _results(spark, sf_dir)
-    return E.noise_floors(E.repeat_stats(r), E.bootstrap(r, BOOTSTRAPS, SEED), {"domain_surface.nll": 0.05})
+    return E.noise_floors(E.repeat_stats(r), E.bootstrap(r, samples, SEED), {"domain_surface.nll": 0.05})
 
 
 @query
@@ -340,6 +351,11 @@ def q_noise_floors(spark, sf_dir):
     return _floors(spark, sf_dir).withColumn("floor", F.round("floor", 6))
 
 
+@query
+def q_noise_floors_200(spark, sf_dir):
+    return _floors(spark, sf_dir, REFERENCE_BOOTSTRAPS).withColumn("floor", F.round("floor", 6))
+
+
 @query
 def q_alert_policy(spark, sf_dir):
     return E.alert_policy(E.bootstrap(_results(spark, sf_dir), 0))
@@ -357,14 +373,23 @@ def q_checkpoint_deltas(spark, sf_dir):
     return _deltas(spark, sf_dir).select("metric", *(F.round(c, 6).alias(c) for c in ("base", "checkpoint", "delta")))
 
 
-@query
-def q_differential(spark, sf_dir):
+def _differential(spark, sf_dir, samples):
     d = _deltas(spark, sf_dir)
     half = d.withColumn("delta", F.col("delta") / 2)
-    x = M.differential(d, half, _floors(spark, sf_dir))
+    x = M.differential(d, half, _floors(spark, sf_dir, samples))
     return x.select("metric", F.round("differential", 6).alias("differential"), F.round("floor", 6).alias("floor"), "within_noise")
 
 
+@query
+def q_differential(spark, sf_dir):
+    return _differential(spark, sf_dir, BOOTSTRAPS)
+
+
+@query
+def q_differential_200(spark, sf_dir):
+    return _differential(spark, sf_dir, REFERENCE_BOOTSTRAPS)
+
+
 # --- metric facts ----------------------------------------------------------------------------
 
 DOMAIN, GENERAL, RUN = "domain_surface_perplexity", "general_perplexity", "config_hash"
@@ -534,15 +559,24 @@ def q_earliest_alert(spark, sf_dir):
     return M.alerts(_points(spark, sf_dir), RUN).groupBy(RUN).agg(F.min("step").alias("step"))
 
 
-@query
-def q_qa_delta(spark, sf_dir):
+def _qa_delta(spark, sf_dir, samples):
     """The mean of the deltas of the question-answering metrics, and the largest of their floors."""
     qa = F.col("metric").isin("domain_recall.token_f1", "domain_application.token_f1")
     d = _deltas(spark, sf_dir).where(qa).agg(F.avg("delta").alias("delta"))
-    f = _floors(spark, sf_dir).where(qa).agg(F.greatest(F.coalesce(F.max("floor"), F.lit(0.0)), F.lit(0.02)).alias("floor"))
+    f = _floors(spark, sf_dir, samples).where(qa).agg(F.greatest(F.coalesce(F.max("floor"), F.lit(0.0)), F.lit(0.02)).alias("floor"))
     return d.join(F.broadcast(f), F.lit(True)).select(F.round("delta", 6).alias("delta"), F.round("floor", 6).alias("floor"))
 
 
+@query
+def q_qa_delta(spark, sf_dir):
+    return _qa_delta(spark, sf_dir, BOOTSTRAPS)
+
+
+@query
+def q_qa_delta_200(spark, sf_dir):
+    return _qa_delta(spark, sf_dir, REFERENCE_BOOTSTRAPS)
+
+
 @query
 def q_names(spark, sf_dir):
     m = _metrics(spark, sf_dir).select("stage", "name").distinct()

@@ -146,3 +146,30 @@ def test_counts_and_fingerprint(spark):
     rows = {(r.kind, r.value): r.documents for r in corpus.counts(corpus.documents(d)).collect()}
     assert rows == {("total", "*"): 1, ("source_role", "unspecified"): 1, ("license", "unspecified"): 1, ("source_group", "g"): 1}
     assert corpus.fingerprint(d) == corpus.fingerprint(d.repartition(3)) and corpus.fingerprint(d.limit(0)) == (0, 0)
+
+
+def test_reference_bootstrap_equals_brute_force(spark, tmp_path):
+    """The 200 draws of the reference, by the stated hash and indices, in each query that uses them."""
+    from hashlib import md5
+
+    from corpusmill.plans.catalogue import QUERIES
+
+    rng = random.Random(8)
+    rows = [(f"t{k % 2}", "m", rng.random(), f"t{k % 2}:e{k}", f"2024-01-{k % 28 + 1:02d}", "eval" if k % 3 else "validation") for k in range(60)]
+    schema = "task_id string, metric_name string, value double, example_id string, evaluated_at string, split string"
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/eval_results.parquet")
+    want, floors = {}, {}
+    for task in ("t0", "t1"):
+        mine = sorted(((md5(r[3].encode()).hexdigest()[:2], r[3], r[4], r[2]) for r in rows if r[0] == task))
+        v = [r[3] for r in mine]
+        n = len(v)
+        means = sorted(sum(v[int(md5(f"9186:{task}.m:{b}:{i}".encode()).hexdigest()[:7], 16) % n] for i in range(n)) / n for b in range(200))
+        low, high = means[int(0.025 * 199)], means[int(0.975 * 199)]
+        mean = sum(v) / n
+        se = (sum((x - mean) ** 2 for x in v) / (n - 1) / n) ** 0.5
+        want[f"{task}.m"] = (n, pytest.approx(low, abs=2e-6), pytest.approx(high, abs=2e-6))
+        floors[f"{task}.m"] = pytest.approx(max(se, (high - low) / 2), abs=2e-6)
+    assert {r.metric: (r.n, r.low, r.high) for r in QUERIES["q_bootstrap_ci_200"](spark, str(tmp_path)).collect()} == want
+    for name in ("q_noise_floors_200", "q_differential_200"):
+        assert {r.metric: r.floor for r in QUERIES[name](spark, str(tmp_path)).collect()} == floors
+    assert QUERIES["q_qa_delta_200"](spark, str(tmp_path)).first().floor == 0.02
