@@ -6,6 +6,7 @@ Nothing outside this subpackage imports it.
 from __future__ import annotations
 
 import atexit
+import functools
 import hashlib
 import re
 import tempfile
@@ -15,11 +16,13 @@ import uuid
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-#: A key that more rows than this carry is treated as hot: it joins by broadcast instead of by
-#: shuffle.  The broadcast is bounded by rows / HOT_ROWS keys of a few bytes each.
+#: A key that more rows than this carry is hot: its rows are spread over several tasks.
 HOT_ROWS = 2000
+#: The most frequent keys that are spread, at most, and the tasks that one key is spread over, at
+#: most.  A key beyond the first SPREAD has at most rows / SPREAD rows, so no task holds more of
+#: one key than that, or HOT_ROWS.
+SPREAD = 4096
 
-_WORD = re.compile(r"[^\W_]+")
 _CONTROL = re.compile("[\x00-\x08\x0e-\x1b\x7f]")
 #: Characters without a glyph: controls, soft hyphen, zero-width and direction marks, variation
 #: selectors, and the dot that case folding splits off a capital dotted I.
@@ -38,9 +41,45 @@ def fold(text: str) -> str:
     return _INVISIBLE.sub("", text).replace("ı", "i")
 
 
+# Signs of ASCII become spaces; the line feed stays.
+_SIGNS = {c: " " for c in range(128) if not chr(c).isalnum() and c != 10}
+_SIGN_BYTES = bytes(32 if c in _SIGNS else c for c in range(256))
+
+
+@functools.lru_cache(1 << 14)
+def _sign(c: str) -> int:
+    """0 for a letter or digit, 1 for a mark that belongs to the letter before it, 2 for any other."""
+    return 0 if c.isalnum() else 1 if unicodedata.category(c) in ("Mn", "Mc") else 2
+
+
+@functools.lru_cache(1)
+def word_pattern() -> re.Pattern:
+    """Words with marks, such as the vowel signs of scripts that have no composed letters for them."""
+    marks = "".join(c for c in map(chr, range(0x300, 0x1F000)) if unicodedata.category(c) in ("Mn", "Mc"))
+    return re.compile(f"[^\\W_](?:[^\\W_]|[{marks}])*")
+
+
+def flat(folded: str) -> str:
+    """Folded text with a space for all that is not part of a word; line feeds stay."""
+    if folded.isascii():
+        return folded.translate(_SIGNS)
+    marked = False
+    for c in set(folded):
+        if c > "\x7f":
+            sign = _sign(c)
+            if sign == 2:
+                folded = folded.replace(c, " ")
+            elif sign:
+                marked = True
+    if marked:
+        find = word_pattern().findall
+        return "\n".join(" ".join(find(line)) for line in folded.split("\n"))
+    return folded.encode("utf-8", "replace").translate(_SIGN_BYTES).decode()
+
+
 def words(text: str | None) -> list[str]:
-    """Runs of letters and digits of the folded text; null gives no words."""
-    return _WORD.findall(fold(text)) if text else []
+    """Runs of letters and digits, with their marks, of the folded text; null gives no words."""
+    return flat(fold(text)).split() if text else []
 
 
 def digest(data: bytes) -> bytes:
@@ -55,10 +94,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; set here only where the session names none."""
+    """The folder that all executors share; a folder of its own only where one machine is all there is."""
     sc = spark.sparkContext
     where = spark.conf.get("spark.checkpoint.dir", None) or sc._jsc.sc().getCheckpointDir().getOrElse(None)
     if not where:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         where = tempfile.mkdtemp(prefix="corpusmill-")
         sc.setCheckpointDir(where)
         spark.conf.set("spark.corpusmill.checkpoint.own", where)
@@ -99,17 +140,19 @@ class Durable:
 # --- skew ------------------------------------------------------------------------------------
 
 
-def join_unique(left: DataFrame, right: DataFrame, key: str, weight: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+def join_unique(left: DataFrame, right: DataFrame, key: str, weight: str, hot_rows: int = HOT_ROWS, spread: int = SPREAD) -> DataFrame:
     """Inner join of ``left`` with ``right``, which has one row a key and, in ``weight``, how many
     rows of ``left`` carry it.
 
-    Hot keys go to their rows by broadcast (at most rows / hot_rows keys), so that no task holds a
-    hot group; the others meet by shuffle.  ``weight`` is dropped.
+    The rows of a hot key are dealt over several tasks by their hash, and its one row of ``right``
+    goes to each of these.  Only the names of the ``spread`` most frequent keys are broadcast, of
+    payloads nothing.  ``weight`` is dropped.
     """
-    hot = right.where(F.col(weight) > hot_rows).drop(weight)
-    cold = right.where(F.col(weight) <= hot_rows).drop(weight)
-    lefts = left.join(F.broadcast(hot.select(key)), key, "left_anti")
-    return left.join(F.broadcast(hot), key).unionByName(lefts.join(cold, key))
+    hot = right.where(F.col(weight) > hot_rows).select(key, F.least(F.ceil(F.col(weight) / hot_rows), F.lit(spread)).cast("int").alias("_deal"))
+    hot = F.broadcast(hot.orderBy(F.desc("_deal"), key).limit(spread))
+    dealt = left.join(hot, key, "left").withColumn("_at", F.coalesce(F.pmod(F.xxhash64(*left.columns), F.col("_deal")).cast("int"), F.lit(0)))
+    given = right.drop(weight).join(hot, key, "left").withColumn("_at", F.explode(F.sequence(F.lit(0), F.coalesce("_deal", F.lit(1)) - 1)))
+    return dealt.drop("_deal").join(given.drop("_deal"), [key, "_at"]).drop("_at")
 
 
 def bounded_sample(df: DataFrame, key: str, rows: int) -> DataFrame:

@@ -14,7 +14,7 @@ from collections import Counter
 from pyspark.sql import DataFrame
 
 from . import p10_residue
-from .common import _WORD, arrow_map, fold, words
+from .common import Durable, arrow_map, flat, fold, words
 
 NGRAM = 3
 #: Words of a phrase whose repetition counts wherever it stands.
@@ -49,6 +49,8 @@ _CELLS = re.compile(r"\t+|\||\s{3,}")
 _FIELD = re.compile(r"\s*[\"']?[^\W\d_][\w .\-]{0,30}[\"']?\s*[:=]\s*\S")
 _CODE = re.compile(r"\s*(?:def|class|return|import|from|if|for|while|elif|else|try|public|private|static|void|function|var|let|const|#include|select)\b.*(?:\(.*\)|[:;{])\s*$|\s*return \w+\s*$|\s*\w+ = .+|.*[;{}]\s*$")
 _LOG = re.compile(r"\W*\d{4}-\d\d-\d\d[t ]\d\d:\d\d.*\b(?:info|debug|warn|trace|error)\b")
+_OTHER_BREAKS = "\r\v\f\x1c\x1d\x1e\x85\u2028\u2029"
+_BLANKS = " \n\t\r\v\f\x1c\x1d\x1e\x1f"
 _CLOSERS = " \t\r\f\v\xa0\"'”»“«)]"
 _CODE_SIGNS = re.compile(r"[(=;{}:#]|return")
 _SENTENCE = re.compile(r"(?<=[.!?…])[\"'”»“«)\]]*\s+")
@@ -109,7 +111,7 @@ def _prose_words(lines: list[str], found: list[list[str]], common) -> int:
         inner = run[:-1]
         broken = sum(w[-1] in common for _, w in inner) >= BROKEN_SHARE * len(inner) if len(inner) > 1 else False
         for s in _SENTENCE.split(joined):
-            w = _WORD.findall(s)
+            w = flat(s).split()
             n = len(w)
             if n < SENTENCE_WORDS or s.count(",") > 0.25 * n or not _prosy(w, common):
                 continue
@@ -140,12 +142,14 @@ def _top_share(w: list[str]) -> float:
     return min(1.0, most / max(sum(map(len, w)), 1))
 
 
-def _line_share(found: list[list[str]]) -> float:
-    """Share of the characters of the words in lines that repeat an earlier one; so do lines of equal paragraphs."""
+def _again_share(parts: list[tuple]) -> float:
+    """Share of the characters of the words in lines, or paragraphs, that repeat an earlier one."""
+    if len(set(parts)) == len(parts):
+        return 0.0
     seen: set[tuple] = set()
     again = total = 0
-    for w in found:
-        size, key = sum(map(len, w)), tuple(w)
+    for key in parts:
+        size = sum(map(len, key))
         total += size
         if key in seen:
             again += size
@@ -153,12 +157,26 @@ def _line_share(found: list[list[str]]) -> float:
     return again / max(total, 1)
 
 
+def _paragraphs(folded: str, spaced: str) -> list[tuple]:
+    """The words of each paragraph; blank lines are between them."""
+    out: list[tuple] = []
+    now: list[str] = []
+    for line, plain in zip(folded.split("\n"), spaced.split("\n")):
+        if line and not line.isspace():
+            now += plain.split()
+        elif now:
+            out.append(tuple(now))
+            now = []
+    return [*out, tuple(now)] if now else out
+
+
 def _phrase_share(w: list[str]) -> float:
     """Share of the characters in phrases of PHRASE words that repeat an earlier one; each word counts once.
 
     Longer phrases that repeat consist of such.
     """
     grams = list(zip(*(w[k:] for k in range(PHRASE))))
+    # A share needs as many repeated phrases, at least one for each PHRASE words it covers.
     if len(set(grams)) == len(grams):
         return 0.0
     seen: set[tuple] = set()
@@ -172,71 +190,67 @@ def _phrase_share(w: list[str]) -> float:
     return again / max(sum(map(len, w)), 1)
 
 
-def _layout(text: str, common) -> tuple[list[str], list[list[str]], list[str], float, float]:
-    """Lines, their words, all words, symbol share and prose share of a text."""
-    folded = fold(text)
-    lines = [x for x in folded.splitlines() if x and not x.isspace()]
-    found = [_WORD.findall(x) for x in lines]
-    w = list(itertools.chain.from_iterable(found))
-    graph = sum(map(len, folded.split()))
-    symbols = max(graph - sum(map(len, w)), 0) / max(graph, 1)
-    fields = sum(bool(_FIELD.match(x)) for x in lines if ":" in x or "=" in x) if len(lines) > 2 else 0
-    if fields > 0.7 * len(lines) and len(w) < 14 * len(lines):
-        share = 0.0
-    else:
-        share = _prose_words(lines, found, common) / max(len(w), 1)
-    return lines, found, w, symbols, min(share, 1.0)
-
-
-def is_prose(text: str | None, common) -> bool | None:
-    """Whether most of the text is natural prose in any language; None if it is null or blank.
+def measure(text: str | None, common, folded: str | None = None, spaced: str | None = None, every: bool = True) -> dict | None:
+    """The statistics of one text; None if it is null, empty or blank.
 
-    Repetition is measured only where it can be above its limit: what repeats more than that leaves
-    less than the rest, and one occurrence, to different words.
+    ``folded`` and ``spaced`` are ``fold(text)`` and ``flat(folded)``, where the caller has them.
+    Without ``every``, repetition is left out where it cannot decide: text that repeats more than
+    REPEAT_SHARE leaves less than the rest, and one occurrence, to different words.
     """
     if not text or text.isspace():
         return None
-    _, found, w, symbols, share = _layout(text, common)
-    if not w or share < PROSE_SHARE or symbols > SYMBOL_SHARE:
-        return False
-    if len(w) > 20:
-        different = set(w)
-        left = sum(map(len, different)) - NGRAM * max(map(len, different))
-        if left <= (1 - REPEAT_SHARE) * sum(map(len, w)):
-            return max(_repeat_share(fold(text)), _top_share(w), _line_share(found), _phrase_share(w)) <= REPEAT_SHARE
-    return True
-
-
-def measure(text: str | None, common) -> dict | None:
-    """The statistics of one text; None if it is null, empty or blank."""
-    if not text or text.isspace():
-        return None
-    lines, _, w, symbols, share = _layout(text, common)
+    if folded is None:
+        folded = fold(text)
+        spaced = flat(folded)
+    if any(c in folded for c in _OTHER_BREAKS):
+        folded = "\n".join(folded.splitlines())
+        spaced = flat(folded)
+    lines, found = [], []
+    for line, plain in zip(folded.split("\n"), spaced.split("\n")):
+        if line and not line.isspace():
+            lines.append(line), found.append(plain.split())
+    w = list(itertools.chain.from_iterable(found))
     n, size = len(w), max(len(w), 1)
-    folded = fold(text)
-    keys = [" ".join(x.split()) for x in lines]
-    paragraphs = [" ".join(p.split()) for p in re.split(r"\n\s*\n", folded) if p.strip()]
-    return {
+    letters = len(spaced) - spaced.count(" ") - spaced.count("\n")
+    graph = len(folded) - sum(map(folded.count, _BLANKS)) if folded.isascii() else sum(map(len, folded.split()))
+    different = set(w)
+    fields = sum(bool(_FIELD.match(x)) for x in lines if ":" in x or "=" in x) if len(lines) > 2 else 0
+    record = fields > 0.7 * len(lines) and n < 14 * len(lines)
+    out = {
         "n_words": n,
-        "mean_word_length": sum(map(len, w)) / size,
-        "symbol_ratio": symbols,
+        "mean_word_length": letters / size,
+        "symbol_ratio": max(graph - letters, 0) / max(graph, 1),
         "n_lines": len(lines),
-        "line_end_share": sum(_ends(x) for x in lines) / max(len(lines), 1),
-        "common_share": sum(map(common.__contains__, w)) / size,
-        "unique_share": len(set(w)) / size,
-        "number_share": sum(map(str.isdigit, w)) / size,
-        "dup_line_share": (len(keys) - len(set(keys))) / max(len(keys), 1),
-        "dup_paragraph_share": (len(paragraphs) - len(set(paragraphs))) / max(len(paragraphs), 1),
-        "top_ngram_share": _top_share(w),
-        "prose_share": share,
-        "repeat_share": _repeat_share(folded),
+        "line_end_share": sum(map(_ends, lines)) / max(len(lines), 1) if every else None,
+        "common_share": sum(map(common.__contains__, w)) / size if every else None,
+        "unique_share": len(different) / size,
+        "number_share": sum(map(str.isdigit, w)) / size if every else None,
+        "prose_share": 0.0 if record else min(1.0, _prose_words(lines, found, common) / size),
     }
+    left = (1 - REPEAT_SHARE) * letters
+    if every or len(different) < n and sum(map(len, different)) - NGRAM * max(map(len, different)) <= left:
+        for name, share in (
+            ("dup_line_share", lambda: _again_share(list(map(tuple, found)))), ("dup_paragraph_share", lambda: _again_share(_paragraphs(folded, spaced))),
+            ("repeat_share", lambda: _repeat_share(folded)), ("top_ngram_share", lambda: _top_share(w)), ("phrase_share", lambda: _phrase_share(w)),
+        ):
+            out[name] = share()
+            if out[name] > REPEAT_SHARE and not every:
+                break
+    return out
+
+
+def is_prose(m: dict | None) -> bool | None:
+    """Whether most of a text is natural prose, by its statistics; None without any."""
+    if m is None:
+        return None
+    return m["n_words"] > 0 and m["prose_share"] >= PROSE_SHARE and m["symbol_ratio"] <= SYMBOL_SHARE and max(m.get(k, 0.0) for k in REPETITION) <= REPEAT_SHARE
 
 
+REPETITION = ("dup_line_share", "dup_paragraph_share", "top_ngram_share", "phrase_share", "repeat_share")
 COLUMNS = {
     "n_words": "long", "mean_word_length": "double", "symbol_ratio": "double", "n_lines": "long", "line_end_share": "double",
     "common_share": "double", "unique_share": "double", "number_share": "double", "dup_line_share": "double", "dup_paragraph_share": "double",
-    "top_ngram_share": "double", "prose_share": "double", "repeat_share": "double",
+    "top_ngram_share": "double", "phrase_share": "double", "prose_share": "double", "repeat_share": "double",
 }
 
 
@@ -258,7 +272,7 @@ def statistics(docs: DataFrame, common: set[str]) -> DataFrame:
             m = measure(text, common)
             for k in COLUMNS:
                 out[k].append(m and m[k])
-            out["prose"].append(is_prose(text, common))
+            out["prose"].append(is_prose(m))
         return out
 
     return arrow_map(docs.select("doc_id", "text").where("doc_id is not null"), each, schema)
@@ -269,9 +283,16 @@ def not_prose(docs: DataFrame, common: set[str]) -> DataFrame:
 
     ``docs`` has doc_id, text and host.
     """
+    work = Durable(docs.sparkSession)
     lexicon = p10_residue.filler_lexicon(docs, common)
 
-    def each(i, text, left):
-        return [(i,)] if is_prose(text, common) is False and not p10_residue.either(text, left, lexicon) else []
+    def each_text(text, folded, spaced):
+        if is_prose(measure(text, common, folded, spaced, every=False)) is False and not p10_residue.verdict(text, lexicon, spaced.split()):
+            return "other", text
 
-    return p10_residue.judged(docs, p10_residue.recurrent_lines(docs), lexicon, each, "doc_id long")
+    scanned = p10_residue.scan(docs, work, each_text)
+    found = scanned.where("doc_id is not null")
+    # Of these, the ones whose residual is a case of problem 10; their texts stand in the scan.
+    cases = p10_residue.residual_kinds(found.select("doc_id", "text", "h"), p10_residue.recurrent(scanned, work), lexicon)
+    ids = found.select("doc_id")
+    return ids if cases is None else ids.join(cases, "doc_id", "left_anti")

@@ -13,7 +13,7 @@ from collections import defaultdict
 
 from pyspark.sql import DataFrame, functions as F
 
-from .common import _INVISIBLE, _WORD, arrow_map, fold, words
+from .common import _INVISIBLE, arrow_map, fold, word_pattern, words
 
 PASSAGE_WORDS = 8
 #: Characters of passages in one automaton; more items than fit are scanned in further blocks.
@@ -85,7 +85,7 @@ def spans(text: str) -> list[tuple[str, int, int]]:
         for c in fold(text[at:to]):
             chars.append(c), begin.append(at), end.append(to)
         at = to
-    return [(m.group(), begin[m.start()], end[m.end() - 1]) for m in _WORD.finditer("".join(chars))]
+    return [(m.group(), begin[m.start()], end[m.end() - 1]) for m in word_pattern().finditer("".join(chars))]
 
 
 def _scan(docs: DataFrame, held_out: DataFrame, with_spans: bool, size: int, chars: int) -> DataFrame:
@@ -104,7 +104,7 @@ def _scan(docs: DataFrame, held_out: DataFrame, with_spans: bool, size: int, cha
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if not text or a is None:
                     continue
-                line = f" {' '.join(_WORD.findall(fold(text)))} "
+                line = f" {' '.join(words(text))} "
                 hits: dict[str, list[tuple[int, int]]] = defaultdict(list)
                 for at, (length, ids) in a.iter(line):
                     for item in ids:
