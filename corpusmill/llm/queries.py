@@ -31,10 +31,8 @@ def p2_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every version but the first of its group; of copies only the first takes part."""
-    docs = table(spark, sf_dir, "documents")
     work = Durable(spark)
-    again = p1_copies.repeated(docs, work).select("doc_id")
-    got = p3_versions.groups(docs.join(again, "doc_id", "left_anti"), threshold=0.5, work=work)
+    got = p3_versions.groups(p1_copies.firsts(table(spark, sf_dir, "documents"), work), threshold=0.5, work=work, split=str.split)
     return got.select(F.col("root").alias("first_id"), F.col("id").alias("doc_id"))
 
 
