@@ -98,7 +98,7 @@ READER = _weights(
     "page site server service system address resource document record entry archive link url session token login network access request app"
     " you your please sorry wait waiting moment thanks try something"
     " seite dienst sitzung ihr ihre ihrer bitte serveur ressource adresse accès votre vos veuillez"
-    " página servidor recurso dirección acceso sesión su sus pagina risorsa indirizzo richiesta endereço sistema", 0.5
+    " página servidor recurso dirección acceso sesión servicio su sus pagina risorsa indirizzo richiesta endereço sistema", 0.5
 )
 ADDRESS = READER | _weights(
     "again later back come check ask owner contact turn need needs allow allowed see view shown continue side saved sign looking not planned line"

@@ -14,9 +14,10 @@ from __future__ import annotations
 import re
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import Durable, arrow_map, bounded_sample, fold, join_unique, words
+from .common import Durable, arrow_map, bounded_sample, flat, fold, join_unique, words
 from .trees import Boosted
 
 #: Pages that the classifier is fitted on, at most, taken by hash order.
@@ -25,7 +26,6 @@ _DIGITS = re.compile(r"\d+")
 _ENDS = re.compile(r"[.!?…:;][\"'”»)\]]*$")
 _ITEM = re.compile(r"^\s*(?:[-*•–]|\d{1,3}[.)])\s+")
 _CRUMB = re.compile(r"\s(?:[>»›/|·→]|::)\s")
-_SPACES = re.compile(r"\s+")
 SENTENCE, SHORT = 6, 9  # words of a sentence at least, of an entry or heading at most
 
 
@@ -34,49 +34,76 @@ def site_name(site: str | None) -> str:
     return re.sub(r"\d+", "", (site or "").split(".")[0]).replace("-", " ").strip().lower()
 
 
-def mask(line: str, name: str) -> str:
-    """A line with numbers and the site's name masked."""
-    flat = _SPACES.sub(" ", fold(line)).strip()
-    return _DIGITS.sub("0", flat.replace(name, "@") if len(name) > 2 else flat)
-
-
 def _hash(*parts: str) -> int:
     import xxhash
 
     return xxhash.xxh3_64_intdigest("\x1f".join(parts).encode()) - (1 << 63)
 
 
-def _kind(line: str) -> tuple[int, bool, bool]:
-    """Words, whether it ends like a sentence, whether it is marked as an item."""
-    return len(words(line)), bool(_ENDS.search(line.strip())), bool(_ITEM.match(line))
+#: What a line tells by itself, computed once.
+OWN = "words chars ends item commas digits upper common_case crumb crumb_tail name bar_count own_name".split()
+_UPPER = dict.fromkeys(range(65, 91))
+_NUMERALS = dict.fromkeys(range(48, 58))
+
+
+def _count(line: str, drop: dict, test) -> int:
+    return len(line) - len(line.translate(drop)) if line.isascii() else sum(map(test, line))
+
 
+def _lines(text: str, name: str):
+    """(number, masked line, its own features) of each line that is not blank."""
+    folded = fold(text)
+    out = []
+    for no, (raw, low, plain) in enumerate(zip(text.split("\n"), folded.split("\n"), flat(folded).split("\n")), 1):
+        if raw and not raw.isspace():
+            out.append((no, raw.strip(), low.strip(), plain.split()))
+    heads = {" ".join(w) for _, _, _, w in out}
+    for no, raw, low, w in out:
+        n, chars = len(w), max(len(low), 1)
+        crumb = bool(_CRUMB.search(low))
+        tail = crumb and " ".join(words(_CRUMB.split(low)[-1])) in heads
+        named = len(name) > 2
+        spaced = " ".join(low.split())
+        masked = spaced.replace(name, "@") if named else spaced
+        yield no, _DIGITS.sub("0", masked), (
+            n, len(low), bool(_ENDS.search(raw)), bool(_ITEM.match(raw)), low.count(",") / max(n, 1), _count(low, _NUMERALS, str.isdigit) / chars,
+            _count(raw, _UPPER, str.isupper) / chars, raw[:1].isupper(), crumb, tail, named and name in low, low.count("|") + low.count("·") + low.count("›"),
+            named and low.startswith(name + ":"),
+        )
 
-def line_table(pages: DataFrame) -> DataFrame:
-    """(capture_id, line_no, key, gkey, site_h, url_h, run) of each line that is not blank.
 
-    ``run`` is how many short lines without a sentence's end follow directly.
+def page_table(pages: DataFrame) -> DataFrame:
+    """(capture_id, site_h, url_h, lines, own) of each page: its lines that are not blank, and what each tells by itself.
+
+    ``lines`` has line_no, key, gkey and run, which is how many short lines without a sentence's end
+    follow directly; ``own`` is a matrix of OWN, a row a line.
     """
 
     def each(batch):
-        out: dict[str, list] = {c: [] for c in ("capture_id", "line_no", "key", "gkey", "site_h", "url_h", "run")}
+        out: dict[str, list] = {c: [] for c in ("capture_id", "site_h", "url_h", "own")}
+        flat_lines: dict[str, list] = {c: [] for c in ("line_no", "key", "gkey", "run")}
+        ends = [0]
         for i, site, url, text in zip(*(batch.column(k).to_pylist() for k in range(4))):
-            if not text:
+            got = list(_lines(text, site_name(site))) if text else []
+            if not got:
                 continue
-            name = site_name(site)
-            lines = [(n, x) for n, x in enumerate(text.split("\n"), 1) if x.strip()]
-            kinds = [_kind(x) for _, x in lines]
-            run = [0] * (len(lines) + 1)
-            for k in range(len(lines) - 1, 0, -1):
-                n, ends, item = kinds[k]
-                run[k - 1] = run[k] + 1 if 1 < n <= SHORT and not ends and not item else 0
-            site_h, url_h = _hash("site", site or ""), _hash("url", url or f"#{i}")
-            for k, (n, x) in enumerate(lines):
-                m = mask(x, name)
-                out["capture_id"].append(i), out["line_no"].append(n), out["key"].append(_hash(site or "", m)), out["gkey"].append(_hash(m))
-                out["site_h"].append(site_h), out["url_h"].append(url_h), out["run"].append(run[k])
-        return out
-
-    return arrow_map(pages.select("capture_id", "site", "url", "text").where("capture_id is not null"), each, "capture_id long, line_no int, key long, gkey long, site_h long, url_h long, run int")
+            own = np.array([x for _, _, x in got], np.float32)
+            run = [0] * len(got)
+            open_ = ((own[:, 0] > 1) & (own[:, 0] <= SHORT) & (own[:, 2] == 0) & (own[:, 3] == 0)).tolist()
+            for k in range(len(got) - 1, 0, -1):
+                run[k - 1] = run[k] + 1 if open_[k] else 0
+            site = site or ""
+            out["capture_id"].append(i), out["own"].append(own.tobytes())
+            out["site_h"].append(_hash("site", site)), out["url_h"].append(_hash("url", url or f"#{i}"))
+            flat_lines["line_no"].extend(no for no, _, _ in got), flat_lines["run"].extend(run)
+            flat_lines["key"].extend(_hash(site, m) for _, m, _ in got), flat_lines["gkey"].extend(_hash(m) for _, m, _ in got)
+            ends.append(ends[-1] + len(got))
+        types = {"line_no": pa.int32(), "key": pa.int64(), "gkey": pa.int64(), "run": pa.int32()}
+        inner = pa.StructArray.from_arrays([pa.array(flat_lines[c], t) for c, t in types.items()], fields=[pa.field(c, t) for c, t in types.items()])
+        return out | {"lines": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), inner)}
+
+    schema = "capture_id long, site_h long, url_h long, lines array<struct<line_no: int, key: long, gkey: long, run: int>>, own binary"
+    return arrow_map(pages.select("capture_id", "site", "url", "text").where("capture_id is not null"), each, schema)
 
 
 def line_statistics(lines: DataFrame) -> DataFrame:
@@ -100,127 +127,125 @@ FEATURES = (
 ).split()
 
 
-class Page:
-    """The lines of a page with their statistics, its sections and the features of each line."""
+class Pages:
+    """The lines of the pages of a batch with their statistics, sections and features, as flat arrays.
+
+    ``own`` and ``stats`` (line_no, df, pages, sites, run) have a row a line, in order; ``counts``
+    is the number of lines of each page.
+    """
 
-    def __init__(self, text: str, site: str | None, stats: dict[int, tuple[int, int, int, float]]):
-        name = site_name(site)
-        self.lines = [(n, x.strip()) for n, x in enumerate(text.split("\n"), 1) if x.strip()]
-        k = len(self.lines)
-        self.kinds = [_kind(x) for _, x in self.lines]
-        got = [stats.get(n, (1, 1, 1, 0.0)) for n, _ in self.lines]
-        df, pages, sites, run = (np.array([g[c] for g in got], float) for c in range(4))
-        self.df, self.sites = df, sites
+    def __init__(self, counts: np.ndarray, own: np.ndarray, stats: list[np.ndarray]):
+        total = int(counts.sum())
+        self.line_no = stats[0]
+        df, pages, sites, run = (x.astype(float) for x in stats[1:])
+        n_words, chars, ends, item, commas, digits, upper, cased, crumb, tail, named, bars, own_name = (own[:, k].astype(float) for k in range(len(OWN)))
+        ends, item = ends > 0, item > 0
+        self.page = page = np.repeat(np.arange(len(counts)), counts)
+        start = (np.cumsum(counts) - counts)[page]
+        many = counts[page]
+        index = np.arange(total)
+        at = index - start
+        first, last = at == 0, at == many - 1
+        self.df = df
         # Beyond one page, a page's own copy tells nothing: the share leaves it out.
-        self.share = np.where(pages > 1, (df - 1) / np.maximum(pages - 1, 1), 0.0)
-        own = np.array([len(name) > 2 and fold(x).startswith(name + ":") for _, x in self.lines], bool)
-        self.recurrent = own | ((self.share >= 0.1) & (df >= 3)) | ((sites >= 3) & (df >= 2) & (self.share >= 0.05)) | ((self.share >= 0.5) & (df >= 2)) | ((pages < 4) & (sites >= 3))
-        n_words = np.array([q[0] for q in self.kinds], float)
-        ends = np.array([q[1] for q in self.kinds], bool)
-        item = np.array([q[2] for q in self.kinds], bool)
-        low = [fold(x) for _, x in self.lines]
-        heads = {" ".join(words(x)) for _, x in self.lines}
-        crumb = np.array([bool(_CRUMB.search(x)) for x in low])
-        tail = np.array([bool(c) and " ".join(words(_CRUMB.split(x)[-1])) in heads for c, x in zip(crumb, low)])
-        self.crumb, self.tail = crumb & ~ends, tail
-        self.prose = (n_words >= SENTENCE) & ends & ~self.recurrent
-        # Sections: lines below a recurrent line that are short and open, until anything else comes.
-        since, head = np.zeros(k), np.full(k, -1)
-        self.section = np.zeros(k, int)
-        part = 0
-        for j in range(k):
-            short = 1 < n_words[j] <= SHORT and not ends[j] and not item[j] and not self.recurrent[j] and not self.crumb[j]
-            if j and short and (self.recurrent[j - 1] or head[j - 1] >= 0):
-                head[j] = j - 1 if self.recurrent[j - 1] else head[j - 1]
-                since[j] = j - head[j]
-            if j and not (self.recurrent[j] == self.recurrent[j - 1] and (head[j] >= 0) == (head[j - 1] >= 0)):
-                part += 1
-            self.section[j] = part
-        self.head, self.since = head, since
-        self.seen = np.concatenate([[0], np.cumsum(self.prose)[:-1]]) if k else np.zeros(0)
-        after = self.prose.sum() - self.seen - self.prose
-        sec_n = np.bincount(self.section, minlength=part + 1) if k else np.ones(1)
-        mean = lambda v: (np.bincount(self.section, v, part + 1) / np.maximum(sec_n, 1))[self.section] if k else np.zeros(0)
-        shift = lambda v, d, fill: np.concatenate([[fill], v[:-1]]) if d < 0 else np.concatenate([v[1:], [fill]])
-        at = np.arange(k)
-        pick = lambda v: np.where(head >= 0, v[np.maximum(head, 0)], -1.0)
-        if not k:
-            self.x = np.zeros((0, len(FEATURES)))
-            return
-        chars = np.array([len(x) for x in low], float)
-        count = lambda f: np.array([f(x) for x in low], float)
+        share = np.where(pages > 1, (df - 1) / np.maximum(pages - 1, 1), 0.0)
+        self.recurrent = recurrent = (
+            (own_name > 0) | ((share >= 0.1) & (df >= 3)) | ((sites >= 3) & (df >= 2) & (share >= 0.05)) | ((share >= 0.5) & (df >= 2)) | ((pages < 4) & (sites >= 3))
+        )
+        self.crumb, self.tail = (crumb > 0) & ~ends, tail > 0
+        self.prose = prose = (n_words >= SENTENCE) & ends & ~recurrent
+        self.n_words, self.ends = n_words, ends
+
+        def before(v, fill):
+            return np.where(first, fill, np.concatenate([[fill], v[:-1]]) if total else v)
+
+        def after(v, fill):
+            return np.where(last, fill, np.concatenate([v[1:], [fill]]) if total else v)
+
+        self.after = after
+        # Entries: runs of short open lines directly below a recurrent line, their heading.
+        short = (n_words > 1) & (n_words <= SHORT) & ~ends & ~item & ~recurrent & ~self.crumb
+        begins = short & ~(before(short, False) > 0)
+        begun = np.maximum.accumulate(np.where(begins, index, 0)) if total else index
+        headed = begins & (before(recurrent, False) > 0)
+        self.head = head = np.where(short & headed[begun], begun - 1, -1) if total else index
+        self.since = since = np.where(head >= 0, index - head, 0)
+        # Sections: stretches of recurrent lines, of entries, or of free lines.
+        change = first | (before(recurrent, 0) != recurrent) | (before(head >= 0, 0) != (head >= 0))
+        self.section = section = np.cumsum(change) - 1
+        in_section = np.bincount(section, minlength=1)
+        done = np.cumsum(prose)
+        self.seen = seen = done - prose - (np.concatenate([[0], done])[start] if total else 0)
+        all_prose = np.bincount(page, prose, len(counts))[page]
+        self.any_prose = all_prose > 0
+
+        def mean(v):
+            return (np.bincount(section, v, len(in_section)) / np.maximum(in_section, 1))[section]
+
+        def pick(v):
+            return np.where(head >= 0, v[np.maximum(head, 0)], -1.0) if total else v
+
         self.x = np.column_stack([
-            np.log1p(df), self.share, np.log1p(sites), run, n_words, chars, ends, item, count(lambda x: x.count(",")) / np.maximum(n_words, 1),
-            count(lambda x: sum(map(str.isdigit, x))) / np.maximum(chars, 1), np.array([sum(map(str.isupper, x)) for _, x in self.lines]) / np.maximum(chars, 1),
-            np.array([x[:1].isupper() for _, x in self.lines]), crumb, tail, count(lambda x: name in x if len(name) > 2 else 0), count(lambda x: x.count("|") + x.count("·") + x.count("›")),
-            at, k - 1 - at, at / max(k - 1, 1), np.full(k, k), self.seen, after, since, pick(self.share), pick(run), pick(n_words),
-            shift(n_words, -1, 0), shift(self.share, -1, 0), shift(n_words, 1, 0), shift(self.share, 1, 0), shift(ends, 1, 0), shift(ends, -1, 0),
-            mean(n_words), mean(self.share), sec_n[self.section], np.full(k, self.share.mean()),
+            np.log1p(df), share, np.log1p(sites), run, n_words, chars, ends, item, commas, digits, upper, cased, crumb, tail, named, bars,
+            at, many - 1 - at, at / np.maximum(many - 1, 1), many, seen, all_prose - seen - prose, since, pick(share), pick(run), pick(n_words),
+            before(n_words, 0), before(share, 0), after(n_words, 0), after(share, 0), after(ends, 0), before(ends, 0),
+            mean(n_words), mean(share), in_section[section] if total else at, (np.bincount(page, share, len(counts)) / np.maximum(counts, 1))[page],
         ])
 
     def weak_labels(self) -> np.ndarray:
-        """1 body, 0 not, -1 not clear."""
-        k = len(self.lines)
-        y = np.full(k, -1)
-        any_prose = self.prose.any()
-        for j in range(k):
-            n, ends, item = self.kinds[j]
-            if self.recurrent[j] or self.crumb[j] and self.tail[j]:
-                y[j] = 0
-            elif self.df[j] > 2:
-                continue
-            elif self.prose[j]:
-                y[j] = 1
-            elif not any_prose:
-                y[j] = 0
-            elif self.head[j] >= 0:
-                # Entries below a heading after the text began; before it, a line above the text is its headline.
-                entry = self.seen[j] > 0 or self.since[j] > 1 or j + 1 < k and self.head[j + 1] >= 0
-                y[j] = 0 if entry else 1 if j + 1 < k and self.prose[j + 1] else -1
-            elif n <= SHORT and not ends:
-                y[j] = 1
-        return y
-
-    def decode(self, odds: np.ndarray) -> list[int]:
-        """Line numbers outside the body, from the log odds of its lines, down the tree."""
-        if not len(odds):
-            return []
+        """1 body, 0 not, -1 not clear, of each line."""
+        following = self.after(self.head >= 0, 0) > 0
+        entry = (self.seen > 0) | (self.since > 1) | following
+        # Entries below a heading after the text began; before it, a line above the text is its headline.
+        entries = np.where(entry, 0, np.where(self.after(self.prose, 0) > 0, 1, -1))
+        return np.select(
+            [self.recurrent | self.crumb & self.tail, self.df > 2, self.prose, ~self.any_prose, self.head >= 0, (self.n_words <= SHORT) & ~self.ends],
+            [0, -1, 1, 0, entries, 1], -1,
+        )
+
+    def outside(self, odds: np.ndarray) -> np.ndarray:
+        """Whether each line is outside the body, from the log odds of the lines, down the tree."""
         keep = odds > 0
         # The page: without a line of text that is kept, nothing else is the body of anything.
-        if not (keep & self.prose).any():
-            keep[:] = False
+        keep &= (np.bincount(self.page, keep & self.prose, self.page.max(initial=0) + 1) > 0)[self.page]
         # Sections of entries stand or fall together; a single line under a recurrent one decides itself.
-        for s in np.unique(self.section[self.head >= 0]):
-            inside = (self.section == s) & (self.head >= 0)
-            if inside.sum() > 1:
-                keep[inside] = odds[inside].mean() > 0
-        return [n for (n, _), k in zip(self.lines, keep) if not k]
+        inside = self.head >= 0
+        size = np.bincount(self.section[inside], minlength=self.section.max(initial=0) + 1)
+        mean = np.bincount(self.section[inside], odds[inside], len(size)) / np.maximum(size, 1)
+        whole = inside & (size[self.section] > 1)
+        keep[whole] = (mean[self.section] > 0)[whole]
+        return ~keep
 
 
 def with_statistics(pages: DataFrame, work: Durable) -> DataFrame:
-    """(capture_id, site, text, stats): the statistics of each line of the page by its number."""
-    lines = work.keep(line_table(pages), "lines")
+    """(capture_id, own, stats): what each line of a page tells by itself, and the statistics of its lines."""
+    held = work.keep(page_table(pages), "held")
+    lines = held.select("capture_id", "site_h", "url_h", F.inline("lines"))
     stats = work.keep(line_statistics(lines), "stats")
     met = join_unique(lines.select("capture_id", "line_no", "key"), stats, "key", "weight")
     # A page's own lines, so bounded by the page.
     by_page = met.groupBy("capture_id").agg(F.collect_list(F.struct("line_no", "df", "pages", "sites", "run")).alias("stats"))
-    return work.keep(pages.select("capture_id", "site", "text").join(by_page, "capture_id"), "pages")
+    return work.keep(held.select("capture_id", "own").join(by_page, "capture_id"), "pages")
 
 
-def _pages(batch):
-    for i, site, text, stats in zip(*(batch.column(k).to_pylist() for k in range(4))):
-        yield i, Page(text, site, {s["line_no"]: (s["df"], s["pages"], s["sites"], s["run"]) for s in stats})
+def _laid_out(batch) -> tuple[np.ndarray, Pages]:
+    """The capture_ids of a batch and its pages; statistics come in any order and are sorted by line."""
+    stats = batch.column(2)
+    counts = np.diff(stats.offsets.to_numpy())
+    inner = stats.flatten()
+    columns = [inner.field(k).to_numpy(zero_copy_only=False) for k in range(5)]
+    order = np.lexsort((columns[0], np.repeat(np.arange(len(counts)), counts)))
+    own = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.float32).reshape(-1, len(OWN))
+    return batch.column(0).to_numpy(zero_copy_only=False), Pages(counts, own, [c[order] for c in columns])
 
 
 def fit(ready: DataFrame, sample_pages: int = SAMPLE_PAGES) -> Boosted:
     """Trees over the weakly labelled lines of a bounded sample of pages."""
 
     def each(batch):
-        x, y = [np.zeros((0, len(FEATURES)))], [np.zeros(0)]
-        for _, page in _pages(batch):
-            label = page.weak_labels()
-            x.append(page.x[label >= 0]), y.append(label[label >= 0])
-        return {"x": [np.concatenate(x).astype(np.float32).tobytes()], "y": [np.concatenate(y).astype(np.int8).tobytes()]}
+        _, pages = _laid_out(batch)
+        label = pages.weak_labels()
+        return {"x": [pages.x[label >= 0].astype(np.float32).tobytes()], "y": [label[label >= 0].astype(np.int8).tobytes()]}
 
     sample = bounded_sample(ready, "capture_id", sample_pages)
     rows = arrow_map(sample, each, "x binary, y binary").collect()
@@ -242,15 +267,9 @@ def outside(pages: DataFrame, work: Durable | None = None, sample_pages: int = S
     model = pages.sparkSession.sparkContext.broadcast(fit(ready, sample_pages))
 
     def each(batch):
-        out: dict[str, list] = {"capture_id": [], "line_no": []}
-        pages = list(_pages(batch))
-        # The trees score all lines of a batch at once.
-        odds = model.value.score(np.concatenate([np.zeros((0, len(FEATURES))), *(p.x for _, p in pages)]))
-        ends = np.cumsum([len(p.x) for _, p in pages])
-        for (i, page), own in zip(pages, np.split(odds, ends[:-1]) if pages else []):
-            off = page.decode(own)
-            out["capture_id"].extend([i] * len(off)), out["line_no"].extend(off)
-        return out
+        ids, pages = _laid_out(batch)
+        off = pages.outside(model.value.score(pages.x))
+        return {"capture_id": pa.array(ids[pages.page[off]], pa.int64()), "line_no": pa.array(pages.line_no[off], pa.int32())}
 
     return arrow_map(ready, each, "capture_id long, line_no int")
 
