@@ -50,26 +50,23 @@ def _count(line: str, drop: dict, test) -> int:
     return len(line) - len(line.translate(drop)) if line.isascii() else sum(map(test, line))
 
 
-def _lines(text: str, name: str):
-    """(number, masked line, its own features) of each line that is not blank."""
-    folded = fold(text)
-    out = []
-    for no, (raw, low, plain) in enumerate(zip(text.split("\n"), folded.split("\n"), flat(folded).split("\n")), 1):
-        if raw and not raw.isspace():
-            out.append((no, raw.strip(), low.strip(), plain.split()))
-    heads = {" ".join(w) for _, _, _, w in out}
-    for no, raw, low, w in out:
-        n, chars = len(w), max(len(low), 1)
-        crumb = bool(_CRUMB.search(low))
-        tail = crumb and " ".join(words(_CRUMB.split(low)[-1])) in heads
-        named = len(name) > 2
-        spaced = " ".join(low.split())
-        masked = spaced.replace(name, "@") if named else spaced
-        yield no, _DIGITS.sub("0", masked), (
-            n, len(low), bool(_ENDS.search(raw)), bool(_ITEM.match(raw)), low.count(",") / max(n, 1), _count(low, _NUMERALS, str.isdigit) / chars,
-            _count(raw, _UPPER, str.isupper) / chars, raw[:1].isupper(), crumb, tail, named and name in low, low.count("|") + low.count("·") + low.count("›"),
-            named and low.startswith(name + ":"),
-        )
+def _line(raw: str, site: str, name: str) -> tuple:
+    """(key, gkey, plain words, the words after its last crumb or None, its own features but the crumb's tail)."""
+    low = fold(raw)
+    w = flat(low).split()
+    n, chars, named = len(w), max(len(low), 1), len(name) > 2
+    crumb = _CRUMB.split(low) if _CRUMB.search(low) else None
+    spaced = " ".join(low.split())
+    masked = _DIGITS.sub("0", spaced.replace(name, "@") if named else spaced)
+    own = (
+        n, len(low), bool(_ENDS.search(raw)), bool(_ITEM.match(raw)), low.count(",") / max(n, 1), _count(low, _NUMERALS, str.isdigit) / chars,
+        _count(raw, _UPPER, str.isupper) / chars, raw[:1].isupper(), crumb is not None, False, named and name in low, low.count("|") + low.count("·") + low.count("›"),
+        named and low.startswith(name + ":"),
+    )
+    return _hash(site, masked), _hash(masked), " ".join(w), crumb and " ".join(words(crumb[-1])), own
+
+
+_TAIL = OWN.index("crumb_tail")
 
 
 def page_table(pages: DataFrame) -> DataFrame:
@@ -83,20 +80,32 @@ def page_table(pages: DataFrame) -> DataFrame:
         out: dict[str, list] = {c: [] for c in ("capture_id", "site_h", "url_h", "own")}
         flat_lines: dict[str, list] = {c: [] for c in ("line_no", "key", "gkey", "run")}
         ends = [0]
+        # Most lines of a page stand on other pages of its site as well.
+        seen: dict[tuple[str, str], tuple] = {}
         for i, site, url, text in zip(*(batch.column(k).to_pylist() for k in range(4))):
-            got = list(_lines(text, site_name(site))) if text else []
+            site = site or ""
+            name, numbers, got = site_name(site), [], []
+            for no, raw in enumerate((text or "").split("\n"), 1):
+                raw = raw.strip()
+                if raw:
+                    line = seen.get((site, raw))
+                    if line is None:
+                        line = seen[site, raw] = _line(raw, site, name)
+                    numbers.append(no), got.append(line)
             if not got:
                 continue
-            own = np.array([x for _, _, x in got], np.float32)
+            own = np.array([x[4] for x in got], np.float32)
+            if own[:, _TAIL - 1].any():
+                heads = {x[2] for x in got}
+                own[:, _TAIL] = [x[3] is not None and x[3] in heads for x in got]
             run = [0] * len(got)
             open_ = ((own[:, 0] > 1) & (own[:, 0] <= SHORT) & (own[:, 2] == 0) & (own[:, 3] == 0)).tolist()
             for k in range(len(got) - 1, 0, -1):
                 run[k - 1] = run[k] + 1 if open_[k] else 0
-            site = site or ""
             out["capture_id"].append(i), out["own"].append(own.tobytes())
             out["site_h"].append(_hash("site", site)), out["url_h"].append(_hash("url", url or f"#{i}"))
-            flat_lines["line_no"].extend(no for no, _, _ in got), flat_lines["run"].extend(run)
-            flat_lines["key"].extend(_hash(site, m) for _, m, _ in got), flat_lines["gkey"].extend(_hash(m) for _, m, _ in got)
+            flat_lines["line_no"].extend(numbers), flat_lines["run"].extend(run)
+            flat_lines["key"].extend(x[0] for x in got), flat_lines["gkey"].extend(x[1] for x in got)
             ends.append(ends[-1] + len(got))
         types = {"line_no": pa.int32(), "key": pa.int64(), "gkey": pa.int64(), "run": pa.int32()}
         inner = pa.StructArray.from_arrays([pa.array(flat_lines[c], t) for c, t in types.items()], fields=[pa.field(c, t) for c, t in types.items()])
