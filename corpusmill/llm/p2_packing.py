@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from .common import Durable
 
 EOS, PAD, IGNORE = 1, 0, -100
-#: A length is ranked in so many independent parts, so that one frequent length is no one task.
-RANK_PARTS = 64
+#: Items that are ranked together at most, about: a frequent length is ranked in as many parts as
+#: it takes, so that it is no one task, and one count a part is all that reaches the driver.
+PART_ROWS = 1 << 18
 
 
 def runs_of(token_runs: DataFrame) -> DataFrame:
@@ -68,26 +69,33 @@ def items(runs: DataFrame, capacity: int) -> DataFrame:
     return cut.select("doc_id", "piece", begin.alias("begin"), F.least(F.lit(capacity), F.col("n") - begin).cast("int").alias("length"))
 
 
-def slots(runs: DataFrame, capacity: int) -> DataFrame:
+def slots(runs: DataFrame, capacity: int, part_rows: int = PART_ROWS) -> DataFrame:
     """(doc_id, piece, begin, length, block, offset) of every piece of every run.
 
     ``runs`` has doc_id (unique) and n, the run's length; runs of length 0 or null have no slot.
     """
     spark = runs.sparkSession
-    each = items(runs.where("n > 0"), capacity).withColumn("part", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(RANK_PARTS)).cast("int"))
-    # At most capacity * RANK_PARTS counts reach the driver, however many the documents.
-    counted = sorted((r["length"], r["part"], r["n"]) for r in each.groupBy("length", "part").agg(F.count("*").alias("n")).collect())
-    histogram: dict[int, int] = {}
-    before = []
-    for length, part, n in counted:
-        before.append((length, part, histogram.get(length, 0)))
-        histogram[length] = histogram.get(length, 0) + n
-    planned = spark.createDataFrame(plan(histogram, capacity) or [(0, 0, 0, 0, 0)], "length int, rank_from long, rank_to long, block_from long, offset int")
-    starts = spark.createDataFrame(before or [(0, 0, 0)], "length int, part int, before long")
+    each = items(runs.where("n > 0"), capacity)
+    # At most ``capacity`` counts, then one a part, reach the driver, however many the documents.
+    histogram = {r["length"]: r["n"] for r in each.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    cut = spark.createDataFrame([(k, -(-n // part_rows)) for k, n in sorted(histogram.items()) if n > part_rows], "length int, parts int")
+    each = each.join(F.broadcast(cut), "length", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("doc_id", "piece"), F.col("parts")).cast("int"), F.lit(0))).drop("parts")
+    frequent = [k for k, n in histogram.items() if n > part_rows]
+    before, sums = [], {}
+    counted = each.where(F.col("length").isin(frequent)).groupBy("length", "part").agg(F.count("*").alias("n")).collect() if frequent else []
+    for length, part, n in sorted((r["length"], r["part"], r["n"]) for r in counted):
+        before.append((length, part, sums.get(length, 0)))
+        sums[length] = sums.get(length, 0) + n
+    starts = spark.createDataFrame(before, "length int, part int, before long")
+    by_length: dict[int, list] = {}
+    for length, *slot in plan(histogram, capacity):
+        by_length.setdefault(length, []).append(tuple(slot))
+    planned = spark.createDataFrame(list(by_length.items()), "length int, slots array<struct<rank_from: long, rank_to: long, block_from: long, offset: int>>")
     ranked = each.withColumn("r", F.row_number().over(W.partitionBy("length", "part").orderBy("doc_id", "piece")) - 1)
-    ranked = ranked.join(F.broadcast(starts), ["length", "part"]).withColumn("rank", F.col("before") + F.col("r"))
-    met = ranked.join(F.broadcast(planned), "length").where("rank >= rank_from and rank < rank_to")
-    return met.select("doc_id", "piece", "begin", "length", (F.col("block_from") + F.col("rank") - F.col("rank_from")).alias("block"), "offset")
+    ranked = ranked.join(F.broadcast(starts), ["length", "part"], "left").withColumn("rank", F.coalesce("before", F.lit(0)) + F.col("r"))
+    met = ranked.join(F.broadcast(planned), "length")
+    met = met.withColumn("slot", F.filter("slots", lambda s: (F.col("rank") >= s["rank_from"]) & (F.col("rank") < s["rank_to"]))[0])
+    return met.select("doc_id", "piece", "begin", "length", (F.col("slot.block_from") + F.col("rank") - F.col("slot.rank_from")).alias("block"), F.col("slot.offset").alias("offset"))
 
 
 def blocks(token_runs: DataFrame, capacity: int, work: Durable | None = None) -> DataFrame:
@@ -122,25 +130,33 @@ def needlessly_cut(token_runs: DataFrame, packed: DataFrame) -> DataFrame:
     """(doc_id) of the documents that the plan places whole but an earlier packing cut.
 
     The planned slot of a document states the length it has whole.  A block of the earlier packing
-    is taken apart at the ends of documents; where it lists a document but none of its parts is that
-    document's run (by length and 64-bit hash), it holds only a piece of it.
+    is taken apart at the ends of documents; where it lists a document and none of its parts is that
+    document's run, by length and 64-bit hash, the run is looked for at every place of the block, as
+    it may stand behind a piece without an end.  Where it stands nowhere, the block holds only a
+    piece of it.
     """
     capacity = capacity_of(packed)
     if capacity is None:
         return token_runs.select("doc_id").limit(0)
     runs = runs_of(token_runs).select("doc_id", "n", F.xxhash64(F.col("token_ids").cast("array<bigint>")).alias("hash"))
     whole = slots(runs.select("doc_id", "n"), capacity).where("piece = 0").select("doc_id", F.col("length").alias("planned"))
-    whole = runs.join(whole, "doc_id").where("planned = n").select("doc_id", "hash")
+    whole = runs.join(whole, "doc_id").where("planned = n").select("doc_id", "n", "hash")
     used = F.coalesce("original_length", F.size("input_ids") - F.col("padding_length"), F.size("input_ids"))
     ids = F.slice("input_ids", 1, F.greatest(used, F.lit(0)).cast("int"))
     ends = F.filter(F.transform("ids", lambda x, i: F.when(x == EOS, i + 1)), lambda i: i.isNotNull())
     ends = F.array_distinct(F.concat(ends, F.array(F.size("ids"))))
     starts = F.concat(F.array(F.lit(0)), F.slice("ends", 1, F.greatest(F.size("ends") - 1, F.lit(0))))
     parts = F.zip_with("starts", "ends", lambda a, b: F.xxhash64(F.slice("ids", a + 1, b - a)))
+    blocks_ = packed.select("doc_ids_json", ids.alias("ids")).withColumn("block", F.xxhash64("ids"))
     held = (
-        packed.select("block_id", "doc_ids_json", ids.alias("ids")).withColumn("ends", ends).withColumn("starts", starts)
-        .select("doc_ids_json", parts.alias("parts"))
-        .select(F.explode(F.from_json("doc_ids_json", "array<string>")).alias("doc"), "parts")
-        .select(F.expr("try_cast(doc as bigint)").alias("doc_id"), "parts")
+        blocks_.withColumn("ends", ends).withColumn("starts", starts)
+        .select("block", "doc_ids_json", parts.alias("parts"))
+        .select("block", F.explode(F.from_json("doc_ids_json", "array<string>")).alias("doc"), "parts")
+        .select("block", F.expr("try_cast(doc as bigint)").alias("doc_id"), "parts")
     )
-    return held.join(whole, "doc_id").where(~F.array_contains("parts", F.col("hash"))).select("doc_id").distinct()
+    # The few that no part answers, written down, so that their size decides how the blocks meet them.
+    open_ = held.join(whole, "doc_id").where(~F.array_contains("parts", F.col("hash"))).select("block", "doc_id", "n", "hash").distinct()
+    open_ = Durable(packed.sparkSession).keep(open_, "open")
+    places = F.sequence(F.lit(1), F.size("ids") - F.col("n") + 1)
+    stands = (F.size("ids") >= F.col("n")) & F.exists(places, lambda p: F.xxhash64(F.slice("ids", p, F.col("n"))) == F.col("hash"))
+    return blocks_.select("block", "ids").join(open_, "block").where(~F.when(F.size("ids") < F.col("n"), False).otherwise(stands)).select("doc_id").distinct()

@@ -7,16 +7,16 @@ runs AS (
     FROM token_runs WHERE len(token_ids) > 0) WHERE k = 1)"""
 
 ORACLE: dict[str, str] = {
-    # A whole run stands between two ends of documents; written as text, it is found as a substring.
+    # A whole run stands somewhere in the block, whatever is before it; written as text, it is found as a substring.
     "p2_found": f"""
 WITH {_RUNS},
 capacity AS (SELECT max(len(input_ids)) AS c FROM packed_blocks),
 blocks AS (
   SELECT DISTINCT block_id, unnest(from_json(doc_ids_json, '["VARCHAR"]')) AS doc,
-         ' 1 ' || array_to_string(input_ids[1:original_length], ' ') || ' ' AS line
+         ' ' || array_to_string(input_ids[1:original_length], ' ') || ' ' AS line
   FROM packed_blocks)
 SELECT DISTINCT r.doc_id FROM blocks b JOIN runs r ON r.doc_id = CAST(b.doc AS BIGINT), capacity
-WHERE len(r.token_ids) <= c AND NOT contains(line, ' 1 ' || array_to_string(r.token_ids, ' ') || ' ')
+WHERE len(r.token_ids) <= c AND NOT contains(line, ' ' || array_to_string(r.token_ids, ' ') || ' ')
 """,
     "p6_run_cube": """
 WITH r AS (
