@@ -109,6 +109,12 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p9_mixture.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[1]
 
 
+def p9_held_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the classifier of the mixture places labelled documents that it was not fitted on."""
+    sources = sorted(r.source for r in table(spark, sf_dir, "mix_targets").toLocalIterator() if r.source is not None)
+    return p9_mixture.held_out(table(spark, sf_dir, "documents"), sources)
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents of template residue, filler, errors or script notices."""
     return p10_residue.residue(_hosted(spark, sf_dir), _common(spark, sf_dir)).select("doc_id")

@@ -78,6 +78,16 @@ def test_needlessly_cut(spark):
     packed = spark.createDataFrame(rows, schema)
     assert [r.doc_id for r in p2_packing.needlessly_cut(t, packed).collect()] == [2]
     assert p2_packing.needlessly_cut(t, packed.limit(0)).count() == 0
+    # A run that stands whole behind a piece without an end is not cut; the piece is.
+    behind = spark.createDataFrame([("f", ids[2][:3] + ids[3] + ids[2][:2], 8, 0, '["2", "3"]')], schema)
+    assert len(ids[3]) == 3 and [r.doc_id for r in p2_packing.needlessly_cut(t, behind).collect()] == [2]
+
+
+def test_frequent_lengths_are_ranked_in_parts(spark):
+    """Half of all items have one length; every slot is taken once however small the parts."""
+    d = spark.createDataFrame([(k, 5 if k % 2 else 1 + k % 7) for k in range(400)], "doc_id long, n int")
+    got = [p2_packing.slots(d, 8, part_rows=size).select("block", "offset", "length").collect() for size in (1 << 18, 9)]
+    assert sorted(got[0]) == sorted(got[1]) and len(set((r.block, r.offset) for r in got[1])) == 400
 
 
 def page(site, number, body, other):
@@ -160,3 +170,20 @@ def test_classifier_places_documents_without_label(spark):
     mixture, _ = p9_mixture.mix(documents(spark, rows), targets)
     placed = {r.doc_id: r.source for r in mixture.collect() if r.doc_id >= 100}
     assert placed and all(s == ("plant" if k % 2 else "town") for k, s in placed.items())
+
+
+def test_overlapping_domains_are_fitted_together(spark):
+    """Documents of one source read like the other; the fit by domain counts them there, the labels still meet their targets."""
+    rows = [(k, ("iron valve pump " if k % 4 == 0 else "river song bread ") * 5, "plant" if k % 2 == 0 else "town", "en", None, None, "x") for k in range(800)]
+    d = documents(spark, rows)
+    targets = spark.createDataFrame([("plant", 0.5, 4), ("town", 0.5, 4)], "source string, target_share double, max_repeats int")
+    got = {}
+    for label in (1.0, 0.2):
+        mixture, shares = p9_mixture.mix(d, targets, label=label)
+        assert all(abs(r.actual_share - 0.5) < 0.01 for r in shares.collect())
+        used = {r.doc_id: r.repeats for r in mixture.collect()}
+        got[label] = [sum(used.get(k, 0) for k in range(800) if k % 4 == m) for m in (0, 2)]
+    # By labels alone both kinds of "plant" are used alike; by domain the one that reads like it is used more.
+    assert abs(got[1.0][0] - got[1.0][1]) < 30 and got[0.2][0] > 1.3 * got[0.2][1]
+    placed = {r.source: (r.docs, r.right) for r in p9_mixture.held_out(d, ["plant", "town"]).collect()}
+    assert placed["town"][1] == placed["town"][0] and 0 < placed["plant"][1] < placed["plant"][0]
