@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .evaluation import finite
@@ -23,7 +25,7 @@ def step_series(rows: DataFrame, *keys: str) -> DataFrame:
     return good.groupBy(*keys, "step").agg(F.max_by("value", "id").alias("value"))
 
 
-def stream_points(rows: DataFrame, run: str, domain: str, general: str, fraction: float = 0.02, floor: float = 0.0) -> DataFrame:
+def stream_points(rows: DataFrame, run: str, domain: str, general: str, fraction: float = 0.02, stop_fraction: float = 0.05, floor: float = 0.0) -> DataFrame:
     """(run, step, domain_gain, general_loss, threshold): movements against the run's first step.
 
     Missing values stay missing: a step without one of the two metrics has no such movement.
@@ -35,20 +37,52 @@ def stream_points(rows: DataFrame, run: str, domain: str, general: str, fraction
     met = wide.join(ref, run).select(run, "step", "d", "g", "r.*")
     return met.select(
         run, "step", (F.col("d0") - F.col("d")).alias("domain_gain"), (F.col("g") - F.col("g0")).alias("general_loss"),
-        F.greatest(F.lit(floor), F.abs("g0") * fraction).alias("threshold"),
+        F.greatest(F.lit(floor), F.abs("g0") * fraction).alias("threshold"), F.greatest(F.lit(floor), F.abs("g0") * stop_fraction).alias("stop_threshold"),
+        F.col("g0").alias("reference"),
     )
 
 
-def alerts(points: DataFrame, run: str, persistence: int = 2, floor: float = 0.02) -> DataFrame:
-    """Points at which the loss has held at or above the threshold for so many points in a row.
+#: Sources of points: a noisy stream during training, and single measurements that count at once.
+STREAM, CHECKPOINT = "train_eval_stream", "checkpoint_eval"
+
+
+def alerts(points: DataFrame, run: str, persistence: int = 2, floor: float = 0.02, overfitting: float = 0.5) -> DataFrame:
+    """(run, code, kind, severity, step, source, value, threshold, persistence): warnings and stops of each point.
 
-    A run's points are the steps of one training run; the window is over them.
+    A loss above the noise floor that reaches a threshold (``threshold`` to warn, ``stop_threshold``
+    to stop) is an alert, on the stream only once it has held for ``persistence`` of its points in a
+    row; points of checkpoints fire at once and leave the count as it is.  An ``overfitting_score``
+    of ``overfitting`` or more is an alert of its own.  Points without ``source`` are of the stream;
+    a run's points are the steps of one training run, and the windows are over them.
     """
-    crossed = F.coalesce((F.col("general_loss") > floor) & (F.col("general_loss") >= F.coalesce("threshold", F.lit(0.0))), F.lit(False))
+    if "source" not in points.columns:
+        points = points.withColumn("source", F.lit(STREAM))
+    loss, none = F.col("general_loss"), F.lit(None).cast("double")
     by = W.partitionBy(run).orderBy("step")
-    marked = points.withColumn("crossed", crossed).withColumn("island", F.sum((~F.col("crossed")).cast("int")).over(by))
-    held = marked.where("crossed").withColumn("persistence", F.row_number().over(W.partitionBy(run, "island").orderBy("step")))
-    return held.where(F.col("persistence") >= persistence).select(run, "step", "general_loss", "threshold", "persistence")
+
+    def crossed(code: str, severity: str, threshold) -> DataFrame:
+        up = F.coalesce((loss > floor) & (loss >= F.coalesce(threshold, F.lit(0.0))), F.lit(False))
+        stream = points.where(F.col("source") == STREAM).withColumn("up", up).withColumn("island", F.sum((~F.col("up")).cast("int")).over(by)).where("up")
+        stream = stream.withColumn("persistence", F.row_number().over(W.partitionBy(run, "island").orderBy("step"))).where(F.col("persistence") >= persistence)
+        single = points.where((F.col("source") != STREAM) & up).withColumn("persistence", F.lit(1))
+        columns = (run, F.lit(code).alias("code"), F.lit("forgetting").alias("kind"), F.lit(severity).alias("severity"), "step", "source", loss.alias("value"), threshold.alias("threshold"), "persistence")
+        return stream.select(*columns).unionByName(single.select(*columns))
+
+    out = crossed("forgetting_warning", "warning", F.col("threshold"))
+    if "stop_threshold" in points.columns:
+        out = out.unionByName(crossed("forgetting_stop", "stop", F.col("stop_threshold")))
+    if "overfitting_score" in points.columns:
+        over = points.where(F.col("overfitting_score") >= overfitting).select(
+            run, F.lit("domain_overfitting_warning").alias("code"), F.lit("domain_overfitting").alias("kind"), F.lit("warning").alias("severity"), "step", "source",
+            F.col("overfitting_score").alias("value"), F.lit(overfitting).alias("threshold"), none.cast("int").alias("persistence"),
+        )
+        out = out.unionByName(over)
+    return out
+
+
+def earliest_alerts(found: DataFrame, run: str) -> DataFrame:
+    """(run, kind, step): the first alert of each kind."""
+    return found.groupBy(run, "kind").agg(F.min("step").alias("step"))
 
 
 def early_stop(series: DataFrame, run: str, most: float = 0.05, patience: int = 1, min_steps: int = 1) -> DataFrame:
@@ -59,11 +93,22 @@ def early_stop(series: DataFrame, run: str, most: float = 0.05, patience: int =
     return d.where((F.col("count") >= patience) & (F.col("step") >= min_steps)).groupBy(run).agg(F.min("step").alias("stop_step"))
 
 
-def recommend(points: DataFrame, stops: DataFrame, run: str) -> DataFrame:
-    """The best point of each run that is no stop: positive gain less positive loss; ties go to the earlier step."""
-    pos = lambda c: F.greatest(F.lit(0.0), F.coalesce(c, F.lit(0.0)))
-    left = points.join(stops.select(run, "step"), [run, "step"], "left_anti").withColumn("score", pos("domain_gain") - pos("general_loss"))
-    return left.groupBy(run).agg(F.max_by(F.struct("step", "score"), F.struct("score", -F.col("step"))).alias("m")).select(run, "m.*")
+def recommend(points: DataFrame, found: DataFrame, run: str) -> DataFrame:
+    """(run, status, step, source, score): the best point of each run that no stop alert names.
+
+    Points of checkpoints are the candidates where a run has any, else all; the best has the highest
+    ``recommendation_score`` (missing counts as 0), ties go to the earlier step.  A run of which every
+    candidate is stopped has the status no_safe_checkpoint.
+    """
+    stops = found.where("severity = 'stop'").select(run, "step").distinct().withColumn("stopped", F.lit(True))
+    score = F.coalesce("recommendation_score", F.lit(0.0))
+    single = F.col("source") == CHECKPOINT
+    met = points.join(stops, [run, "step"], "left").withColumn("key", F.when(F.col("stopped").isNull(), F.struct(score.alias("s"), (-F.col("step")).alias("t"))))
+    row = F.struct("step", "source", "recommendation_score")
+    best = lambda which: F.max_by(row, F.when(which, F.col("key")))
+    got = met.groupBy(run).agg(F.max(single).alias("any"), best(single).alias("c"), best(F.lit(True)).alias("a"))
+    m = got.select(run, F.when(F.col("any"), F.col("c")).otherwise(F.col("a")).alias("m"))
+    return m.select(run, F.when(F.col("m").isNull(), "no_safe_checkpoint").otherwise("recommended").alias("status"), "m.step", "m.source", F.col("m.recommendation_score").alias("score"))
 
 
 def rank(runs: DataFrame) -> DataFrame:
@@ -72,27 +117,60 @@ def rank(runs: DataFrame) -> DataFrame:
     return runs.withColumn("rank", F.row_number().over(order))
 
 
-def matched_budget(a: DataFrame, b: DataFrame, keys: list[str], checks: list[str]) -> DataFrame:
-    """Each check's null-safe equality of two run tables, and whether all hold."""
+# What two runs must share for their comparison to be of a matched budget.
+BUDGET = (
+    "model_id model_revision sequence_length max_steps steps_completed realized_train_tokens train_batch_size gradient_accumulation_steps eval_task_paths contamination_policy"
+).split()
+
+
+def matched_budget(a: DataFrame, b: DataFrame, keys: list[str], checks: list[str] = BUDGET, advisory: str = "learning_rate") -> DataFrame:
+    """Each check's null-safe equality of two run tables, whether all hold, and whether the advisory does.
+
+    Both have a row a key.  The advisory is reported and does not count.
+    """
     met = a.alias("a").join(b.alias("b"), keys)
-    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")).alias(c) for c in checks]
-    return met.select(*keys, *same).withColumn("all_matched", F.expr(" and ".join(checks)))
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")).alias(c) for c in [*checks, advisory]]
+    return met.select(*keys, *same).withColumn("all_matched", F.expr(" and ".join(checks))).withColumnRenamed(advisory, f"same_{advisory}")
+
 
+def floor_of(floors: DataFrame, names: list[str], largest: bool = False):
+    """The noise floor by names in order of preference: the first that is there, else 0; or the largest, else null.
 
-def differential(a: DataFrame, b: DataFrame, floors: DataFrame) -> DataFrame:
-    """(metric, differential, floor, within_noise) of two tables of deltas; the larger floor counts."""
-    met = a.select("metric", F.col("delta").alias("x")).join(b.select("metric", F.col("delta").alias("y")), "metric").join(floors.select("metric", "floor"), "metric", "left")
+    ``floors`` has metric and floor, a row a metric; the result is one row with ``floor``.
+    """
+    by_name = [F.max(F.when(F.col("metric") == n, F.col("floor"))) for n in names]
+    if largest:
+        return floors.agg((F.greatest(*by_name) if len(by_name) > 1 else by_name[0]).alias("floor"))
+    return floors.agg(F.coalesce(*by_name, F.lit(0.0)).alias("floor"))
+
+
+def differential(a: DataFrame, b: DataFrame, floors: DataFrame, other_floors: DataFrame | None = None) -> DataFrame:
+    """(metric, differential, floor, within_noise) of two tables of deltas; the larger floor of the two runs counts."""
+    every = floors.select("metric", "floor")
+    if other_floors is not None:
+        every = every.unionByName(other_floors.select("metric", "floor"))
+    every = every.groupBy("metric").agg(F.max("floor").alias("floor"))
+    met = a.select("metric", F.col("delta").alias("x")).join(b.select("metric", F.col("delta").alias("y")), "metric").join(every, "metric", "left")
     return met.select("metric", (F.col("x") - F.col("y")).alias("differential"), "floor", (F.abs(F.col("x") - F.col("y")) <= F.col("floor")).alias("within_noise"))
 
 
+def value_slug(value) -> str:
+    """A value of a configuration in a variant's name: case, digits, dots and hyphens stay."""
+    text = "-".join(map(str, value)) if isinstance(value, (list, tuple)) else str(value)
+    return re.sub("[^A-Za-z0-9.-]+", "-", text).strip("-") or "value"
+
+
 def expand_sweep(spark, axes: dict[str, list]) -> DataFrame:
-    """Every combination of the axes' values in product order; axes are a configuration of a few values."""
-    out = None
-    for k, (name, values) in enumerate(axes.items()):
-        one = spark.createDataFrame([(i, v) for i, v in enumerate(values)], f"_{k} int, {name} {'long' if all(isinstance(v, int) for v in values) else 'double' if all(isinstance(v, (int, float)) for v in values) else 'string'}")
+    """Every combination of the axes' values in product order, named ``key=value__key=value`` by the keys' last parts."""
+    out, names = None, [k.split(".")[-1] for k in axes]
+    for k, (name, values) in enumerate(zip(names, axes.values())):
+        kind = "long" if all(isinstance(v, int) for v in values) else "double" if all(isinstance(v, (int, float)) for v in values) else "string"
+        text = [v if kind != "string" else str(v) for v in values]
+        one = spark.createDataFrame([(i, v, f"{name}={value_slug(w)}") for i, (v, w) in enumerate(zip(text, values))], f"_{k} int, `{name}` {kind}, _s{k} string")
         out = one if out is None else out.join(F.broadcast(one), F.lit(True))
-    slug = F.array_join(F.array(*(F.concat(F.lit(n + "-"), F.col(n).cast("string")) for n in axes)), "_")
-    return out.withColumn("variant", F.regexp_replace(F.lower(slug), "[^a-z0-9_.-]+", "-")).withColumn("ordinal", F.row_number().over(W.orderBy(*(f"_{k}" for k in range(len(axes)))))).drop(*(f"_{k}" for k in range(len(axes))))
+    at = range(len(names))
+    out = out.withColumn("variant", F.concat_ws("__", *(f"_s{k}" for k in at))).withColumn("ordinal", F.row_number().over(W.orderBy(*(f"_{k}" for k in at))))
+    return out.drop(*(f"_{k}" for k in at), *(f"_s{k}" for k in at))
 
 
 # --- layers ----------------------------------------------------------------------------------
@@ -207,9 +285,15 @@ def lora_delta_norm(pairs: DataFrame, exact_elements: int = 5_000_000) -> DataFr
 
 
 def reference_rows(now: DataFrame, reference: DataFrame) -> DataFrame:
-    """(name, weight_norm, reference_norm, ratio): current against initial norms; null without a reference or with 0."""
-    met = now.select("name", F.col("norm").alias("weight_norm")).join(reference.select("name", F.col("norm").alias("reference_norm")), "name", "left")
-    return met.withColumn("ratio", F.try_divide(F.abs(F.col("weight_norm") - F.col("reference_norm")), F.col("reference_norm")))
+    """(name, weight_norm, reference_norm, update_norm, ratio) of each parameter against its first state.
+
+    Both have name and ``values``, the elements in order; ``update_norm`` is the norm of the
+    difference.  Null without a reference of the same length; the ratio also where its norm is 0.
+    """
+    met = now.select("name", "values").join(reference.select("name", F.col("values").alias("first")), "name", "left")
+    apart = F.when(F.size("values") == F.size("first"), F.zip_with("values", "first", lambda x, y: x.cast("double") - y.cast("double")))
+    out = met.select("name", l2(F.col("values")).alias("weight_norm"), F.when(F.col("first").isNotNull(), l2(F.col("first"))).alias("reference_norm"), F.when(apart.isNotNull(), l2(apart)).alias("update_norm"))
+    return out.withColumn("ratio", F.try_divide("update_norm", F.col("reference_norm")))
 
 
 def scored(points: DataFrame, floor: float = 0.0, default_floor: float = 0.02, allowed: bool = True) -> DataFrame:
@@ -232,14 +316,15 @@ def scored(points: DataFrame, floor: float = 0.0, default_floor: float = 0.02, a
     })
 
 
-def slug(c: Column) -> Column:
-    """Lower case, other characters as single hyphens, none at the ends."""
-    return F.regexp_replace(F.regexp_replace(F.lower(c), "[^a-z0-9]+", "-"), "^-+|-+$", "")
+def slug(c: Column, most: int = 40) -> Column:
+    """A run's name: lower case, all but letters and digits as single hyphens, none at the ends, cut; ``run`` if nothing stays."""
+    flat = F.regexp_replace(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", "-"), "^-+|-+$", "")
+    return F.coalesce(F.nullif(F.substring(flat, 1, most), F.lit("")), F.lit("run"))
 
 
 def metric_label(c: Column) -> Column:
-    """A name for a metric: other characters as single underscores, none at the ends."""
-    return F.regexp_replace(F.regexp_replace(c, "[^A-Za-z0-9]+", "_"), "^_+|_+$", "")
+    """A name for a metric: all but ASCII letters, digits, dots, underscores and hyphens as single underscores, none at the ends."""
+    return F.regexp_replace(F.regexp_replace(c, "[^a-zA-Z0-9_.-]+", "_"), "^_+|_+$", "")
 
 
 def realized(runs: DataFrame) -> DataFrame:

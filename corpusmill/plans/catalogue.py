@@ -424,9 +424,16 @@ def q_stream_points(spark, sf_dir):
     return _points(spark, sf_dir).select(RUN, "step", *(F.round(c, 6).alias(c) for c in ("domain_gain", "general_loss", "threshold")))
 
 
+def _scored_points(spark, sf_dir):
+    """Points with their scores; every fifth step counts as a checkpoint's, of which alone answers were measured."""
+    p = _points(spark, sf_dir).withColumn("source", F.when(F.col("step") % 5 == 0, M.CHECKPOINT).otherwise(M.STREAM))
+    return M.scored(p.withColumn("qa_delta", F.when(F.col("source") == M.CHECKPOINT, F.col("step") % 3 / 50.0 - 0.03)))
+
+
 @query
 def q_alerts(spark, sf_dir):
-    return M.alerts(_points(spark, sf_dir), RUN).select(RUN, "step", F.round("general_loss", 6).alias("general_loss"), "persistence")
+    x = M.alerts(_scored_points(spark, sf_dir), RUN)
+    return x.select(RUN, "code", "kind", "severity", "step", "source", F.round("value", 6).alias("value"), F.round("threshold", 6).alias("threshold"), "persistence")
 
 
 @query
@@ -436,7 +443,7 @@ def q_early_stop(spark, sf_dir):
 
 @query
 def q_recommend(spark, sf_dir):
-    p = _points(spark, sf_dir)
+    p = _scored_points(spark, sf_dir)
     return M.recommend(p, M.alerts(p, RUN), RUN).withColumn("score", F.round("score", 6))
 
 
@@ -464,15 +471,30 @@ def q_run_ranking(spark, sf_dir):
 
 @query
 def q_matched_budget(spark, sf_dir):
-    r = _run_table(spark, sf_dir).withColumn("k", F.substring("run", 1, 0))
-    one = r.orderBy("run").limit(1)
-    x = M.matched_budget(r.withColumn("other", F.lit(1)), one.select(F.lit(1).alias("other"), "steps", "tokens", "lr"), ["other"], ["steps", "tokens", "lr"])
-    return x.groupBy("steps", "tokens", "lr", "all_matched").agg(F.count("*").alias("runs"))
+    """Every run against the first; what the metrics do not hold follows from the run's name."""
+    part = lambda k: F.conv(F.substring("run", k, 1), 16, 10).cast("int")
+    r = _run_table(spark, sf_dir).select(
+        "run", F.when(part(1) < 12, "a").otherwise("b").alias("model_id"), F.lit("main").alias("model_revision"), F.when(part(2) < 12, 1024).alias("sequence_length"),
+        (F.ceil(F.col("steps") / 2000) * 2000).alias("max_steps"), "steps", F.round(F.col("tokens") / 200000).alias("realized_train_tokens"), (part(3) % 2).alias("train_batch_size"),
+        F.lit(4).alias("gradient_accumulation_steps"), F.array(F.lit("t")).alias("eval_task_paths"), F.when(part(4) < 8, "warn").alias("contamination_policy"), F.col("lr").alias("learning_rate"),
+    ).withColumn("steps_completed", F.floor(F.col("steps") / 2000)).drop("steps")
+    first = r.agg(F.min_by(F.struct(*r.columns), "run").alias("m")).select("m.*").drop("run")
+    every = r.select("run").join(F.broadcast(first), F.lit(True))
+    return M.matched_budget(r, every, ["run"])
+
+
+@query
+def q_floor_lookup(spark, sf_dir):
+    f = _floors(spark, sf_dir, BOOTSTRAPS)
+    names = ["no.such.metric", "domain_recall.token_f1", "domain_application.token_f1"]
+    x = M.floor_of(f, names).select(F.lit("first").alias("rule"), "floor").unionByName(M.floor_of(f, names, largest=True).select(F.lit("largest").alias("rule"), "floor"))
+    x = x.unionByName(M.floor_of(f, names[:1]).select(F.lit("first of none").alias("rule"), "floor")).unionByName(M.floor_of(f, names[:1], largest=True).select(F.lit("largest of none").alias("rule"), "floor"))
+    return x.withColumn("floor", F.round("floor", 6))
 
 
 @query
 def q_sweep_expand(spark, sf_dir):
-    return M.expand_sweep(spark, {"rank": [2, 4], "alpha": [8, 16], "lr": [0.001, 0.0005]})
+    return M.expand_sweep(spark, {"adapter.rank": [2, 4], "adapter.targets": ["Q_proj all", "MLP/down"], "training.lr": [0.001, 0.0005]})
 
 
 @query
@@ -541,22 +563,24 @@ def q_lora_delta_norm(spark, sf_dir):
 
 @query
 def q_reference_rows(spark, sf_dir):
-    n = _layers(spark, sf_dir).select(F.col("vec_id").alias("id"), F.col("movement").alias("norm"))
-    first = n.where("id % 3 > 0").select(F.col("id").alias("name"), (F.col("norm") * (F.col("id") % 3 - 1)).alias("norm"))
-    x = M.reference_rows(n.withColumnRenamed("id", "name"), first)
-    return x.select("name", *(F.round(c, 4).alias(c) for c in ("weight_norm", "reference_norm", "ratio")))
+    """Vectors against a first state that is rotated by one place, scaled, of zeros, or missing."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("name"), F.col("embedding").alias("values"))
+    turned = F.concat(F.slice("values", 2, 100_000), F.slice("values", 1, 1))
+    times = lambda k: F.transform("values", lambda x: x * k)
+    first = e.where("name % 5 > 0").select("name", F.when(F.col("name") % 5 == 1, turned).when(F.col("name") % 5 == 2, times(F.lit(0.5))).when(F.col("name") % 5 == 3, times(F.lit(0.0))).otherwise(F.col("values")).alias("values"))
+    return M.reference_rows(e, first).select("name", *(F.round(c, 4).alias(c) for c in ("weight_norm", "reference_norm", "update_norm", "ratio")))
 
 
 @query
 def q_point_scores(spark, sf_dir):
-    p = _points(spark, sf_dir).select(RUN, "step", "domain_gain", "general_loss", (F.col("threshold") * 50).alias("reference"), (F.col("step") % 5 / 50.0 - 0.04).alias("qa_delta"))
+    p = _points(spark, sf_dir).select(RUN, "step", "domain_gain", "general_loss", "reference", (F.col("step") % 5 / 50.0 - 0.04).alias("qa_delta"))
     x = M.scored(p)
     return x.select(RUN, "step", "interpretation", *(F.round(c, 4).alias(c) for c in ("forgetting_score", "overfitting_score", "recommendation_score")))
 
 
 @query
 def q_earliest_alert(spark, sf_dir):
-    return M.alerts(_points(spark, sf_dir), RUN).groupBy(RUN).agg(F.min("step").alias("step"))
+    return M.earliest_alerts(M.alerts(_scored_points(spark, sf_dir), RUN), RUN)
 
 
 def _qa_delta(spark, sf_dir, samples):
@@ -579,8 +603,10 @@ def q_qa_delta_200(spark, sf_dir):
 
 @query
 def q_names(spark, sf_dir):
+    """Names as they come, with other signs around them, over forty characters, and of signs only."""
     m = _metrics(spark, sf_dir).select("stage", "name").distinct()
-    return m.select("stage", "name", M.slug(F.concat_ws(" / ", "stage", F.upper("name"))).alias("slug"), M.metric_label(F.concat(F.lit("-"), "stage", F.lit(".."), "name", F.lit("!"))).alias("label"))
+    m = m.select("stage", "name", F.explode(F.array(F.concat_ws(" / ", "stage", F.upper("name")), F.concat(F.lit("__Étage."), "stage", F.lit("-"), "name", F.lit(" (mean)_")), F.repeat("name", 3), F.lit(" !/ "))).alias("text"))
+    return m.select("stage", "name", "text", M.slug(F.col("text")).alias("slug"), M.metric_label(F.col("text")).alias("label"))
 
 
 @query

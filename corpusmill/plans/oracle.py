@@ -274,11 +274,18 @@ _POINTS = """
 wide AS (SELECT config_hash, step, max(value) FILTER (WHERE name = 'domain_surface_perplexity') AS d, max(value) FILTER (WHERE name = 'general_perplexity') AS g
   FROM series WHERE name IN ('domain_surface_perplexity', 'general_perplexity') GROUP BY ALL),
 fr AS (SELECT *, first_value(d) OVER w AS d0, first_value(g) OVER w AS g0 FROM wide WINDOW w AS (PARTITION BY config_hash ORDER BY step)),
-points AS (SELECT config_hash, step, d0 - d AS domain_gain, g - g0 AS general_loss, greatest(0, abs(g0) * 0.02) AS threshold FROM fr),
-mk AS (SELECT *, coalesce(general_loss > 0.02 AND general_loss >= threshold, false) AS c FROM points),
-il AS (SELECT *, sum((NOT c)::INT) OVER (PARTITION BY config_hash ORDER BY step) AS island FROM mk),
-hd AS (SELECT *, row_number() OVER (PARTITION BY config_hash, island ORDER BY step) AS persistence FROM il WHERE c),
-alerts AS (SELECT * FROM hd WHERE persistence >= 2)"""
+points AS (SELECT config_hash, step, d0 - d AS domain_gain, g - g0 AS general_loss, greatest(0, abs(g0) * 0.02) AS threshold, greatest(0, abs(g0) * 0.05) AS stop_threshold, g0 AS reference, step % 5 = 0 AS single FROM fr),
+ov AS (SELECT *, CASE WHEN NOT single OR NOT coalesce(domain_gain > 0.02, false) THEN 0.0 WHEN step % 3 / 50.0::DOUBLE - 0.03 < -0.02 THEN 1.0
+  WHEN abs(step % 3 / 50.0::DOUBLE - 0.03) <= 0.02 THEN 0.5 ELSE 0.0 END::DOUBLE AS over FROM points),
+pt AS (SELECT *, greatest(0, coalesce(domain_gain, 0)) - greatest(0, coalesce(general_loss, 0)) - over * greatest(1, coalesce(domain_gain, 0)) AS score,
+  CASE WHEN single THEN 'checkpoint_eval' ELSE 'train_eval_stream' END AS source FROM ov),
+lv AS (SELECT pt.*, code, severity, CASE severity WHEN 'stop' THEN stop_threshold ELSE threshold END AS least FROM pt, (VALUES ('forgetting_warning', 'warning'), ('forgetting_stop', 'stop')) v(code, severity)),
+mk AS (SELECT *, coalesce(general_loss > 0.02 AND general_loss >= least, false) AS c FROM lv),
+il AS (SELECT *, sum((NOT c)::INT) OVER (PARTITION BY config_hash, code ORDER BY step) AS island FROM mk WHERE NOT single),
+hd AS (SELECT *, row_number() OVER (PARTITION BY config_hash, code, island ORDER BY step) AS persistence FROM il WHERE c),
+alerts AS (SELECT config_hash, code, 'forgetting' AS kind, severity, step, source, general_loss AS value, least AS threshold, persistence::INT AS persistence FROM hd WHERE persistence >= 2
+  UNION ALL SELECT config_hash, code, 'forgetting', severity, step, source, general_loss, least, 1 FROM mk WHERE single AND c
+  UNION ALL SELECT config_hash, 'domain_overfitting_warning', 'domain_overfitting', 'warning', step, source, over, 0.5, NULL FROM pt WHERE over >= 0.5)"""
 _RUNTAB = f"""runtab AS (SELECT config_hash AS run, max(step) AS steps, arg_max(value, id) FILTER (WHERE name = 'domain_surface_perplexity') AS domain,
   arg_max(value, id) FILTER (WHERE name = 'general_perplexity') AS general, arg_max(value, id) FILTER (WHERE name = 'raw_token_count') AS tokens,
   arg_max(value, id) FILTER (WHERE name = 'learning_rate') AS lr FROM metric_rows WHERE {_FIN} GROUP BY 1)"""
@@ -291,19 +298,29 @@ SELECT id, stage, name, m ->> 'device' AS device, len(json_keys(m)) AS keys FROM
     "q_latest_metrics": "SELECT stage, name, round(value, 6) AS value, step, created_at, unit FROM metric_rows QUALIFY row_number() OVER (PARTITION BY stage, name ORDER BY id DESC) = 1",
     "q_step_series": f"WITH {_SERIES} SELECT config_hash, stage, name, step, round(value, 6) AS value FROM series",
     "q_stream_points": f"WITH {_SERIES}, {_POINTS} SELECT config_hash, step, round(domain_gain, 6) AS domain_gain, round(general_loss, 6) AS general_loss, round(threshold, 6) AS threshold FROM points",
-    "q_alerts": f"WITH {_SERIES}, {_POINTS} SELECT config_hash, step, round(general_loss, 6) AS general_loss, persistence FROM alerts",
+    "q_alerts": f"WITH {_SERIES}, {_POINTS} SELECT config_hash, code, kind, severity, step, source, round(value, 6) AS value, round(threshold, 6) AS threshold, persistence FROM alerts",
     "q_early_stop": f"""WITH {_SERIES}, d AS (SELECT config_hash, step, value - first_value(value) OVER w > 0.05 AS up FROM series WHERE name = 'train_loss' WINDOW w AS (PARTITION BY config_hash ORDER BY step)),
 i AS (SELECT *, sum((NOT up)::INT) OVER (PARTITION BY config_hash ORDER BY step) AS island FROM d), c AS (SELECT *, row_number() OVER (PARTITION BY config_hash, island ORDER BY step) AS n FROM i WHERE up)
 SELECT config_hash, min(step) AS stop_step FROM c WHERE n >= 2 AND step >= 10 GROUP BY config_hash""",
-    "q_recommend": f"""WITH {_SERIES}, {_POINTS}, s AS (SELECT config_hash, step, greatest(0, coalesce(domain_gain, 0)) - greatest(0, coalesce(general_loss, 0)) AS score FROM points ANTI JOIN alerts USING (config_hash, step))
-SELECT config_hash, step, round(score, 6) AS score FROM s QUALIFY row_number() OVER (PARTITION BY config_hash ORDER BY score DESC, step) = 1""",
+    "q_recommend": f"""WITH {_SERIES}, {_POINTS}, cand AS (SELECT * FROM pt QUALIFY single OR NOT bool_or(single) OVER (PARTITION BY config_hash)),
+best AS (SELECT config_hash, step, source, score FROM cand ANTI JOIN (SELECT config_hash, step FROM alerts WHERE severity = 'stop') s USING (config_hash, step)
+  QUALIFY row_number() OVER (PARTITION BY config_hash ORDER BY score DESC, step) = 1)
+SELECT config_hash, CASE WHEN step IS NULL THEN 'no_safe_checkpoint' ELSE 'recommended' END AS status, step, source, round(score, 6) AS score
+FROM (SELECT DISTINCT config_hash FROM pt) LEFT JOIN best USING (config_hash)""",
     "q_train_stats": f"WITH {_SERIES} SELECT config_hash, name, round(arg_max(value, step), 6) AS last, round(avg(value), 6) AS mean, count(*) AS steps FROM series WHERE stage = 'train' GROUP BY ALL",
     "q_run_ranking": f"WITH {_RUNTAB} SELECT run, row_number() OVER (ORDER BY -domain DESC NULLS LAST, -general DESC NULLS LAST, tokens NULLS LAST, run) AS rank, round(-domain, 6) AS gain FROM runtab",
-    "q_matched_budget": f"""WITH {_RUNTAB}, o AS (SELECT steps AS s, tokens AS t, lr AS l FROM runtab ORDER BY run LIMIT 1),
-x AS (SELECT steps IS NOT DISTINCT FROM s AS steps, tokens IS NOT DISTINCT FROM t AS tokens, lr IS NOT DISTINCT FROM l AS lr FROM runtab, o)
-SELECT steps, tokens, lr, steps AND tokens AND lr AS all_matched, count(*) AS runs FROM x GROUP BY ALL""",
-    "q_sweep_expand": """WITH v AS (SELECT r, a, l, rank, alpha, lr FROM (VALUES (0, 2), (1, 4)) x(r, rank), (VALUES (0, 8), (1, 16)) y(a, alpha), (VALUES (0, 0.001::DOUBLE, '0.001'), (1, 0.0005::DOUBLE, '5.0E-4')) z(l, lr, s))
-SELECT rank, alpha, lr, 'rank-' || rank || '_alpha-' || alpha || '_lr-' || CASE l WHEN 0 THEN '0.001' ELSE '5.0e-4' END AS variant, row_number() OVER (ORDER BY r, a, l) AS ordinal FROM v""",
+    "q_matched_budget": f"""WITH {_RUNTAB}, r AS (SELECT run, CASE WHEN ('0x' || run[1])::INT < 12 THEN 'a' ELSE 'b' END AS m, CASE WHEN ('0x' || run[2])::INT < 12 THEN 1024 END AS l, ceil(steps / 2000) AS ms,
+  steps // 2000 AS sc, round(tokens / 200000) AS t, ('0x' || run[3])::INT % 2 AS b, CASE WHEN ('0x' || run[4])::INT < 8 THEN 'warn' END AS p, lr FROM runtab),
+o AS (SELECT * FROM r ORDER BY run LIMIT 1),
+x AS (SELECT r.run, r.m IS NOT DISTINCT FROM o.m AS model_id, true AS model_revision, r.l IS NOT DISTINCT FROM o.l AS sequence_length, r.ms IS NOT DISTINCT FROM o.ms AS max_steps,
+  r.sc IS NOT DISTINCT FROM o.sc AS steps_completed, r.t IS NOT DISTINCT FROM o.t AS realized_train_tokens, r.b IS NOT DISTINCT FROM o.b AS train_batch_size, true AS gradient_accumulation_steps,
+  true AS eval_task_paths, r.p IS NOT DISTINCT FROM o.p AS contamination_policy, r.lr IS NOT DISTINCT FROM o.lr AS same_learning_rate FROM r, o)
+SELECT *, model_id AND sequence_length AND max_steps AND steps_completed AND realized_train_tokens AND train_batch_size AND contamination_policy AS all_matched FROM x""",
+    "q_floor_lookup": f"""WITH {_BOOT}, f AS (SELECT * FROM (VALUES (1, 'domain_recall.token_f1'), (2, 'domain_application.token_f1')) v(k, metric) JOIN floors USING (metric) WHERE floor IS NOT NULL)
+SELECT 'first' AS rule, round(coalesce((SELECT arg_min(floor, k) FROM f), 0), 6) AS floor UNION ALL SELECT 'largest', (SELECT round(max(floor), 6) FROM f)
+UNION ALL SELECT 'first of none', 0 UNION ALL SELECT 'largest of none', NULL""",
+    "q_sweep_expand": """WITH v AS (SELECT * FROM (VALUES (0, 2), (1, 4)) x(r, rank), (VALUES (0, 'Q_proj all', 'Q-proj-all'), (1, 'MLP/down', 'MLP-down')) y(a, targets, t), (VALUES (0, 0.001::DOUBLE, '0.001'), (1, 0.0005::DOUBLE, '0.0005')) z(l, lr, s))
+SELECT rank, targets, lr, 'rank=' || rank || '__targets=' || t || '__lr=' || s AS variant, row_number() OVER (ORDER BY r, a, l) AS ordinal FROM v""",
     "q_memory_estimate": """SELECT * FROM (VALUES
 ('Demo-0.6B', 'adapter', 600000000, 300000, 1200000000, 600000, 2400000, 4194304), ('Demo-4B', 'adapter', 4000000000, 6835937, 2000000000, 13671874, 54687496, 67108864),
 ('demo-350M', 'full_finetune_small', 350000000, 350000000, 1400000000, 1400000000, 2800000000, 134217728), ('unnamed', 'partial_unfreeze', 600000000, 30000000, 1200000000, 60000000, 240000000, 8388608))
@@ -334,17 +351,21 @@ ORACLE |= {
     "q_lora_delta_norm": """WITH c AS (SELECT vec_id // 2 AS p, vec_id % 2 AS side, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) - 1 AS k FROM embeddings),
 z AS (SELECT a.p, b.k // 8 AS i, a.k % 8 AS j, sum(a.v * b.v) AS z FROM c a JOIN c b ON a.p = b.p AND a.side = 0 AND b.side = 1 AND a.k // 8 = b.k % 8 GROUP BY ALL)
 SELECT 'layers.' || p || '.q_proj' AS prefix, round(2 * sqrt(sum(z * z)), 5) AS norm FROM z GROUP BY p""",
-    "q_reference_rows": f"""WITH {_LAY}, n AS (SELECT vec_id, norm * (vec_id % 11 + 1) AS w, CASE WHEN vec_id % 3 > 0 THEN norm * (vec_id % 11 + 1) * (vec_id % 3 - 1) END AS r FROM nm)
-SELECT vec_id AS name, round(w, 4) AS weight_norm, round(r, 4) AS reference_norm, CASE WHEN r <> 0 THEN round(abs(w - r) / r, 4) END AS ratio FROM n""",
-    "q_point_scores": f"""WITH {_SERIES}, {_POINTS}, p AS (SELECT config_hash, step, domain_gain AS g, general_loss AS l, threshold * 50 AS r, step % 5 / 50.0::DOUBLE - 0.04 AS q FROM points),
+    "q_reference_rows": """WITH e AS (SELECT vec_id AS name, embedding::DOUBLE[] AS v, CASE vec_id % 5 WHEN 1 THEN list_concat(embedding[2:], embedding[1:1])::DOUBLE[] WHEN 2 THEN list_transform(embedding, lambda x: x * 0.5)::DOUBLE[]
+  WHEN 3 THEN list_transform(embedding, lambda x: x * 0)::DOUBLE[] WHEN 4 THEN embedding::DOUBLE[] END AS f FROM embeddings),
+n AS (SELECT name, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS w, sqrt(list_sum(list_transform(f, lambda x: x * x))) AS r, sqrt(list_sum(list_transform(list_zip(v, f), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS u, f FROM e)
+SELECT name, round(w, 4) AS weight_norm, round(r, 4) AS reference_norm, CASE WHEN f IS NOT NULL THEN round(u, 4) END AS update_norm, CASE WHEN r <> 0 THEN round(u / r, 4) END AS ratio FROM n""",
+    "q_point_scores": f"""WITH {_SERIES}, {_POINTS}, p AS (SELECT config_hash, step, domain_gain AS g, general_loss AS l, reference AS r, step % 5 / 50.0::DOUBLE - 0.04 AS q FROM points),
 o AS (SELECT *, CASE WHEN NOT coalesce(g > 0.02, false) THEN 0.0 WHEN q < -0.02 THEN 1.0 WHEN abs(q) <= 0.02 THEN 0.5 ELSE 0.0 END::DOUBLE AS o FROM p)
 SELECT config_hash, step, CASE WHEN coalesce(l > 0.02, false) THEN 'forgetting_warning' WHEN o > 0 THEN 'domain_overfitting_watch' ELSE 'within_noise_or_improving' END AS interpretation,
 round(CASE WHEN coalesce(l > 0, false) THEN greatest(0, l - 0.02) / CASE WHEN coalesce(r, 0) <> 0 THEN greatest(abs(r), 1e-9) ELSE 1 END ELSE 0 END, 4) AS forgetting_score, o AS overfitting_score,
 round(greatest(0, coalesce(g, 0)) - greatest(0, coalesce(l, 0)) - o * greatest(1, coalesce(g, 0)), 4) AS recommendation_score FROM o""",
-    "q_earliest_alert": f"WITH {_SERIES}, {_POINTS} SELECT config_hash, min(step) AS step FROM alerts GROUP BY config_hash",
+    "q_earliest_alert": f"WITH {_SERIES}, {_POINTS} SELECT config_hash, kind, min(step) AS step FROM alerts GROUP BY config_hash, kind",
     "q_qa_delta": f"""WITH {_BOOT} SELECT round((SELECT avg(delta) FROM deltas WHERE metric IN ('domain_recall.token_f1', 'domain_application.token_f1')), 6) AS delta,
 round((SELECT greatest(coalesce(max(floor), 0), 0.02) FROM floors WHERE metric IN ('domain_recall.token_f1', 'domain_application.token_f1')), 6) AS floor""",
-    "q_names": """SELECT DISTINCT stage, name, stage || '-' || replace(name, '_', '-') AS slug, stage || '_' || name AS label FROM metric_rows""",
+    "q_names": r"""WITH n AS (SELECT DISTINCT stage, name FROM metric_rows),
+t AS (SELECT stage, name, unnest([stage || ' / ' || upper(name), '__Étage.' || stage || '-' || name || ' (mean)_', repeat(name, 3), ' !/ ']) AS text FROM n)
+SELECT stage, name, text, coalesce(nullif(trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', '-', 'g'), '-')[:40], ''), 'run') AS slug, trim(regexp_replace(text, '[^a-zA-Z0-9_.-]+', '_', 'g'), '_') AS label FROM t""",
     "q_realized_tokens": f"WITH {_RUNTAB} SELECT run, steps * 8192 AS train_tokens, round(steps * 1.5 / 3600 * 2.0, 6) AS cost FROM runtab WHERE steps IS NOT NULL",
     "q_mini_eval": f"""SELECT suite, round(sum(value * token_count) / sum(token_count), 6) AS loss, round(exp(sum(value * token_count) / sum(token_count)), 6) AS perplexity
 FROM eval_results WHERE metric_name = 'nll' AND token_count > 0 AND {_FIN} GROUP BY suite""",
