@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions import text as T
 
@@ -41,6 +41,13 @@ def missing_kinds(ex: DataFrame) -> DataFrame:
     return want.join(ex.select("kind"), "kind", "left_anti")
 
 
+def coverage(ex: DataFrame) -> DataFrame:
+    """(kind, n, covered) of the mandatory kinds and of general examples, of which there must be one at least."""
+    want = ex.sparkSession.createDataFrame([(k,) for k in (*MANDATORY_KINDS, "general")], "kind string")
+    n = ex.groupBy("kind").agg(F.count("*").alias("n"))
+    return want.join(n, "kind", "left").select("kind", F.coalesce("n", F.lit(0).cast("long")).alias("n"), (F.coalesce("n", F.lit(0)) > 0).alias("covered"))
+
+
 def exact(docs: DataFrame, ex: DataFrame) -> DataFrame:
     """(doc_id, example_id) with equal normalized text.  ``docs`` has doc_id and clean_text.
 
@@ -84,6 +91,30 @@ def flags(docs: DataFrame, ex: DataFrame, size: int = NGRAM, threshold: float =
     return e.unionByName(overlaps(docs, ex, size, threshold).select("doc_id", "example_id", F.lit("ngram").alias("match_type"), "score"))
 
 
+def ordered(found: DataFrame, most: int | None = None) -> DataFrame:
+    """``found`` with ``place``: within a document exact matches first, then by falling score and example id.
+
+    With ``most``, the first so many of each document, as a report shows them.
+    """
+    order = W.partitionBy("doc_id").orderBy("match_type", F.desc("score"), "example_id")
+    out = found.withColumn("place", F.row_number().over(order))
+    return out if most is None else out.where(F.col("place") <= most)
+
+
+def totals(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """(source_role, documents, flagged, matches) by role, and over all roles as ``*``."""
+    n = found.groupBy("doc_id").agg(F.count("*").alias("k"))
+    met = docs.select("doc_id", F.coalesce("source_role", F.lit("unspecified")).alias("role")).join(n, "doc_id", "left")
+    by = met.groupingSets([["role"], []], "role").agg(F.count("*").alias("documents"), F.count("k").alias("flagged"), F.coalesce(F.sum("k"), F.lit(0).cast("long")).alias("matches"), F.grouping("role").alias("all"))
+    return by.select(F.when(F.col("all") == 1, "*").otherwise(F.col("role")).alias("source_role"), "documents", "flagged", "matches")
+
+
+def enforce(found: DataFrame, mode: str = "remove", override: bool = False) -> None:
+    """The stage fails where matches need an override that was not given."""
+    if mode == "require_override" and not override and not found.isEmpty():
+        raise ValueError("documents match evaluation examples; give an override to keep them")
+
+
 def status(docs: DataFrame, found: DataFrame, mode: str = "remove") -> DataFrame:
     """(doc_id, status, match_count) of the documents that remain; ``require_override`` keeps all and marks them."""
     n = found.groupBy("doc_id").agg(F.count("*").alias("match_count"))

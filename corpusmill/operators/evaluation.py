@@ -71,7 +71,8 @@ def benchmark_pivot(rows: DataFrame) -> DataFrame:
     """One row with the named cells of the benchmark."""
     cells = [("surface", "perplexity"), ("surface", "nll"), ("recall", "exact_match"), ("recall", "token_f1"), ("application", "exact_match"), ("application", "token_f1")]
     cell = lambda k, m: F.avg(F.when((F.col("kind") == k) & (F.col("metric_name") == m), F.col("value")))
-    return rows.where(finite(F.col("value"))).agg(*(cell(k, m).alias(f"{k}_{m}") for k, m in cells))
+    general = F.avg(F.when((F.col("suite") == "general") & (F.col("metric_name") == "perplexity"), F.col("value"))).alias("general_perplexity")
+    return rows.where(finite(F.col("value"))).agg(*(cell(k, m).alias(f"{k}_{m}") for k, m in cells), general, F.countDistinct("example_id").alias("samples"))
 
 
 def repeat_stats(rows: DataFrame) -> DataFrame:

@@ -233,9 +233,10 @@ def layer_warnings(rows: DataFrame, share: float = 0.5, ratio: float = 1.0, grad
 
 
 def memory_estimate(models: DataFrame) -> DataFrame:
-    """Bytes of weights, gradients, optimizer and activations by mode.
+    """Bytes of weights, gradients, optimizer, activations and all by mode, and whether they are over the budget.
 
-    ``models`` has model_id, mode, adapter, fp32, targets, rank, length and batch.
+    ``models`` has model_id, mode, adapter, fp32, targets, rank, length and batch, and may have
+    budget_gb; without a budget nothing is over it.
     """
     size = F.regexp_extract("model_id", r"(\d+(?:\.\d+)?)\s*([bBmM])", 1)
     unit = F.lower(F.regexp_extract("model_id", r"(\d+(?:\.\d+)?)\s*([bBmM])", 2))
@@ -246,12 +247,29 @@ def memory_estimate(models: DataFrame) -> DataFrame:
         lora, F.least(F.greatest(F.greatest("targets", F.lit(1)) / 16 * (F.col("rank") / 4096), F.lit(0.0005)), F.lit(0.02))
     ).otherwise(0.0)
     base = models.withColumns({"parameters": params, "width": width}).withColumn("trainable", (F.col("parameters") * part).cast("long"))
-    return base.select(
+    budget = F.col("budget_gb").cast("double") if "budget_gb" in models.columns else F.lit(None).cast("double")
+    out = base.select(
         "model_id", "mode", "parameters", "trainable",
         F.when(F.col("adapter") == "qlora", (F.col("parameters") * 0.5).cast("long")).otherwise(F.col("parameters") * F.col("width")).alias("weight_bytes"),
         (F.col("trainable") * F.col("width")).alias("gradient_bytes"), (F.col("trainable") * 8).alias("optimizer_bytes"),
-        (F.col("length") * F.col("batch") * 4096 * F.col("width") * 4).cast("long").alias("activation_bytes"),
+        (F.col("length") * F.col("batch") * 4096 * F.col("width") * 4).cast("long").alias("activation_bytes"), budget.alias("budget_gb"),
     )
+    total = F.col("weight_bytes") + F.col("gradient_bytes") + F.col("optimizer_bytes") + F.col("activation_bytes")
+    return out.withColumn("total_bytes", total).withColumn("over_budget", F.coalesce(F.col("total_bytes") > F.col("budget_gb") * (1 << 30), F.lit(False)))
+
+
+def train_stats(steps: DataFrame, run: str) -> DataFrame:
+    """(run, steps, last_loss, mean_loss, token_loss, tokens, tokens_per_second) of the steps of each run.
+
+    ``steps`` has step, loss, tokens and seconds.  ``token_loss`` weighs each step by its tokens;
+    steps without a loss or tokens count for neither.
+    """
+    known = F.col("loss").isNotNull() & (F.col("tokens") > 0)
+    out = steps.groupBy(run).agg(
+        F.count("*").alias("steps"), F.max_by("loss", F.when(F.col("loss").isNotNull(), F.col("step"))).alias("last_loss"), F.avg("loss").alias("mean_loss"),
+        F.sum(F.when(known, F.col("loss") * F.col("tokens"))).alias("_w"), F.sum(F.when(known, F.col("tokens"))).alias("_n"), F.sum("tokens").alias("tokens"), F.sum("seconds").alias("_s"),
+    )
+    return out.withColumns({"token_loss": F.try_divide("_w", F.col("_n")), "tokens_per_second": F.try_divide("tokens", F.col("_s"))}).drop("_w", "_n", "_s")
 
 
 # --- parameter pairs, scores, labels ---------------------------------------------------------

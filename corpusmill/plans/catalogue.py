@@ -158,15 +158,28 @@ def q_eval_counts(spark, sf_dir):
 
 @query
 def q_eval_coverage(spark, sf_dir):
-    return K.missing_kinds(_examples(spark, sf_dir))
+    return K.coverage(_examples(spark, sf_dir))
 
 
 @query
 def q_contam_exact(spark, sf_dir):
-    """The examples here are copies of documents, so that equal texts exist."""
+    """The examples' texts stand among the documents, so that equal texts exist."""
+    ex = _examples(spark, sf_dir)
+    d = _cleaned(spark, sf_dir).select(F.concat(F.lit("doc:"), F.col("doc_id").cast("string")).alias("doc_id"), "clean_text")
+    return K.exact(d.unionByName(ex.select(F.concat(F.lit("item:"), "example_id").alias("doc_id"), F.col("text").alias("clean_text"))), ex)
+
+
+@query
+def q_contam_ordered(spark, sf_dir):
+    """The five first matches of each document in the order of a report."""
+    found = K.ordered(K.flags(_cleaned(spark, sf_dir), _examples(spark, sf_dir)), most=5)
+    return found.select("doc_id", "place", "example_id", "match_type", F.round("score", 6).alias("score"))
+
+
+@query
+def q_contam_totals(spark, sf_dir):
     d = _cleaned(spark, sf_dir)
-    ex = d.select(F.concat(F.lit("copy:"), F.col("doc_id")).alias("example_id"), F.col("clean_text").alias("text"), T.content_hash("clean_text").alias("hash"))
-    return d.select("doc_id", T.content_hash("clean_text").alias("hash")).join(ex.select("example_id", "hash"), "hash").select("doc_id", "example_id")
+    return K.totals(d, K.flags(d, _examples(spark, sf_dir)))
 
 
 @query
@@ -449,9 +462,12 @@ def q_recommend(spark, sf_dir):
 
 @query
 def q_train_stats(spark, sf_dir):
-    s = M.step_series(_metrics(spark, sf_dir).where("stage = 'train'"), RUN, "name")
-    g = s.groupBy(RUN, "name").agg(F.max_by("value", "step").alias("last"), F.avg("value").alias("mean"), F.count("*").alias("steps"))
-    return g.select(RUN, "name", F.round("last", 6).alias("last"), F.round("mean", 6).alias("mean"), "steps")
+    """Losses of the training steps; a step's tokens are its rate over two seconds, where the rate was recorded."""
+    s = M.step_series(_metrics(spark, sf_dir).where(F.col("stage") == "train"), RUN, "name").where(F.col("name").isin("train_loss", "tokens_per_second"))
+    value = lambda n: F.max(F.when(F.col("name") == n, F.col("value")))
+    steps = s.groupBy(RUN, F.floor(F.col("step") / 50).alias("step")).agg(value("train_loss").alias("loss"), F.floor(value("tokens_per_second") * 2).alias("tokens"))
+    x = M.train_stats(steps.withColumn("seconds", F.when(F.col("tokens").isNotNull(), 2.0)), RUN)
+    return x.select(RUN, "steps", "tokens", *(F.round(c, 6).alias(c) for c in ("last_loss", "mean_loss", "token_loss", "tokens_per_second")))
 
 
 def _run_table(spark, sf_dir):
@@ -499,8 +515,8 @@ def q_sweep_expand(spark, sf_dir):
 
 @query
 def q_memory_estimate(spark, sf_dir):
-    rows = [("Demo-0.6B", "adapter", "lora", False, 4, 8, 128, 1), ("Demo-4B", "adapter", "qlora", False, 7, 16, 1024, 2), ("demo-350M", "full_finetune_small", "none", True, 0, 0, 512, 4), ("unnamed", "partial_unfreeze", "none", False, 0, 0, 256, 1)]
-    return M.memory_estimate(spark.createDataFrame(rows, "model_id string, mode string, adapter string, fp32 boolean, targets int, rank int, length int, batch int"))
+    rows = [("Demo-0.6B", "adapter", "lora", False, 4, 8, 128, 1, None), ("Demo-4B", "adapter", "qlora", False, 7, 16, 1024, 2, 2.0), ("demo-350M", "full_finetune_small", "none", True, 0, 0, 512, 4, 5.0), ("unnamed", "partial_unfreeze", "none", False, 0, 0, 256, 1, 1.0)]
+    return M.memory_estimate(spark.createDataFrame(rows, "model_id string, mode string, adapter string, fp32 boolean, targets int, rank int, length int, batch int, budget_gb double"))
 
 
 # --- layers ----------------------------------------------------------------------------------

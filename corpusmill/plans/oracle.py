@@ -166,14 +166,20 @@ dg AS (SELECT doc_id, size, unnest(list_distinct({windows('w', 'size')})) AS gra
 hits AS (SELECT doc_id, example_id, size, count(*) AS hits, count(*) / any_value(total) AS score FROM dg JOIN index USING (size, gram) GROUP BY doc_id, example_id, size),
 same AS (SELECT doc_id, example_id FROM cleaned c JOIN examples e ON e.clean_text = c.clean_text),
 overlap AS (SELECT h.* FROM hits h ANTI JOIN same USING (doc_id, example_id) WHERE score >= 0.2),
-flags AS (SELECT doc_id, example_id FROM same UNION ALL SELECT doc_id, example_id FROM overlap)"""
+flags AS (SELECT doc_id, example_id, 'exact' AS match_type, 1.0::DOUBLE AS score FROM same UNION ALL SELECT doc_id, example_id, 'ngram', score FROM overlap)"""
 
 
 ORACLE |= {
     "q_eval_examples": f"WITH {_EX} SELECT example_id, task_id, kind, prompt, answer, sha256(text) AS raw_hash, sha256(clean_text) AS hash FROM examples",
     "q_eval_counts": f"WITH {_EX} SELECT task_id, kind, count(*) AS n, count(answer) AS with_answer FROM examples GROUP BY task_id, kind",
-    "q_eval_coverage": f"WITH {_EX} SELECT kind FROM (VALUES ('surface'), ('application'), ('recall')) t(kind) ANTI JOIN examples USING (kind)",
-    "q_contam_exact": f"WITH {CLEAN} SELECT a.doc_id, 'copy:' || b.doc_id AS example_id FROM cleaned a JOIN cleaned b USING (clean_text)",
+    "q_eval_coverage": f"WITH {_EX} SELECT kind, count(example_id) AS n, count(example_id) > 0 AS covered FROM (VALUES ('surface'), ('application'), ('recall'), ('general')) t(kind) LEFT JOIN examples USING (kind) GROUP BY kind",
+    "q_contam_exact": f"""WITH {CLEAN}, {_EX}, d AS (SELECT 'doc:' || doc_id AS doc_id, clean_text FROM cleaned UNION ALL SELECT 'item:' || example_id, clean_text FROM examples)
+SELECT d.doc_id, e.example_id FROM d JOIN examples e USING (clean_text)""",
+    "q_contam_ordered": f"""WITH {CLEAN}, {_EX}, {_overlap(13)} SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY match_type, score DESC, example_id) AS place, example_id, match_type, round(score, 6) AS score
+FROM flags QUALIFY place <= 5""",
+    "q_contam_totals": f"""WITH {CLEAN}, {_EX}, {_overlap(13)}, fn AS (SELECT doc_id, count(*) AS k FROM flags GROUP BY doc_id),
+byr AS (SELECT coalesce(source_role, 'unspecified') AS role, k FROM cleaned JOIN (SELECT doc_id, source_role FROM documents) USING (doc_id) LEFT JOIN fn USING (doc_id))
+SELECT CASE WHEN grouping(role) = 1 THEN '*' ELSE role END AS source_role, count(*) AS documents, count(k) AS flagged, coalesce(sum(k), 0)::BIGINT AS matches FROM byr GROUP BY ROLLUP (role)""",
     "q_contam_ngram": f"WITH {CLEAN}, {_EX}, {_overlap(13)} SELECT doc_id, example_id, size, hits, round(score, 6) AS score FROM overlap",
     "q_contam_short": f"WITH {CLEAN}, {_EX}, {_overlap(20)} SELECT doc_id, example_id, size, hits, round(score, 6) AS score FROM overlap",
     "q_contam_status": f"""WITH {CLEAN}, {_EX}, {_overlap(13)}, fn AS (SELECT doc_id, count(*) AS n FROM flags GROUP BY doc_id)
@@ -246,7 +252,7 @@ SELECT doc_id, round(coalesce(nll, 0.0), 6) AS nll, round(exp(coalesce(nll, 0.0)
     "q_overall_perplexity": f"""SELECT coalesce(sum(token_count), 0)::BIGINT AS token_count, round(sum(value * token_count) / sum(token_count), 6) AS nll,
 round(exp(sum(value * token_count) / sum(token_count)), 6) AS perplexity FROM eval_results WHERE metric_name = 'nll' AND {_FIN}""",
     "q_metric_means": f"SELECT suite, kind, metric_name, round(avg(value), 6) AS mean, count(*) AS n FROM eval_results WHERE {_FIN} GROUP BY ALL",
-    "q_benchmark_pivot": "SELECT " + ", ".join(f"round(avg(value) FILTER (WHERE kind = '{k}' AND metric_name = '{m}'), 6) AS {k}_{m}" for k, m in (("surface", "perplexity"), ("surface", "nll"), ("recall", "exact_match"), ("recall", "token_f1"), ("application", "exact_match"), ("application", "token_f1"))) + f" FROM eval_results WHERE {_FIN}",
+    "q_benchmark_pivot": "SELECT " + ", ".join(f"round(avg(value) FILTER (WHERE kind = '{k}' AND metric_name = '{m}'), 6) AS {k}_{m}" for k, m in (("surface", "perplexity"), ("surface", "nll"), ("recall", "exact_match"), ("recall", "token_f1"), ("application", "exact_match"), ("application", "token_f1"))) + f", round(avg(value) FILTER (WHERE suite = 'general' AND metric_name = 'perplexity'), 6) AS general_perplexity, count(DISTINCT example_id)::DOUBLE AS samples FROM eval_results WHERE {_FIN}",
     "q_exact_match": f"""SELECT id, CASE WHEN {_KEY("coalesce(answer, '')")} <> '' AND {_KEY("coalesce(answer, '')")} =
 {_KEY(f"'simple_statistical_baseline: ' || array_to_string(list_filter(string_split_regex(coalesce(prompt, ''), '{_WS}+'), lambda x: x <> '')[1:16], ' ')")} THEN 1.0::DOUBLE ELSE 0.0 END AS proxy,
 CASE WHEN {_KEY("coalesce(answer, '')")} <> '' THEN 1.0::DOUBLE ELSE 0.0 END AS own FROM domain_recall""",
@@ -307,7 +313,10 @@ best AS (SELECT config_hash, step, source, score FROM cand ANTI JOIN (SELECT con
   QUALIFY row_number() OVER (PARTITION BY config_hash ORDER BY score DESC, step) = 1)
 SELECT config_hash, CASE WHEN step IS NULL THEN 'no_safe_checkpoint' ELSE 'recommended' END AS status, step, source, round(score, 6) AS score
 FROM (SELECT DISTINCT config_hash FROM pt) LEFT JOIN best USING (config_hash)""",
-    "q_train_stats": f"WITH {_SERIES} SELECT config_hash, name, round(arg_max(value, step), 6) AS last, round(avg(value), 6) AS mean, count(*) AS steps FROM series WHERE stage = 'train' GROUP BY ALL",
+    "q_train_stats": f"""WITH {_SERIES}, t AS (SELECT config_hash, step // 50 AS step, max(value) FILTER (WHERE name = 'train_loss') AS loss, floor(max(value) FILTER (WHERE name = 'tokens_per_second') * 2)::BIGINT AS tokens
+  FROM series WHERE stage = 'train' AND name IN ('train_loss', 'tokens_per_second') GROUP BY ALL)
+SELECT config_hash, count(*) AS steps, sum(tokens)::BIGINT AS tokens, round(arg_max(loss, step) FILTER (WHERE loss IS NOT NULL), 6) AS last_loss, round(avg(loss), 6) AS mean_loss,
+round(sum(loss * tokens) FILTER (WHERE tokens > 0) / sum(tokens) FILTER (WHERE tokens > 0 AND loss IS NOT NULL), 6) AS token_loss, round(sum(tokens) / (2.0::DOUBLE * count(tokens)), 6) AS tokens_per_second FROM t GROUP BY config_hash""",
     "q_run_ranking": f"WITH {_RUNTAB} SELECT run, row_number() OVER (ORDER BY -domain DESC NULLS LAST, -general DESC NULLS LAST, tokens NULLS LAST, run) AS rank, round(-domain, 6) AS gain FROM runtab",
     "q_matched_budget": f"""WITH {_RUNTAB}, r AS (SELECT run, CASE WHEN ('0x' || run[1])::INT < 12 THEN 'a' ELSE 'b' END AS m, CASE WHEN ('0x' || run[2])::INT < 12 THEN 1024 END AS l, ceil(steps / 2000) AS ms,
   steps // 2000 AS sc, round(tokens / 200000) AS t, ('0x' || run[3])::INT % 2 AS b, CASE WHEN ('0x' || run[4])::INT < 8 THEN 'warn' END AS p, lr FROM runtab),
@@ -321,10 +330,16 @@ SELECT 'first' AS rule, round(coalesce((SELECT arg_min(floor, k) FROM f), 0), 6)
 UNION ALL SELECT 'first of none', 0 UNION ALL SELECT 'largest of none', NULL""",
     "q_sweep_expand": """WITH v AS (SELECT * FROM (VALUES (0, 2), (1, 4)) x(r, rank), (VALUES (0, 'Q_proj all', 'Q-proj-all'), (1, 'MLP/down', 'MLP-down')) y(a, targets, t), (VALUES (0, 0.001::DOUBLE, '0.001'), (1, 0.0005::DOUBLE, '0.0005')) z(l, lr, s))
 SELECT rank, targets, lr, 'rank=' || rank || '__targets=' || t || '__lr=' || s AS variant, row_number() OVER (ORDER BY r, a, l) AS ordinal FROM v""",
-    "q_memory_estimate": """SELECT * FROM (VALUES
-('Demo-0.6B', 'adapter', 600000000, 300000, 1200000000, 600000, 2400000, 4194304), ('Demo-4B', 'adapter', 4000000000, 6835937, 2000000000, 13671874, 54687496, 67108864),
-('demo-350M', 'full_finetune_small', 350000000, 350000000, 1400000000, 1400000000, 2800000000, 134217728), ('unnamed', 'partial_unfreeze', 600000000, 30000000, 1200000000, 60000000, 240000000, 8388608))
-t(model_id, mode, parameters, trainable, weight_bytes, gradient_bytes, optimizer_bytes, activation_bytes)""",
+    "q_memory_estimate": r"""WITH m AS (SELECT * FROM (VALUES ('Demo-0.6B', 'adapter', 'lora', 2, 4, 8, 128, 1, NULL), ('Demo-4B', 'adapter', 'qlora', 2, 7, 16, 1024, 2, 2.0::DOUBLE),
+  ('demo-350M', 'full_finetune_small', 'none', 4, 0, 0, 512, 4, 5.0), ('unnamed', 'partial_unfreeze', 'none', 2, 0, 0, 256, 1, 1.0)) t(model_id, mode, adapter, w, targets, rank, length, batch, budget_gb)),
+p AS (SELECT *, regexp_extract(model_id, '(\d+(?:\.\d+)?)\s*([bBmM])', 1) AS size, lower(regexp_extract(model_id, '(\d+(?:\.\d+)?)\s*([bBmM])', 2)) AS unit FROM m),
+q AS (SELECT *, CASE WHEN size = '' THEN 600000000 ELSE trunc(size::DOUBLE * CASE unit WHEN 'b' THEN 1e9 ELSE 1e6 END)::BIGINT END AS parameters,
+  CASE WHEN mode = 'full_finetune_small' THEN 1.0 WHEN mode = 'partial_unfreeze' THEN 0.05 WHEN adapter IN ('lora', 'qlora') THEN least(greatest(greatest(targets, 1) / 16 * (rank / 4096), 0.0005), 0.02) ELSE 0 END::DOUBLE AS part FROM p),
+r AS (SELECT *, trunc(parameters * part)::BIGINT AS trainable FROM q),
+b AS (SELECT model_id, mode, parameters, trainable, CASE WHEN adapter = 'qlora' THEN trunc(parameters * 0.5)::BIGINT ELSE parameters * w END AS weight_bytes, trainable * w AS gradient_bytes, trainable * 8 AS optimizer_bytes,
+  (length * batch * 4096 * w * 4)::BIGINT AS activation_bytes, budget_gb FROM r)
+SELECT *, weight_bytes + gradient_bytes + optimizer_bytes + activation_bytes AS total_bytes,
+  coalesce(weight_bytes + gradient_bytes + optimizer_bytes + activation_bytes > budget_gb * 1073741824, false) AS over_budget FROM b""",
     "q_layer_norms": f"WITH {_LAY} SELECT vec_id, round(norm, 6) AS norm FROM nm",
     "q_layer_summary": f"WITH {_LAY} SELECT count(*) AS rows, count(DISTINCT label) AS labels, round(max(movement), 6) AS max_movement, round(sum(movement), 4) AS sum_movement FROM lay",
     "q_layer_compare": f"""WITH {_LAY}, c AS (SELECT label, count(*) AS steps, CASE WHEN count(*) > 1 THEN arg_min(movement, step) ELSE 0 END AS first, arg_max(movement, step) AS last FROM stp GROUP BY label)

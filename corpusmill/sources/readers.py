@@ -55,10 +55,14 @@ def read_jsonl(spark: SparkSession, source: Source, files: list[str]) -> DataFra
     """One document a line that is not blank; broken JSON, a missing field or a blank text are errors.
 
     JSON null becomes the text "None", as text of any value does; the key falls back to the line
-    number, which counts blank lines.
+    number, which counts blank lines.  Lines are numbered within the blocks a file is read by, and
+    the lines of the blocks before are added, so a large file is read by many tasks.
     """
-    whole = spark.read.text(files, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.split("value", "\r\n|\n|\r", -1).alias("l"))
-    rows = whole.select("path", F.posexplode("l").alias("k", "line")).where(~T.is_blank("line"))
+    lines = spark.read.text(files).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.col("value").alias("line"), F.monotonically_increasing_id().alias("at"))
+    counts = lines.groupBy("path", "block").agg(F.count("*").alias("n"))
+    before = counts.select("path", "block", F.coalesce(F.sum("n").over(W.partitionBy("path").orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0).cast("long")).alias("before"))
+    inside = F.row_number().over(W.partitionBy("path", "block").orderBy("at")) - 1
+    rows = lines.withColumn("inside", inside).join(before, ["path", "block"]).select("path", (F.col("before") + F.col("inside")).alias("k"), "line").where(~T.is_blank("line"))
     rec = rows.withColumn("v", F.try_parse_json("line")).withColumn("m", F.from_json("line", "map<string,string>"))
     at = F.concat(F.col("path"), F.lit(":"), (F.col("k") + 1).cast("string"))
     has = F.map_contains_key(F.col("m"), F.lit(source.text_field))
@@ -93,7 +97,7 @@ def read_csv(spark: SparkSession, source: Source, files: list[str]) -> DataFrame
 
 def read_parquet(spark: SparkSession, source: Source, files: list[str]) -> DataFrame:
     df = spark.read.parquet(*files)
-    return _table_rows(source, df.withColumns({"_path": F.col("_metadata.file_path"), "_pos": F.col("_metadata.file_block_start") + F.monotonically_increasing_id()}))
+    return _table_rows(source, df.withColumns({"_path": F.col("_metadata.file_path"), "_pos": F.col("_metadata.row_index")}))
 
 
 def read_pages(pages: DataFrame, source: Source) -> DataFrame:
@@ -136,6 +140,44 @@ def inline_prompts(spark: SparkSession, prompts: list[str], task: str = "qualita
     return spark.createDataFrame([(f"{task}:prompt_{k:03d}", task, p) for k, p in enumerate(prompts)], "example_id string, task_id string, prompt string")
 
 
+# The fields of an evaluation record that hold its text, its prompt and its answer, in
+# order of preference.
+TEXT_FIELDS = ("text", "content", "passage", "question", "prompt")
+PROMPT_FIELDS = ("prompt", "question", "instruction", "input", "cloze", "context")
+ANSWER_FIELDS = ("answer", "expected", "target", "output", "reference", "completion")
+
+
+def eval_files(spark: SparkSession, task: str, kind: str, path: str) -> DataFrame:
+    """Evaluation examples of a folder of text, Markdown, JSONL and CSV files: example_id, task_id, kind, prompt, answer, text.
+
+    The text is the first text field that is not blank, else the filled prompt fields and the answer
+    by lines; prompt and answer are the first filled ones.  Records without any text are dropped.
+    """
+    source = Source(task, path)
+    by: dict = {}
+    for f in _files(spark, source):
+        by.setdefault(f.lower().rsplit(".", 1)[1], []).append(f)
+    out = spark.createDataFrame([], "key string, m map<string,string>")
+    plain = by.get("txt", []) + by.get("md", [])
+    if plain:
+        whole = spark.read.text(plain, wholetext=True).select(F.col("_metadata.file_path").alias("key"), F.create_map(F.lit("text"), F.regexp_replace("value", "\r\n?", "\n")).alias("m"))
+        out = out.unionByName(whole)
+    if by.get("jsonl"):
+        lines = spark.read.text(by["jsonl"]).where(~T.is_blank("value")).select(F.concat_ws("#", F.col("_metadata.file_path"), F.md5("value")).alias("key"), "value", F.from_json("value", "map<string,string>").alias("m"))
+        bad = F.raise_error(F.concat(F.lit("invalid JSON: "), F.substring("value", 1, 80))).cast("map<string,string>")
+        out = out.unionByName(lines.select("key", F.when(F.col("m").isNull() & ~T.is_blank("value"), bad).otherwise(F.col("m")).alias("m")))
+    if by.get("csv"):
+        rows = spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').csv(by["csv"])
+        names = rows.columns
+        m = F.map_filter(F.create_map(*(x for c in names for x in (F.lit(c), F.col(f"`{c}`")))), lambda k, v: v.isNotNull())
+        out = out.unionByName(rows.select(F.concat_ws("#", F.col("_metadata.file_path"), F.md5(F.to_json(m))).alias("key"), m.alias("m")))
+    first = lambda names: F.coalesce(*(F.when(~T.is_blank(F.coalesce(F.col("m")[n], F.lit(""))), F.col("m")[n]) for n in names))
+    filled = F.array_compact(F.array(*(F.when(~T.is_blank(F.coalesce(F.col("m")[n], F.lit(""))), F.col("m")[n]) for n in PROMPT_FIELDS), first(ANSWER_FIELDS)))
+    text = F.coalesce(first(TEXT_FIELDS[:3]), F.when(F.size(filled) > 0, F.array_join(filled, "\n")))
+    found = out.select(F.coalesce(F.col("m")["id"], F.col("key")).alias("key"), first(PROMPT_FIELDS).alias("prompt"), first(ANSWER_FIELDS).alias("answer"), text.alias("text"))
+    return found.where("text is not null").select(F.concat(F.lit(task + ":"), "key").alias("example_id"), F.lit(task).alias("task_id"), F.lit(kind).alias("kind"), "prompt", "answer", "text")
+
+
 def small_corpus(spark: SparkSession, path: str) -> DataFrame:
     """A tree of text files as rows (id, text): stripped, empty ones skipped, numbered by file before skipping."""
     files = [f for f in _files(spark, Source("small", path)) if f.lower().endswith((".txt", ".md"))]

@@ -47,6 +47,12 @@ def append_metrics(rows: DataFrame, path: str) -> None:
         rows.write.mode("append").partitionBy("stage").parquet(path)
 
 
+def append_events(rows: DataFrame, path: str) -> None:
+    """Events of artifacts to their append-only table; an empty batch writes nothing."""
+    if not rows.isEmpty():
+        rows.write.mode("append").partitionBy("event_type").parquet(path)
+
+
 def write_json(value, path: str) -> None:
     """A small driver file, written whole or not at all."""
     folder = os.path.dirname(os.path.abspath(path))

@@ -134,6 +134,28 @@ def test_alert_persistence(spark):
     assert steps([100.0, 105.0, 105.0]) == {2}
 
 
+def test_alerts_of_checkpoints_and_recommendation(spark):
+    rows = [("r", 1, M.STREAM, 0.5, 3.0, 0.0, 0.1), ("r", 2, M.CHECKPOINT, 0.5, 3.0, 0.0, 0.2), ("r", 3, M.STREAM, 0.5, 6.0, 0.0, 0.9), ("r", 4, M.CHECKPOINT, 0.5, 6.0, 1.0, 0.8), ("r", 5, M.STREAM, 0.5, 6.0, 0.0, 0.9),
+            ("s", 1, M.CHECKPOINT, 0.1, 9.0, 0.0, 0.3), ("t", 1, M.STREAM, 0.1, 0.0, 0.0, None), ("t", 2, M.STREAM, 0.1, 0.0, 0.0, -0.5)]
+    p = spark.createDataFrame(rows, "run string, step long, source string, domain_gain double, general_loss double, overfitting_score double, recommendation_score double")
+    p = p.withColumn("threshold", F.lit(2.0)).withColumn("stop_threshold", F.lit(5.0))
+    found = M.alerts(p, "run", 2)
+    got = {(r.run, r.step, r.code, r.persistence) for r in found.collect()}
+    # The checkpoint between two points of the stream neither adds to their count nor ends it.
+    assert got == {("r", 2, "forgetting_warning", 1), ("r", 3, "forgetting_warning", 2), ("r", 4, "forgetting_warning", 1), ("r", 5, "forgetting_warning", 3), ("r", 4, "forgetting_stop", 1), ("r", 5, "forgetting_stop", 2),
+                   ("r", 4, "domain_overfitting_warning", None), ("s", 1, "forgetting_warning", 1), ("s", 1, "forgetting_stop", 1)}
+    assert {(r.run, r.kind): r.step for r in M.earliest_alerts(found, "run").collect()} == {("r", "forgetting"): 2, ("r", "domain_overfitting"): 4, ("s", "forgetting"): 1}
+    best = {r.run: (r.status, r.step, r.score) for r in M.recommend(p, found, "run").collect()}
+    assert best == {"r": ("recommended", 2, 0.2), "s": ("no_safe_checkpoint", None, None), "t": ("recommended", 1, None)}
+
+
+def test_contamination_stage_fails_without_override(spark):
+    found = spark.createDataFrame([(1, "e", "exact", 1.0)], "doc_id long, example_id string, match_type string, score double")
+    K.enforce(found, "require_override", True), K.enforce(found, "remove"), K.enforce(found.limit(0), "require_override")
+    with pytest.raises(ValueError):
+        K.enforce(found, "require_override")
+
+
 def test_early_stop_and_ranking(spark):
     s = spark.createDataFrame([("r", 0, 1.0), ("r", 1, 1.2), ("r", 2, 1.0), ("r", 3, 1.2), ("r", 4, 1.3)], "run string, step long, value double")
     assert M.early_stop(s, "run", patience=2).first().stop_step == 4

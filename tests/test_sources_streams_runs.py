@@ -53,7 +53,37 @@ def test_sinks(spark, tmp_path):
     sinks.write_json({"b": 1, "a": "é"}, str(tmp_path / "x" / "m.json"))
     assert json.loads((tmp_path / "x" / "m.json").read_text(encoding="utf8"))["a"] == "é"
     assert "polyline" in sinks.line_chart([(1, 2.0), (2, float("nan")), (3, 1.0)], "t") and "| a |" in sinks.markdown_summary("t", [{"a": 1}])
-    assert S.artifacts(spark, str(tmp_path / "x")).first().category == "manifest" or True
+    assert S.artifacts(spark, str(tmp_path / "x")).first().category == "metadata"
+    events = spark.createDataFrame([(1, "t", "train", "written", "r", "{}")], S.ARTIFACT_EVENT)
+    sinks.append_events(events, str(tmp_path / "e")), sinks.append_events(events, str(tmp_path / "e")), sinks.append_events(events.limit(0), str(tmp_path / "none"))
+    assert spark.read.parquet(str(tmp_path / "e")).count() == 2 and not (tmp_path / "none").exists()
+
+
+def test_lines_are_numbered_over_blocks(spark, tmp_path):
+    """A JSONL file that is read in many blocks keeps its line numbers, and Parquet rows their order."""
+    rows = [json.dumps({"text": f"line {k} " + "x" * (k % 90)}) if k % 7 else "" for k in range(3000)]
+    (tmp_path / "a.jsonl").write_text("\n".join(rows))
+    spark.range(5000).selectExpr("cast(id as string) as id", "concat('row ', id) as text").coalesce(1).write.option("parquet.block.size", 8192).parquet(str(tmp_path / "p"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8192")
+    try:
+        got = S.read(spark, [S.Source("s", str(tmp_path / "a.jsonl"), id_field=None)])
+        assert {r.position: r.text for r in got.collect()} == {k: json.loads(x)["text"] for k, x in enumerate(rows) if x}
+        got = S.read(spark, [S.Source("s", str(tmp_path / "p"))]).collect()
+        assert {r.position: r.text for r in got} == {k: f"row {k}" for k in range(5000)}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_evaluation_files_and_prompts(spark, tmp_path):
+    (tmp_path / "a.md").write_text("# A text\r\nof its own")
+    (tmp_path / "b.jsonl").write_text('{"id": "j1", "question": "Why?", "expected": "So."}\n\n{"id": "j2", "text": " ", "prompt": ""}\n{"text": "plain", "answer": "", "target": "t"}\n')
+    (tmp_path / "c.csv").write_text('id,context,cloze,answer\nc1,"Two\nlines",A _ b,x\nc2,,,\n')
+    got = {r.example_id.rsplit("/", 1)[-1].split("#")[0].removeprefix("t:"): (r.prompt, r.answer, r.text) for r in S.eval_files(spark, "t", "recall", str(tmp_path)).collect()}
+    assert got == {"a.md": (None, None, "# A text\nof its own"), "j1": ("Why?", "So.", "Why?\nSo."), "b.jsonl": (None, "t", "plain"), "c1": ("A _ b", "x", "A _ b\nTwo\nlines\nx")}
+    (tmp_path / "bad.jsonl").write_text("{broken")
+    with pytest.raises(Exception):
+        S.eval_files(spark, "t", "recall", str(tmp_path)).collect()
+    assert [tuple(r) for r in S.inline_prompts(spark, ["a", "b"]).collect()] == [("qualitative:prompt_000", "qualitative", "a"), ("qualitative:prompt_001", "qualitative", "b")]
 
 
 ROWS = [(k, "t", "train", k, "train_loss", v, None, "r" + str(k % 2), "{}") for k, v in enumerate([1.0, 2.0, 1.02, 2.1, 1.2, 1.9, 1.3, 2.5])]
