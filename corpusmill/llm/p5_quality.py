@@ -42,7 +42,12 @@ BROKEN_SHARE = 0.08
 #: Words in a cell below which a line with several cells is a row of a table.
 CELL_WORDS = 2.5
 
+#: Share of common words below which a text is in none of the listed languages; of its words those
+#: that are short and come again, at least; letters of a sentence without spaces, at least.
+UNLISTED_SHARE, AGAIN_SHARE, SPACELESS_LETTERS = 0.05, 0.06, 6
+
 # The patterns see folded text.
+_SPACELESS = re.compile(r"[^。!?।]+[。!?।]")
 _MARK = re.compile(r"\s*(?:[-*•–—·>]+|\[[ x]?\]|\(?\d{1,3}[.)]|[a-z][.)])\s+")
 _LEADER = re.compile(r"\.{4,}|_{4,}|(?: \.){4,}")
 _CELLS = re.compile(r"\t+|\||\s{3,}")
@@ -51,6 +56,8 @@ _CODE = re.compile(r"\s*(?:def|class|return|import|from|if|for|while|elif|else|t
 _LOG = re.compile(r"\W*\d{4}-\d\d-\d\d[t ]\d\d:\d\d.*\b(?:info|debug|warn|trace|error)\b")
 _OTHER_BREAKS = "\r\v\f\x1c\x1d\x1e\x85\u2028\u2029"
 _BLANKS = " \n\t\r\v\f\x1c\x1d\x1e\x1f"
+# The marks that end sentences, in several scripts.
+_MARKS = (".", "!", "?", "…", "。", "।", "؟", "۔")
 _CLOSERS = " \t\r\f\v\xa0\"'”»“«)]"
 _CODE_SIGNS = re.compile(r"[(=;{}:#]|return")
 _SENTENCE = re.compile(r"(?<=[.!?…])[\"'”»“«)\]]*\s+")
@@ -58,7 +65,7 @@ _SENTENCE = re.compile(r"(?<=[.!?…])[\"'”»“«)\]]*\s+")
 
 def _ends(text: str) -> bool:
     """Whether the text ends in a sentence's mark, quotes and brackets aside."""
-    return text.rstrip(_CLOSERS)[-1:] in (".", "!", "?", "…")
+    return text.rstrip(_CLOSERS)[-1:] in _MARKS
 
 
 def _odd_line(line: str, n: int) -> bool:
@@ -82,6 +89,35 @@ def _prosy(w: list[str], common) -> bool:
     return c > 0 and c >= COMMON_SHARE * n and sum(map(str.isalpha, w)) >= 0.6 * n
 
 
+def _unlisted(w: list[str], lines: list[str], common) -> float | None:
+    """The share of prose of a text in a language of which no common words are listed; None if it may be in a listed one.
+
+    Prose of any language has ended sentences of some words, among them short ones that come again
+    and again; in scripts that leave no space between words, ended sentences of some letters.
+    """
+    if len(w) < SENTENCE_WORDS or sum(map(common.__contains__, w)) > UNLISTED_SHARE * len(w):
+        return None
+    letters = sum(map(len, w))
+    if letters > 12 * len(w):
+        ended = 0
+        for line in lines:
+            for s in _SPACELESS.findall(line):
+                size = sum(map(str.isalpha, s))
+                ended += size if size >= SPACELESS_LETTERS else 0
+        return ended / max(letters, 1)
+    counts = Counter(w)
+    again = sum(n for x, n in counts.items() if n > 1 and len(x) <= 4 and x.isalpha())
+    if again < AGAIN_SHARE * len(w) or len(counts) < 0.3 * len(w):
+        return 0.0
+    prose = 0
+    for s in _SENTENCE.split(" ".join(lines)):
+        x = flat(s).split()
+        short = sum(len(y) <= 3 for y in x)
+        if LINE_WORDS <= len(x) <= SENTENCE_MOST and _ends(s) and s.count(",") <= 0.25 * len(x) and 0.08 * len(x) <= short <= 0.7 * len(x) and sum(map(str.isalpha, x)) >= 0.8 * len(x):
+            prose += len(x)
+    return prose / len(w)
+
+
 def _prose_words(lines: list[str], found: list[list[str]], common) -> int:
     """Words in prose.
 
@@ -227,6 +263,8 @@ def measure(text: str | None, common, folded: str | None = None, spaced: str | N
         "number_share": sum(map(str.isdigit, w)) / size if every else None,
         "prose_share": 0.0 if record else min(1.0, _prose_words(lines, found, common) / size),
     }
+    if out["prose_share"] < PROSE_SHARE and not record and (share := _unlisted(w, lines, common)) is not None:
+        out["prose_share"] = max(out["prose_share"], min(1.0, share))
     left = (1 - REPEAT_SHARE) * letters
     if every or len(different) < n and sum(map(len, different)) - NGRAM * max(map(len, different)) <= left:
         for name, share in (

@@ -303,3 +303,15 @@ def test_copies_of_records_meet_plain_words(spark):
     assert pairs(p1_copies.repeated(d)) == {(1, 2), (1, 3), (1, 4), (1, 5), (8, 9), (8, 10)}
     got = {r.doc_id: (r.first_id, r.copies) for r in p1_copies.copies(d, rows=2, size=20, first_bytes=1).collect()}
     assert got == {**{k: (1, 5) for k in range(1, 6)}, 6: (6, 1), 7: (7, 1), **{k: (8, 3) for k in (8, 9, 10)}}
+
+
+def test_prose_of_languages_without_listed_words():
+    prose = [
+        "Pompa przy północnej ścianie zatrzymała się w nocy i nikt nie zapisał, dlaczego odpływ w hali był zamknięty. Rano stróż podwórza znalazł długie pęknięcie nad drugim zaworem. "
+        "Do południa dwaj ludzie szli do zbiornika i na koniec otworzyli go ręcznie.",
+        "Насос у северной стены остановился ночью, и никто не записал, почему сток в зале был закрыт. Утром сторож двора нашёл длинную трещину над вторым клапаном. До полудня двое шли к баку и в конце открыли его руками.",
+        "北墙的水泵在夜里停了，没有人写下为什么大厅的排水管被关上。早上，院子的看守人在第二个阀门上面发现了一条长裂缝。两个人花了很长时间才走到水箱旁边，用手把它打开。",
+    ]
+    lists = ["kxq vbnm wrtz plk qwx. " * 5, "насос, клапан, бак, стена, сток, зал, труба, кран, " * 3, "pompa, zawór, zbiornik, rura, kran, ściana, hala, odpływ.", "水泵\n阀门\n水箱\n排水管\n大厅\n院子"]
+    judge = lambda t: p5_quality.is_prose(p5_quality.measure(t, COMMON))
+    assert [judge(t) for t in prose] == [True] * 3 and [judge(t) for t in lists] == [False] * 4
