@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as T
-from ..session import keep
+from ..session import join_hot, keep
 
 PRIME = 2147483647
 PERMS, BANDS = 64, 16
@@ -91,42 +91,54 @@ def candidate_pairs(signed: DataFrame, threshold: float, perms: int = PERMS) ->
 def decide(docs: DataFrame, near: bool = True, threshold: float = 0.85, perms: int = PERMS, shingle: int = 5) -> DataFrame:
     """(doc_id, status, match_id): kept, or exact_duplicate, normalized_duplicate or near_duplicate of a retained document.
 
-    In each round a bucket's members meet only its least undecided one.  A document that is least in
-    all its buckets is kept; those it matches go.  A hot bucket costs its members once a round, and
-    no bucket is expanded into pairs.  Ties of similarity go to the smallest id.
+    Texts of one normalized form are decided by their first.  In each round a bucket's members meet
+    only its least undecided one.  A document that is least in all its buckets is kept; those it
+    matches go.  A hot bucket costs its members once a round; only removed members are compared with
+    the retained ones of their bucket.  Ties of similarity go to the smallest id.
     """
-    signed = signatures(docs, shingle, perms)
-    signed = keep(signed if near else signed.withColumn("sig", F.lit(None).cast("array<bigint>")))
-    same = signed.select("doc_id", F.xxhash64(F.lit("same"), "norm_hash").alias("key"))
-    keyed = keep(same.unionByName(buckets(signed.where("sig is not null"), perms)) if near else same)
-    by = lambda name, *cols: signed.select(F.col("doc_id").alias(name), *(F.col(c).alias(f"{c}_{name}") for c in cols))
-    open_, kept, gone = keyed, None, None
-    while True:
-        least = open_.groupBy("key").agg(F.min("doc_id").alias("a"))
-        led = keep(open_.join(least, "key").select("doc_id", "a").distinct())
-        now = led.groupBy("doc_id").agg(F.min("a").alias("a")).where("a = doc_id").select("doc_id")
-        pairs = led.where("a < doc_id").withColumnRenamed("doc_id", "b").join(now.withColumnRenamed("doc_id", "a"), "a", "left_semi")
-        met = pairs.join(by("a", "norm_hash", "sig"), "a").join(by("b", "norm_hash", "sig"), "b")
-        hit = F.col("norm_hash_a") == F.col("norm_hash_b")
-        if near:
-            hit = hit | F.coalesce(similarity(F.col("sig_a"), F.col("sig_b"), perms) >= threshold, F.lit(False))
-        out = keep(met.where(hit).select(F.col("b").alias("doc_id")).distinct())
-        now = keep(now)
-        kept = now if kept is None else kept.unionByName(now)
-        gone = out if gone is None else gone.unionByName(out)
-        open_ = keep(open_.join(now, "doc_id", "left_anti").join(out, "doc_id", "left_anti"))
-        if open_.isEmpty():
-            break
+    every = signatures(docs, shingle, perms)
+    every = keep(every if near else every.withColumn("sig", F.lit(None).cast("array<bigint>")))
+    # Texts of one normalized form have one signature, so the first of them is decided for all.
+    classes = keep(every.groupBy("norm_hash").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("members")))
+    signed = keep(every.join(classes.select("doc_id"), "doc_id", "left_semi").select("doc_id", "sig"))
+    by = lambda name: signed.select(F.col("doc_id").alias(name), F.col("sig").alias(f"sig_{name}"))
+    close = F.coalesce(similarity(F.col("sig_a"), F.col("sig_b"), perms), F.lit(0.0))
+    lone = signed.select("doc_id")
+    kept, gone, keyed = None, None, None
+    if near:
+        keyed = buckets(signed.where("sig is not null"), perms)
+        shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+        # A key of one document compares nothing.
+        keyed = keep(keyed.join(shared.select("key"), "key", "left_semi"))
+        lone = lone.join(keyed.select("doc_id").distinct(), "doc_id", "left_anti")
+        open_ = keyed
+        while not open_.isEmpty():
+            least = open_.groupBy("key").agg(F.min("doc_id").alias("a"))
+            led = keep(open_.join(least, "key").select("doc_id", "a").distinct())
+            now = keep(led.groupBy("doc_id").agg(F.min("a").alias("a")).where("a = doc_id").select("doc_id"))
+            pairs = led.where("a < doc_id").withColumnRenamed("doc_id", "b").join(now.withColumnRenamed("doc_id", "a"), "a", "left_semi")
+            out = keep(pairs.join(by("a"), "a").join(by("b"), "b").where(close >= threshold).select(F.col("b").alias("doc_id")).distinct())
+            kept = now if kept is None else kept.unionByName(now)
+            gone = out if gone is None else gone.unionByName(out)
+            open_ = keep(open_.join(now.unionByName(out), "doc_id", "left_anti"))
+    kept = keep(lone if kept is None else lone.unionByName(kept))
     # Matches of the removed: with the retained members of their buckets only.
-    stay = keyed.join(kept, "doc_id", "left_semi").withColumnRenamed("doc_id", "a")
-    pairs = keyed.join(gone, "doc_id", "left_semi").withColumnRenamed("doc_id", "b").join(stay, "key").where("a < b").select("a", "b").distinct()
-    met = pairs.join(by("a", "norm_hash", "text_hash", "sig"), "a").join(by("b", "norm_hash", "text_hash", "sig"), "b")
-    sim = similarity(F.col("sig_a"), F.col("sig_b"), perms) if near else F.lit(None).cast("double")
-    status = F.when(F.col("text_hash_a") == F.col("text_hash_b"), "exact_duplicate").when(F.col("norm_hash_a") == F.col("norm_hash_b"), "normalized_duplicate").when(sim >= threshold, "near_duplicate")
-    rank = F.when(status == "exact_duplicate", 3.0).when(status == "normalized_duplicate", 2.0).otherwise(sim)
-    best = met.select("b", "a", status.alias("status"), rank.alias("rank")).where("status is not null").groupBy("b").agg(F.max_by(F.struct("status", "a"), F.struct("rank", -F.col("a"))).alias("m"))
-    removed = best.select(F.col("b").alias("doc_id"), F.col("m.status").alias("status"), F.col("m.a").alias("match_id"))
-    return kept.select("doc_id", F.lit("kept").alias("status"), F.lit(None).cast("long").alias("match_id")).unionByName(removed)
+    none = signed.select(F.col("doc_id").alias("b"), F.lit(None).cast("long").alias("a"), F.lit(None).cast("double").alias("sim")).limit(0)
+    matched = none
+    if gone is not None:
+        stay = keyed.join(kept, "doc_id", "left_semi").withColumnRenamed("doc_id", "a")
+        pairs = keyed.join(gone, "doc_id", "left_semi").withColumnRenamed("doc_id", "b").join(stay, "key").where("a < b").select("a", "b").distinct()
+        met = pairs.join(by("a"), "a").join(by("b"), "b").withColumn("sim", close).where(F.col("sim") >= threshold)
+        matched = met.groupBy("b").agg(F.max_by(F.struct("a", "sim"), F.struct("sim", -F.col("a"))).alias("m")).select("b", "m.a", "m.sim")
+    decided = kept.select("doc_id", F.lit(None).cast("long").alias("match")).unionByName(matched.select(F.col("b").alias("doc_id"), F.col("a").alias("match")))
+    decided = decided.join(classes, "doc_id").join(every.select("doc_id", F.col("text_hash").alias("first_text")), "doc_id")
+    decided = decided.select("norm_hash", F.col("doc_id").alias("first"), "match", "first_text", F.col("members").alias("weight"))
+    met = join_hot(every.select("doc_id", "norm_hash", "text_hash"), decided, "norm_hash", "weight")
+    return met.select(
+        "doc_id",
+        F.when(F.col("match").isNotNull(), "near_duplicate").when(F.col("doc_id") == F.col("first"), "kept").when(F.col("text_hash") == F.col("first_text"), "exact_duplicate").otherwise("normalized_duplicate").alias("status"),
+        F.when(F.col("match").isNotNull(), F.col("match")).when(F.col("doc_id") != F.col("first"), F.col("first")).alias("match_id"),
+    )
 
 
 def report(decisions: DataFrame) -> DataFrame:

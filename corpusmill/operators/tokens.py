@@ -5,16 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 EOS, PAD, IGNORE = 1, 0, -100
-#: Ordered prefix sums run in so many parts of the order, then over the parts' sums.
-PARTS = 64
+#: Ordered prefix sums run in so many parts of the order, then over the parts' sums: more with more
+#: rows, at most so many as a list of cut points may have.
+PARTS, PART_ROWS, MOST_PARTS = 64, 1 << 18, 4096
 
 
-def prefix_sum(df: DataFrame, value: str, order: str, out: str, parts: int = PARTS) -> DataFrame:
+def prefix_sum(df: DataFrame, value: str, order: str, out: str, parts: int | None = None) -> DataFrame:
     """``df`` with ``out``: the sum of ``value`` over all rows before in ``order`` (unique, numeric).
 
     Two levels, so no task holds all rows: ranges of the order are summed, the few sums are added up,
     and each range adds up its own rows.
     """
+    if parts is None:
+        parts = min(MOST_PARTS, max(PARTS, df.count() // PART_ROWS))
     cuts = df.select(F.percentile_approx(order, [k / parts for k in range(1, parts)], 10_000)).first()[0] or []
     cuts = F.array(*(F.lit(c) for c in sorted(set(cuts)))) if cuts else None
     # The number of cut points at or below a row's position.
@@ -90,7 +93,8 @@ def pack(runs: DataFrame, length: int, drop_remainder: bool = False, order: str
     Tokens are never exploded: a run gives each block it meets one slice.
     """
     total = runs.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    placed = prefix_sum(runs, "n", order, "start")
+    # Only lengths are ordered and summed; the tokens meet their start afterwards.
+    placed = runs.join(prefix_sum(runs.select(order, "n"), "n", order, "start").select(order, "start"), order)
     first, last = F.floor(F.col("start") / length), F.floor((F.col("start") + F.col("n") - 1) / length)
     spans = placed.select("doc_id", "source_role", "source_group", "token_ids", "start", "n", F.explode(F.sequence(first, last)).alias("block"))
     begin = F.greatest(F.col("block") * length, F.col("start"))

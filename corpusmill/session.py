@@ -7,7 +7,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def session(name: str = "corpusmill", **conf: str) -> SparkSession:
@@ -33,6 +33,8 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     where = spark.conf.get("spark.checkpoint.dir", None) or sc._jsc.sc().getCheckpointDir().getOrElse(None)
     if not where:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="corpusmill-"))
         where = sc._jsc.sc().getCheckpointDir().get()
     return str(where)
@@ -47,6 +49,19 @@ def keep(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def join_hot(left: DataFrame, right: DataFrame, key: str, weight: str, hot_rows: int = 2000, spread: int = 4096) -> DataFrame:
+    """Inner join with ``right``, which has one row a key and, in ``weight``, the rows of ``left`` that carry it.
+
+    Rows of a hot key are dealt over several tasks by their hash, and its row of ``right`` goes to
+    each; a key beyond the ``spread`` most frequent has at most rows / ``spread`` rows.
+    """
+    hot = right.where(F.col(weight) > hot_rows).select(key, F.least(F.ceil(F.col(weight) / hot_rows), F.lit(spread)).cast("int").alias("_deal"))
+    hot = F.broadcast(hot.orderBy(F.desc("_deal"), key).limit(spread))
+    dealt = left.join(hot, key, "left").withColumn("_at", F.coalesce(F.pmod(F.xxhash64(*left.columns), F.col("_deal")).cast("int"), F.lit(0)))
+    given = right.drop(weight).join(hot, key, "left").withColumn("_at", F.explode(F.sequence(F.lit(0), F.coalesce("_deal", F.lit(1)) - 1)))
+    return dealt.drop("_deal").join(given.drop("_deal"), [key, "_at"]).drop("_at")
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
