@@ -1,41 +1,34 @@
 """Problem 3: groups of edited versions of a text.
 
-Every text gets many universal hash minima over its word shingles.  Bands of minima are the keys of
-candidate buckets; candidates are verified by their signatures, then by the exact similarity of
-their shingle sets; groups are the connected components under alternating large-star and small-star.
+All texts put the shingles in one order, in which those that are frequent in a sample come last.  Of
+two sets that have a share of ``threshold`` of their union in common, the first shingles in this
+order, as many as could miss the rest, must meet (prefix filter): they are the keys of candidate
+buckets, and no pair can be missed, whatever the order.  Candidates are verified by bitmaps that
+bound the difference of two sets from below, then by the exact similarity of their shingle sets;
+groups are the connected components under alternating large-star and small-star.
 
 No bucket is ever expanded into all its pairs.  First each member meets only the bucket's least
 member.  Only where a bucket still holds several components are members of different components
-compared, as blocks of signatures of bounded size, and only pairs whose signatures agree go on.
+compared, as blocks of bitmaps of bounded size, and only pairs whose bitmaps allow it go on.
 So every pair that shares a bucket ends in one component or has been compared.
 """
 
 from __future__ import annotations
 
-import functools
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import Durable, arrow_map, join_unique, words
+from .common import Durable, arrow_map, bounded_sample, join_unique, words
 
 SHINGLE = 5
 LEAST_WORDS = 40
-BANDS = 56
-ROWS = 3
-#: Standard errors of the signature's estimate that a candidate may fall short of the threshold.
-SLACK = 4.0
+#: Texts of the sample that tells frequent shingles, and the most of these that are kept.
+SAMPLE_TEXTS = 8000
+FREQUENT = 1 << 15
+#: Bits of a bitmap.
+BITS = 1024
 BLOCK = 512
-#: Bytes of bucket keys that may be sent to every task; above, the keys meet by shuffle.
-BROADCAST_BYTES = 32 << 20
-
-
-@functools.lru_cache(4)
-def _family(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Odd multipliers and offsets of n linear hash functions modulo 2^32."""
-    rng = np.random.Generator(np.random.PCG64(20240229))
-    return rng.integers(0, 1 << 31, n, np.uint32) * np.uint32(2) + np.uint32(1), rng.integers(0, 1 << 32, n, np.uint32)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -74,57 +67,117 @@ def shingles(text: str | None, size: int = SHINGLE, least: int = LEAST_WORDS, sp
     return np.unique(out)
 
 
-def minima(s: np.ndarray, n: int) -> np.ndarray:
-    """The least value of each of n hash functions over the set, 32 bits.
+def frequent(docs: DataFrame, size: int, least: int, split=words) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles that several texts of a bounded sample share, sorted, and their ranks by frequency."""
 
-    The functions permute the upper halves of the mixed hashes; half words are twice as fast.
+    def each(batch):
+        sets = [s for t in batch.column(0).to_pylist() if (s := shingles(t, size, least, split)) is not None]
+        return {"h": pa.array(np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64))}
+
+    sample = bounded_sample(docs, "doc_id", SAMPLE_TEXTS).select("text")
+    counts = arrow_map(sample, each, "h long").groupBy("h").agg(F.count("*").alias("c")).where("c > 1")
+    top = counts.orderBy(F.desc("c"), "h").limit(FREQUENT).select("h").collect()
+    h = np.array([r.h for r in top], np.int64).view(np.uint64)
+    order = np.argsort(h)
+    return h[order], len(h) - order
+
+
+def prefix(s: np.ndarray, threshold: float, known: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The first shingles of a sorted set, so many that a similar set has one of them among its own."""
+    n = len(s) - int(np.ceil(threshold * len(s) - 1e-9)) + 1
+    h, rank = known
+    if not len(h):
+        return s[:n]
+    at = np.minimum(np.searchsorted(h, s), len(h) - 1)
+    hot = h[at] == s
+    rare = s[~hot]
+    if len(rare) >= n:
+        return rare[:n]
+    return np.concatenate([rare, s[hot][np.argsort(rank[at[hot]])][: n - len(rare)]])
+
+
+def buckets(docs: DataFrame, threshold: float, size: int, least: int, split=words) -> DataFrame:
+    """(key, doc_id, weight, a) of the texts that share a key of their prefixes; ``a`` is the least of the ``weight`` ids.
+
+    The keys of a batch are cut by their first twelve bits, and each part is one row.
     """
-    a, b = _family(n)
-    x = (s >> np.uint64(32)).astype(np.uint32)
-    out = np.full(n, 0xFFFFFFFF, np.uint32)
-    for at in range(0, len(x), 2048):  # a long text needs no more memory than a short one
-        t = np.multiply.outer(x[at : at + 2048], a)
-        t += b
-        np.minimum(out, t.min(axis=0), out=out)
-    return out
-
-
-def signatures(docs: DataFrame, bands: int, rows: int, size: int, least: int, split=words) -> DataFrame:
-    """(doc_id, sig, keys): a byte of each minimum, and a 64-bit key of each band."""
+    known = frequent(docs, size, least, split)
+
+    def cut(batches):
+        for batch in batches:
+            ids, sets = [], []
+            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                s = shingles(text, size, least, split)
+                if s is not None:
+                    ids.append(i), sets.append(prefix(s, threshold, known))
+            if not ids:
+                continue
+            key, owner = np.concatenate(sets), np.repeat(np.array(ids, np.int64), [len(s) for s in sets])
+            order = np.argsort(key)
+            key, owner = key[order], owner[order]
+            base = int(owner.min())
+            if int(owner.max()) - base < 1 << 32:
+                owner = (owner - base).astype(np.uint32)
+            part = (key >> np.uint64(52)).astype(np.int32)
+            ends = np.flatnonzero(np.diff(part, append=-1)) + 1
+            at = list(zip([0, *ends[:-1].tolist()], ends.tolist()))
+            rows = [pa.array(part[ends - 1]), pa.array([base] * len(at), pa.int64()), pa.array([key[x:y].tobytes() for x, y in at], pa.binary()), pa.array([owner[x:y].tobytes() for x, y in at], pa.binary())]
+            yield pa.RecordBatch.from_arrays(rows, ["part", "base", "keys", "owners"])
+
+    def met(keys, owners):
+        key, owner = np.concatenate(keys), np.concatenate(owners)
+        order = np.lexsort((owner, key))
+        key, owner = key[order], owner[order]
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        n = np.diff(first, append=len(key))
+        weight, least_id = np.repeat(n, n), np.repeat(owner[first], n)
+        keep = weight > 1
+        return pa.RecordBatch.from_arrays([pa.array(key[keep].view(np.int64)), pa.array(owner[keep]), pa.array(weight[keep].astype(np.int64)), pa.array(least_id[keep])], ["key", "doc_id", "weight", "a"])
+
+    def gather(batches):
+        now, keys, owners = None, [], []
+        for batch in batches:
+            for part, base, key, owner in zip(*(c.to_pylist() for c in batch.columns)):
+                if part != now and keys:
+                    yield met(keys, owners)
+                    keys, owners = [], []
+                now = part
+                keys.append(np.frombuffer(key, np.uint64))
+                owners.append(np.frombuffer(owner, np.int64 if len(owner) == len(key) else np.uint32).astype(np.int64) + (0 if len(owner) == len(key) else base))
+        if keys:
+            yield met(keys, owners)
+
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    got = docs.select("doc_id", "text").where("doc_id is not null").mapInArrow(cut, "part int, base long, keys binary, owners binary")
+    return got.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(gather, "key long, doc_id long, weight long, a long")
+
+
+def bitmaps(docs: DataFrame, size: int, least: int, split=words) -> DataFrame:
+    """(doc_id, sig): four bytes of the size of the set, then a bitmap of its members."""
 
     def each(batch):
-        ids, sig, keys = [], [], []
-        salt = np.arange(1, bands + 1, dtype=np.uint64)
+        ids, sig = [], []
         for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             s = shingles(text, size, least, split)
-            if s is None:
-                continue
-            m = minima(s, bands * rows)
-            with np.errstate(over="ignore"):
-                key = salt
-                for k in range(rows):
-                    key = _mix(key * np.uint64(0x9E3779B97F4A7C15) + m[k::rows].astype(np.uint64))
-            ids.append(i), sig.append((m >> np.uint32(24) ^ m).astype(np.uint8).tobytes()), keys.append(key)
-        flat = np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)
-        ends = np.arange(0, len(flat) + 1, bands, dtype=np.int32)
-        return {"doc_id": ids, "sig": sig, "keys": pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))}
+            if s is not None:
+                bits = np.zeros(BITS, bool)
+                bits[(s % np.uint64(BITS)).astype(np.int64)] = True
+                ids.append(i), sig.append(len(s).to_bytes(4, "little") + np.packbits(bits).tobytes())
+        return {"doc_id": ids, "sig": sig}
 
-    return arrow_map(docs.select("doc_id", "text").where("doc_id is not null"), each, "doc_id long, sig binary, keys array<bigint>")
+    return arrow_map(docs.select("doc_id", "text"), each, "doc_id long, sig binary")
 
 
-def _least_agreement(threshold: float, n: int) -> float:
-    """Agreeing bytes a pair at the threshold has, less the slack; unrelated bytes agree 1 in 256 times."""
-    p = threshold + (1 - threshold) / 256
-    return n * p - SLACK * (n * p * (1 - p)) ** 0.5
+def _laid(column) -> np.ndarray:
+    """A column of bitmaps as rows of 32-bit words, the first of which is the size."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(len(column), 1 + BITS // 32)
 
 
-def _agree(a, b) -> np.ndarray:
-    """Agreeing bytes of two columns of signatures, row by row."""
-    n = len(a)
-    if not n:
-        return np.zeros(0, int)
-    x, y = (np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(n, -1) for c in (a, b))
-    return (x == y).sum(axis=1)
+def _possible(x: np.ndarray, y: np.ndarray, threshold: float) -> np.ndarray:
+    """Whether sets of such sizes and bitmaps can be similar: each bit that differs is a member of one of them alone."""
+    n, m = x[..., 0].astype(np.float64), y[..., 0].astype(np.float64)
+    differ = np.bitwise_count(x[..., 1:] ^ y[..., 1:]).sum(axis=-1, dtype=np.int64)
+    return (np.minimum(n, m) >= threshold * np.maximum(n, m) - 1e-6) & (differ * (1 + threshold) <= (1 - threshold) * (n + m) + 1e-6)
 
 
 # --- components ------------------------------------------------------------------------------
@@ -172,9 +225,8 @@ def _stars(edges: DataFrame) -> bool:
 # --- candidates ------------------------------------------------------------------------------
 
 
-def _verify(pairs: DataFrame, sigs: DataFrame, docs: DataFrame, threshold: float, n: int, size: int, least: int, work: Durable, name: str, split=words) -> DataFrame:
-    """Of distinct pairs (a, b), those whose shingle sets are similar enough; signatures first."""
-    floor = _least_agreement(threshold, n)
+def _verify(pairs: DataFrame, sigs: DataFrame, docs: DataFrame, threshold: float, size: int, least: int, work: Durable, name: str, split=words) -> DataFrame:
+    """Of distinct pairs (a, b), those whose shingle sets are similar enough; bitmaps first."""
     pairs = work.keep(pairs, f"{name}-pairs")
     by_a = sigs.select(F.col("doc_id").alias("a"), F.col("sig").alias("sa"))
     by_b = sigs.select(F.col("doc_id").alias("b"), F.col("sig").alias("sb"))
@@ -183,7 +235,7 @@ def _verify(pairs: DataFrame, sigs: DataFrame, docs: DataFrame, threshold: float
     both = join_unique(join_unique(pairs, by_a.join(count_a, "a"), "a", "weight"), by_b.join(count_b, "b"), "b", "weight")
 
     def likely(batch):
-        keep = pa.array(_agree(batch.column(2), batch.column(3)) >= floor)
+        keep = pa.array(_possible(_laid(batch.column(2)), _laid(batch.column(3)), threshold))
         return {"a": batch.column(0).filter(keep), "b": batch.column(1).filter(keep)}
 
     near = work.keep(arrow_map(both.select("a", "b", "sa", "sb"), likely, "a long, b long"), f"{name}-near")
@@ -219,13 +271,12 @@ def _verify(pairs: DataFrame, sigs: DataFrame, docs: DataFrame, threshold: float
     return links
 
 
-def _across(members: DataFrame, sigs: DataFrame, roots: DataFrame, threshold: float, n: int, block: int) -> DataFrame:
-    """Pairs (a, b) of one bucket and different components whose signatures agree.
+def _across(members: DataFrame, sigs: DataFrame, roots: DataFrame, threshold: float, block: int) -> DataFrame:
+    """Pairs (a, b) of one bucket and different components that can be similar by their bitmaps.
 
     A bucket's members are cut into blocks; a task compares two blocks, so it holds at most
-    2 * block signatures whatever the bucket's size.
+    2 * block bitmaps whatever the bucket's size.
     """
-    floor = _least_agreement(threshold, n)
     known = members.join(roots.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
     open_keys = (
         known.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("weight"))
@@ -244,45 +295,34 @@ def _across(members: DataFrame, sigs: DataFrame, roots: DataFrame, threshold: fl
         own = table.column("own").to_numpy()
         i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
         ids, root = table.column("doc_id").to_numpy(), table.column("root").to_numpy()
-        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(len(ids), -1)
+        sig = _laid(table.column("sig"))
         first, second = np.flatnonzero(own == i), np.flatnonzero(own == j)
         a, b = [], []
         for x in first:
             y = second[(root[second] != root[x]) & ((ids[second] > ids[x]) if i == j else True)]
-            y = y[(sig[y] == sig[x]).sum(axis=1) >= floor] if len(y) else y
+            y = y[_possible(sig[y], sig[x], threshold)] if len(y) else y
             a.append(np.minimum(ids[y], ids[x])), b.append(np.maximum(ids[y], ids[x]))
         return pa.table({"a": np.concatenate(a) if a else np.zeros(0, np.int64), "b": np.concatenate(b) if b else np.zeros(0, np.int64)})
 
     return spread.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long").distinct()
 
 
-def groups(docs: DataFrame, threshold: float = 0.8, bands: int = BANDS, rows: int = ROWS, size: int = SHINGLE, least: int = LEAST_WORDS, block: int = BLOCK, work: Durable | None = None, split=words) -> DataFrame:
+def groups(docs: DataFrame, threshold: float = 0.8, size: int = SHINGLE, least: int = LEAST_WORDS, block: int = BLOCK, work: Durable | None = None, split=words) -> DataFrame:
     """(id, root) of every document that is in a group of at least two; root is the least doc_id.
 
     Input columns doc_id (unique) and text; others are ignored.  Texts that are null, empty or
-    under ``least`` words take no part.  ``bands`` and ``rows`` must suit the threshold: a pair of
-    similarity s shares a bucket with probability 1 - (1 - s^rows)^bands.  ``split`` gives the words
-    of a text; of a text that is folded words already, ``str.split`` does.
+    under ``least`` words take no part.  No pair of the threshold, which is above 0, is left out.
+    ``split`` gives the words of a text; of a text that is folded words already, ``str.split`` does.
     """
     work = work or Durable(docs.sparkSession)
-    n = bands * rows
-    made = work.keep(signatures(docs, bands, rows, size, least, split), "sigs")
-    keyed = made.select("doc_id", F.explode("keys").alias("key"))
-    buckets = work.keep(keyed.groupBy("key").agg(F.count("*").alias("weight"), F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("weight > 1"), "buckets")
-    larger = buckets.where("weight > 2").select("key", "weight", "a")
-    held = larger.agg(F.count("*")).first()[0]
-    # The keys with three members or more: sent to the rows while they are few, else by shuffle.
-    if held * 32 <= BROADCAST_BYTES:
-        met = keyed.join(F.broadcast(larger), "key")
-    else:
-        met = join_unique(keyed, larger.withColumn("w", F.col("weight")), "key", "w")
-    members = work.keep(met, "members")
-    stars = buckets.where("weight = 2").select("a", "b").unionByName(members.where("doc_id <> a").select("a", F.col("doc_id").alias("b"))).distinct()
-    links = _verify(stars, made, docs, threshold, n, size, least, work, "star", split)
+    members = work.keep(buckets(docs, threshold, size, least, split), "members")
+    made = work.keep(bitmaps(docs.join(members.select("doc_id").distinct(), "doc_id", "left_semi"), size, least, split), "sigs")
+    stars = members.where("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct()
+    links = _verify(stars, made, docs, threshold, size, least, work, "star", split)
     first = components(links, work, "first")
-    more = _verify(_across(members.select("key", "doc_id"), made, first, threshold, n, block), made, docs, threshold, n, size, least, work, "cross", split)
+    more = _verify(_across(members.where("weight > 2").select("key", "doc_id"), made, first, threshold, block), made, docs, threshold, size, least, work, "cross", split)
     every = first.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(more)
     out = components(every, work, "all")
-    for part in ("sigs", "buckets", "members"):
+    for part in ("sigs", "members"):
         work.drop(part)
     return out
