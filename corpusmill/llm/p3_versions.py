@@ -1,16 +1,19 @@
 """Problem 3: groups of edited versions of a text.
 
-All texts put the shingles in one order, in which those that are frequent in a sample come last.  Of
-two sets that have a share of ``threshold`` of their union in common, the first shingles in this
+All texts put the shingles in one order, the rarest first by a table of counts that all texts fill.
+Of two sets that have a share of ``threshold`` of their union in common, the first shingles in this
 order, as many as could miss the rest, must meet (prefix filter): they are the keys of candidate
-buckets, and no pair can be missed, whatever the order.  Candidates are verified by bitmaps that
-bound the difference of two sets from below, then by the exact similarity of their shingle sets;
-groups are the connected components under alternating large-star and small-star.
-
-No bucket is ever expanded into all its pairs.  First each member meets only the bucket's least
-member.  Only where a bucket still holds several components are members of different components
-compared, as blocks of bitmaps of bounded size, and only pairs whose bitmaps allow it go on.
-So every pair that shares a bucket ends in one component or has been compared.
+buckets.  The first shingle that two sets share has all others behind it in both, so there the
+shorter rest bounds what they share (positional filter).  No pair can be missed, whatever the order.
+Candidates are verified by bitmaps that bound the difference of two sets from below, then by the
+exact similarity of their shingle sets; groups are the connected components under alternating
+large-star and small-star.
+
+Only buckets of at most ``SMALL`` members are expanded into their pairs.  In a larger one, first each
+member meets only the bucket's least member.  Only where it still holds several components are
+members of different components compared, as blocks of bitmaps of bounded size, and only pairs whose
+bitmaps and rests allow it go on.  So every pair that shares a bucket and can be similar by its rests
+ends in one component or has been compared.
 """
 
 from __future__ import annotations
@@ -19,13 +22,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import Durable, arrow_map, bounded_sample, join_unique, words
+from .common import Durable, arrow_map, join_unique, words
 
 SHINGLE = 5
 LEAST_WORDS = 40
-#: Texts of the sample that tells frequent shingles, and the most of these that are kept.
-SAMPLE_TEXTS = 8000
-FREQUENT = 1 << 15
+#: Cells of the table that tells frequent shingles (0: none is told), and cells of a row of it.
+FREQUENT = 1 << 24
+SLICE = 1 << 16
+#: Members of a bucket that is expanded into its pairs, and ids that are sent to every task, at most.
+SMALL, SENT = 32, 1 << 20
 #: Bits of a bitmap.
 BITS = 1024
 BLOCK = 512
@@ -67,105 +72,162 @@ def shingles(text: str | None, size: int = SHINGLE, least: int = LEAST_WORDS, sp
     return np.unique(out)
 
 
-def frequent(docs: DataFrame, size: int, least: int, split=words) -> tuple[np.ndarray, np.ndarray]:
-    """The shingles that several texts of a bounded sample share, sorted, and their ranks by frequency."""
+def _levels(counts: np.ndarray) -> np.ndarray:
+    """Counts in one byte, in their order: exact under 16, then by twelfths of a power of two."""
+    high = 16 + 12 * np.log2(np.maximum(counts, 16) / 16)
+    return np.where(counts < 16, counts, np.minimum(high, 255)).astype(np.uint8)
 
-    def each(batch):
-        sets = [s for t in batch.column(0).to_pylist() if (s := shingles(t, size, least, split)) is not None]
-        return {"h": pa.array(np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64))}
 
-    sample = bounded_sample(docs, "doc_id", SAMPLE_TEXTS).select("text")
-    counts = arrow_map(sample, each, "h long").groupBy("h").agg(F.count("*").alias("c")).where("c > 1")
-    top = counts.orderBy(F.desc("c"), "h").limit(FREQUENT).select("h").collect()
-    h = np.array([r.h for r in top], np.int64).view(np.uint64)
-    order = np.argsort(h)
-    return h[order], len(h) - order
+def frequent(docs: DataFrame, size: int, least: int, split=words) -> np.ndarray:
+    """In how many texts shingles are, as levels in cells by the first bits of the shingle; none where ``FREQUENT`` is 0.
 
+    A cell holds all shingles that begin as it does, so a count can be too high and never too low.
+    """
+    if not FREQUENT:
+        return np.zeros(0, np.uint8)
+    bits = FREQUENT.bit_length() - 1
+
+    def each(batches):
+        held = np.zeros(1 << bits, np.uint16)
+        for batch in batches:
+            sets = [s for t in batch.column(0).to_pylist() if (s := shingles(t, size, least, split)) is not None]
+            if sets:
+                cell, c = np.unique((np.concatenate(sets) >> np.uint64(64 - bits)).astype(np.int64), return_counts=True)
+                held[cell] = np.minimum(held[cell] + c, 65535)
+        for at in range(0, len(held), SLICE):
+            if held[at : at + SLICE].any():
+                yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([pa.compress(held[at : at + SLICE].tobytes(), "zstd", asbytes=True)], pa.binary())], ["at", "held"])
+
+    def add(batches):
+        sums = {}
+        for batch in batches:
+            for at, held in zip(*(c.to_pylist() for c in batch.columns)):
+                sums[at] = sums.get(at, 0) + np.frombuffer(pa.decompress(held, 2 * SLICE, "zstd", asbytes=True), np.uint16).astype(np.int64)
+        for at, total in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([_levels(total).tobytes()], pa.binary())], ["at", "held"])
+
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = docs.select("text").mapInArrow(each, "at long, held binary").repartition(parts, "at").mapInArrow(add, "at long, held binary")
+    out = np.zeros(1 << bits, np.uint8)
+    for r in rows.collect():  # a byte a cell, whatever the data
+        out[r.at : r.at + SLICE] = np.frombuffer(r.held, np.uint8)
+    return out
+
+
+def prefix(s: np.ndarray, threshold: float, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first shingles of a sorted set, so many that a similar set has one of them among its own, and their rests.
 
-def prefix(s: np.ndarray, threshold: float, known: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """The first shingles of a sorted set, so many that a similar set has one of them among its own."""
+    A rest is the number of shingles from this one to the last.  Shingles of no other text are left out.
+    """
     n = len(s) - int(np.ceil(threshold * len(s) - 1e-9)) + 1
-    h, rank = known
-    if not len(h):
-        return s[:n]
-    at = np.minimum(np.searchsorted(h, s), len(h) - 1)
-    hot = h[at] == s
-    rare = s[~hot]
-    if len(rare) >= n:
-        return rare[:n]
-    return np.concatenate([rare, s[hot][np.argsort(rank[at[hot]])][: n - len(rare)]])
+    if not len(known):
+        return s[:n], len(s) - np.arange(n)
+    level = known[(s >> np.uint64(65 - len(known).bit_length())).astype(np.int64)]
+    order = np.argsort(level, kind="stable")[:n]
+    at = np.flatnonzero(level[order] > 1)
+    return s[order[at]], len(s) - at
+
+
+def _signature(s: np.ndarray) -> bytes:
+    """Four bytes of the size of the set, then a bitmap of its members."""
+    bits = np.zeros(BITS, bool)
+    bits[(s % np.uint64(BITS)).astype(np.int64)] = True
+    return len(s).to_bytes(4, "little") + np.packbits(bits).tobytes()
 
 
-def buckets(docs: DataFrame, threshold: float, size: int, least: int, split=words) -> DataFrame:
-    """(key, doc_id, weight, a) of the texts that share a key of their prefixes; ``a`` is the least of the ``weight`` ids.
+def _reach(n: np.ndarray, m: np.ndarray, rest: np.ndarray, threshold: float) -> np.ndarray:
+    """Whether sets of ``n`` and ``m`` shingles can be similar that share at most ``rest`` of them."""
+    return rest * (1 + threshold) >= threshold * (n + m) - 1e-6
 
-    The keys of a batch are cut by their first twelve bits, and each part is one row.
+
+def buckets(docs: DataFrame, threshold: float, size: int, least: int, split=words, small: int = SMALL) -> DataFrame:
+    """(key, a, b, rest, sig) with three kinds of rows, told by what is null.
+
+    (a, sig): a text and its bitmap.  (a, b): a pair of a bucket that can be similar by its rests, of
+    one over ``small`` members only the pairs with the least.  (key, a, rest): a member of such a bucket.
+    The keys of a batch are 44 bits of a shingle and cut by the first twelve; each part is one row.
+    Sizes and rests are at most 65,535, which for longer sets leaves in more pairs and none out.
     """
-    known = frequent(docs, size, least, split)
+    known = docs.sparkSession.sparkContext.broadcast(frequent(docs, size, least, split))
+    names = ["key", "a", "b", "rest", "sig"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+
+    def rows(n, **columns):
+        return pa.RecordBatch.from_arrays([pa.array(columns[c], k) if c in columns else pa.nulls(n, k) for c, k in zip(names, kinds)], names)
 
     def cut(batches):
         for batch in batches:
-            ids, sets = [], []
+            ids, lengths, keys, rests, signs = [], [], [], [], []
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 s = shingles(text, size, least, split)
                 if s is not None:
-                    ids.append(i), sets.append(prefix(s, threshold, known))
+                    first, rest = prefix(s, threshold, known.value)
+                    ids.append(i), lengths.append((len(s), len(first))), keys.append(first), rests.append(rest), signs.append(_signature(s))
             if not ids:
                 continue
-            key, owner = np.concatenate(sets), np.repeat(np.array(ids, np.int64), [len(s) for s in sets])
-            order = np.argsort(key)
-            key, owner = key[order], owner[order]
-            base = int(owner.min())
-            if int(owner.max()) - base < 1 << 32:
-                owner = (owner - base).astype(np.uint32)
+            ids, lengths, key = np.array(ids, np.int64), np.array(lengths), np.concatenate(keys)
+            order, base = np.argsort(key), int(ids.min())
+            wide = int(ids.max()) - base >= 1 << 32
+            owner = (ids if wide else (ids - base).astype(np.uint32)).repeat(lengths[:, 1])[order]
+            n, rest = (np.minimum(x, 65535).astype(np.uint16)[order] for x in (lengths[:, 0].repeat(lengths[:, 1]), np.concatenate(rests)))
+            key = key[order]
             part = (key >> np.uint64(52)).astype(np.int32)
             ends = np.flatnonzero(np.diff(part, append=-1)) + 1
             at = list(zip([0, *ends[:-1].tolist()], ends.tolist()))
-            rows = [pa.array(part[ends - 1]), pa.array([base] * len(at), pa.int64()), pa.array([key[x:y].tobytes() for x, y in at], pa.binary()), pa.array([owner[x:y].tobytes() for x, y in at], pa.binary())]
-            yield pa.RecordBatch.from_arrays(rows, ["part", "base", "keys", "owners"])
-
-    def met(keys, owners):
-        key, owner = np.concatenate(keys), np.concatenate(owners)
+            low = (key >> np.uint64(20)).astype(np.uint32)
+            cells = [pa.array([x[i:j].tobytes() for i, j in at], pa.binary()) for x in (low, owner, n, rest)]
+            yield pa.RecordBatch.from_arrays([pa.array(part[ends - 1]), pa.array([base] * len(at), pa.int64()), *cells], ["part", "base", "keys", "owners", "sizes", "rests"])
+            sign = [pa.array([x], pa.binary()) for x in (b"".join(signs), ids.tobytes(), b"", b"")]
+            yield pa.RecordBatch.from_arrays([pa.array([-1 - base % 4096], pa.int32()), pa.array([0], pa.int64()), *sign], ["part", "base", "keys", "owners", "sizes", "rests"])
+
+    def met(held):
+        key, owner, n, rest = (np.concatenate(x) for x in zip(*held))
         order = np.lexsort((owner, key))
-        key, owner = key[order], owner[order]
+        key, owner, n, rest = (x[order] for x in (key, owner, n, rest))
         first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        n = np.diff(first, append=len(key))
-        weight, least_id = np.repeat(n, n), np.repeat(owner[first], n)
-        keep = weight > 1
-        return pa.RecordBatch.from_arrays([pa.array(key[keep].view(np.int64)), pa.array(owner[keep]), pa.array(weight[keep].astype(np.int64)), pa.array(least_id[keep])], ["key", "doc_id", "weight", "a"])
+        weight = np.diff(first, append=len(key))
+        head, weight = np.repeat(first, weight), np.repeat(weight, weight)
+        large = np.flatnonzero(weight > small)
+        if len(large):
+            yield rows(len(large), key=key[large], a=owner[large], rest=rest[large].astype(np.int32))
+        near = [(head[large], large)]
+        few = np.flatnonzero((weight > 1) & (weight <= small))
+        for step in range(1, small):
+            x, y = few[:-step], few[step:]
+            same = key[x] == key[y]
+            if not same.any():
+                break
+            near.append((x[same], y[same]))
+        x, y = (np.concatenate(c) for c in zip(*near))
+        keep = _reach(n[x], n[y], np.minimum(rest[x], rest[y]), threshold) & (owner[x] != owner[y])
+        a, b = owner[x[keep]], owner[y[keep]]
+        order = np.lexsort((b, a))
+        a, b = a[order], b[order]
+        new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])[: len(a)]
+        yield rows(int(new.sum()), a=a[new], b=b[new])
 
     def gather(batches):
-        now, keys, owners = None, [], []
+        now, count, held = None, 0, []
         for batch in batches:
-            for part, base, key, owner in zip(*(c.to_pylist() for c in batch.columns)):
-                if part != now and keys:
-                    yield met(keys, owners)
-                    keys, owners = [], []
+            for part, base, key, owner, n, rest in zip(*(c.to_pylist() for c in batch.columns)):
+                if part < 0:
+                    ids, step = np.frombuffer(owner, np.int64), 4 + BITS // 8
+                    yield rows(len(ids), a=ids, sig=[key[k : k + step] for k in range(0, len(key), step)])
+                    continue
+                if part != now and count > 1 << 18:  # several parts at once, as one may be small
+                    yield from met(held)
+                    count, held = 0, []
                 now = part
-                keys.append(np.frombuffer(key, np.uint64))
-                owners.append(np.frombuffer(owner, np.int64 if len(owner) == len(key) else np.uint32).astype(np.int64) + (0 if len(owner) == len(key) else base))
-        if keys:
-            yield met(keys, owners)
+                key = np.frombuffer(key, np.uint32).astype(np.int64) | (part << 32)
+                owner = np.frombuffer(owner, np.int64 if len(owner) == 8 * len(key) else np.uint32).astype(np.int64) + base * (len(owner) == 4 * len(key))
+                held.append((key, owner, np.frombuffer(n, np.uint16).astype(np.int64), np.frombuffer(rest, np.uint16).astype(np.int64)))
+                count += len(key)
+        if held:
+            yield from met(held)
 
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    got = docs.select("doc_id", "text").where("doc_id is not null").mapInArrow(cut, "part int, base long, keys binary, owners binary")
-    return got.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(gather, "key long, doc_id long, weight long, a long")
-
-
-def bitmaps(docs: DataFrame, size: int, least: int, split=words) -> DataFrame:
-    """(doc_id, sig): four bytes of the size of the set, then a bitmap of its members."""
-
-    def each(batch):
-        ids, sig = [], []
-        for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            s = shingles(text, size, least, split)
-            if s is not None:
-                bits = np.zeros(BITS, bool)
-                bits[(s % np.uint64(BITS)).astype(np.int64)] = True
-                ids.append(i), sig.append(len(s).to_bytes(4, "little") + np.packbits(bits).tobytes())
-        return {"doc_id": ids, "sig": sig}
-
-    return arrow_map(docs.select("doc_id", "text"), each, "doc_id long, sig binary")
+    got = docs.select("doc_id", "text").where("doc_id is not null").mapInArrow(cut, "part int, base long, keys binary, owners binary, sizes binary, rests binary")
+    return got.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(gather, "key long, a long, b long, rest int, sig binary")
 
 
 def _laid(column) -> np.ndarray:
@@ -240,6 +302,8 @@ def _verify(pairs: DataFrame, sigs: DataFrame, docs: DataFrame, threshold: float
 
     near = work.keep(arrow_map(both.select("a", "b", "sa", "sb"), likely, "a long, b long"), f"{name}-near")
     wanted = near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    if wanted.count() <= SENT:  # else the texts of all are shuffled for the sake of these
+        wanted = F.broadcast(wanted)
 
     def sets(batch):
         ids, out = [], []
@@ -272,7 +336,7 @@ def _verify(pairs: DataFrame, sigs: DataFrame, docs: DataFrame, threshold: float
 
 
 def _across(members: DataFrame, sigs: DataFrame, roots: DataFrame, threshold: float, block: int) -> DataFrame:
-    """Pairs (a, b) of one bucket and different components that can be similar by their bitmaps.
+    """Pairs (a, b) of one bucket and different components that can be similar by their bitmaps and rests.
 
     A bucket's members are cut into blocks; a task compares two blocks, so it holds at most
     2 * block bitmaps whatever the bucket's size.
@@ -288,18 +352,19 @@ def _across(members: DataFrame, sigs: DataFrame, roots: DataFrame, threshold: fl
     left = left.withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     # Block pairs (own, other): a member takes part in each pair of blocks that includes its own.
     spread = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc_id", "root", "sig"
+        "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc_id", "root", "rest", "sig"
     )
 
     def compare(table: pa.Table) -> pa.Table:
         own = table.column("own").to_numpy()
         i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-        ids, root = table.column("doc_id").to_numpy(), table.column("root").to_numpy()
+        ids, root, rest = (table.column(c).to_numpy() for c in ("doc_id", "root", "rest"))
         sig = _laid(table.column("sig"))
         first, second = np.flatnonzero(own == i), np.flatnonzero(own == j)
         a, b = [], []
         for x in first:
             y = second[(root[second] != root[x]) & ((ids[second] > ids[x]) if i == j else True)]
+            y = y[_reach(np.minimum(sig[y, 0], 65535.0), min(sig[x, 0], 65535.0), np.minimum(rest[y], rest[x]), threshold)]
             y = y[_possible(sig[y], sig[x], threshold)] if len(y) else y
             a.append(np.minimum(ids[y], ids[x])), b.append(np.maximum(ids[y], ids[x]))
         return pa.table({"a": np.concatenate(a) if a else np.zeros(0, np.int64), "b": np.concatenate(b) if b else np.zeros(0, np.int64)})
@@ -315,14 +380,13 @@ def groups(docs: DataFrame, threshold: float = 0.8, size: int = SHINGLE, least:
     ``split`` gives the words of a text; of a text that is folded words already, ``str.split`` does.
     """
     work = work or Durable(docs.sparkSession)
-    members = work.keep(buckets(docs, threshold, size, least, split), "members")
-    made = work.keep(bitmaps(docs.join(members.select("doc_id").distinct(), "doc_id", "left_semi"), size, least, split), "sigs")
-    stars = members.where("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct()
-    links = _verify(stars, made, docs, threshold, size, least, work, "star", split)
-    first = components(links, work, "first")
-    more = _verify(_across(members.where("weight > 2").select("key", "doc_id"), made, first, threshold, block), made, docs, threshold, size, least, work, "cross", split)
-    every = first.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(more)
-    out = components(every, work, "all")
-    for part in ("sigs", "members"):
-        work.drop(part)
+    met = work.keep(buckets(docs, threshold, size, least, split, min(SMALL, block)), "members")
+    made = met.where("sig is not null").select(F.col("a").alias("doc_id"), "sig")
+    links = _verify(met.where("b is not null").select("a", "b").distinct(), made, docs, threshold, size, least, work, "star", split)
+    out = components(links, work, "first")
+    members = met.where("key is not null").select("key", F.col("a").alias("doc_id"), "rest")
+    if not members.isEmpty():
+        more = _verify(_across(members, made, out, threshold, block), made, docs, threshold, size, least, work, "cross", split)
+        out = components(out.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(more), work, "all")
+    work.drop("members")
     return out

@@ -129,6 +129,27 @@ def test_versions_leave_out_no_pair_of_the_threshold(spark, monkeypatch, known):
     assert {(2 * k + 1, 2 * k + 2) for k in range(len(ks))} <= got
 
 
+def test_versions_compare_no_texts_that_share_a_passage_only(spark, monkeypatch):
+    """The disk of p3_found: texts of one rare passage met in its buckets and went on as pairs; those of similar rests still do."""
+    texts = []
+    for k in range(40):
+        quote = [f"q{k % 4}x{j}" for j in range(20)]
+        texts.append(" ".join(quote + [f"own{k}y{j}" for j in range(60 + k)]))
+    texts += [texts[7] + " and one word more", texts[7] + " and other words again"]
+    seen, verify = [], p3_versions._verify
+
+    def counted(pairs, *rest):
+        seen.append(pairs.count())
+        return verify(pairs, *rest)
+
+    monkeypatch.setattr(p3_versions, "_verify", counted)
+    # As in a corpus far larger than the sample that told frequent shingles before.
+    monkeypatch.setattr(p3_versions, "SAMPLE_TEXTS", 4, raising=False)
+    got = {(r.root, r.id) for r in p3_versions.groups(table(spark, texts), threshold=0.5).collect()}
+    assert got == brute_groups(list(enumerate(texts, 1)), 0.5) == {(8, 41), (8, 42)}
+    assert sum(seen) == 3
+
+
 def test_versions_blocks_link_components_of_one_bucket(spark):
     """Chains inside large buckets: blocks of two force the second search."""
     words_ = [f"w{k}" for k in range(600)]
