@@ -18,8 +18,11 @@ ends in one component or has been compared.
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from .common import Durable, arrow_map, join_unique, words
@@ -31,6 +34,8 @@ FREQUENT = 1 << 24
 SLICE = 1 << 16
 #: Members of a bucket that is expanded into its pairs, and ids that are sent to every task, at most.
 SMALL, SENT = 32, 1 << 20
+#: Bits of a shingle, above which a set in order has its level; bytes of text and words that are hashed at once.
+HASH, PART, CHUNK = 56, 1 << 22, 1 << 15
 #: Bits of a bitmap.
 BITS = 1024
 BLOCK = 512
@@ -58,18 +63,63 @@ class _WordHash(dict):
 _HASH = _WordHash()
 
 
-def shingles(text: str | None, size: int = SHINGLE, least: int = LEAST_WORDS, split=words) -> np.ndarray | None:
-    """Sorted 64-bit hashes of the set of runs of ``size`` words; None under ``least`` words."""
-    w = split(text) if text else []
-    if len(w) < max(least, 1):
-        return None
-    h = np.fromiter(map(_HASH.__getitem__, w), np.uint64, len(w))
-    n = max(1, len(w) - size + 1)
-    out = np.zeros(n, np.uint64)
-    with np.errstate(over="ignore"):
-        for k in range(min(size, len(w))):
-            out = _mix(out + h[k : k + n] + np.uint64(k + 1))
-    return np.unique(out)
+def _word_hashes(texts: pa.Array, split) -> tuple[np.ndarray, np.ndarray]:
+    """How many words each text has, and the hashes of all words; a hash is made once for each different word."""
+    if split is None:
+        each = pc.split_pattern(texts, " ")
+        counts, flat = pc.list_value_length(each).to_numpy().astype(np.int64), each.flatten()
+    else:
+        each = [split(t) for t in texts.to_pylist()]
+        counts, flat = np.array([len(w) for w in each]), pa.array(list(chain.from_iterable(each)), pa.large_string())
+    coded = flat.dictionary_encode()
+    known = np.fromiter(map(_HASH.__getitem__, coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
+    return counts, known[coded.indices.to_numpy()]
+
+
+def _runs(h: np.ndarray, size: int) -> np.ndarray:
+    """The hash of the run of ``size`` words that begins at each word; the last runs, which are cut short, mean nothing."""
+    out = np.empty_like(h)
+    for lo in range(0, len(h), CHUNK):
+        run = h[lo : lo + CHUNK].copy()
+        for k in range(1, size):
+            run *= np.uint64(0x9E3779B97F4A7C15)
+            more = h[lo + k : lo + k + CHUNK]
+            run[: len(more)] += more
+        out[lo : lo + CHUNK] = _mix(run) >> np.uint64(64 - HASH)
+    return out
+
+
+def shingles(texts: pa.Array, size: int = SHINGLE, least: int = LEAST_WORDS, split=words, known: np.ndarray = np.zeros(0, np.uint8)):
+    """(places, sizes, members) of the sets of runs of ``size`` words, of some texts of a column at a time.
+
+    The places are those of texts of ``least`` words and more, the members of their sets stand one set
+    after the other, each in order.  A member is the hash, and above it its level by ``known``, if any.
+    """
+    length = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    places = np.flatnonzero(length)
+    for at in np.split(places, np.flatnonzero(np.diff(np.cumsum(length[places]) // PART)) + 1):
+        counts, h = _word_hashes(texts.take(pa.array(at)), split)
+        long = counts >= max(least, 1)
+        at, begin, counts = at[long], (np.cumsum(counts) - counts)[long], counts[long]
+        if not len(at):
+            continue
+        run = _runs(h, size)
+        for b, n in zip(begin[counts < size].tolist(), counts[counts < size].tolist()):
+            run[b] = _runs(h[b : b + n], n)[0]
+        n = np.maximum(counts - size + 1, 1)
+        ends = np.cumsum(n)
+        members = run[np.arange(ends[-1]) + (begin - ends + n).repeat(n)]
+        if len(known):
+            members |= known[_cell(members, len(known))].astype(np.uint64) << np.uint64(HASH)
+        for i, j in zip((ends - n).tolist(), ends.tolist()):
+            members[i:j].sort()
+        new = np.concatenate([[True], members[1:] != members[:-1]])
+        new[ends[:-1]] = True
+        yield at, np.add.reduceat(new, ends - n, dtype=np.int64), members[new]
+
+
+def _cell(s: np.ndarray, cells: int) -> np.ndarray:
+    return (s >> np.uint64(HASH + 1 - cells.bit_length())).astype(np.int64)
 
 
 def _levels(counts: np.ndarray) -> np.ndarray:
@@ -88,12 +138,11 @@ def frequent(docs: DataFrame, size: int, least: int, split=words) -> np.ndarray:
     bits = FREQUENT.bit_length() - 1
 
     def each(batches):
-        held = np.zeros(1 << bits, np.uint16)
+        held = np.zeros(1 << bits, np.uint32)
         for batch in batches:
-            sets = [s for t in batch.column(0).to_pylist() if (s := shingles(t, size, least, split)) is not None]
-            if sets:
-                cell, c = np.unique((np.concatenate(sets) >> np.uint64(64 - bits)).astype(np.int64), return_counts=True)
-                held[cell] = np.minimum(held[cell] + c, 65535)
+            for _, _, members in shingles(batch.column(0), size, least, split):
+                np.add.at(held, _cell(members, len(held)), np.uint32(1))
+        held = np.minimum(held, 65535).astype(np.uint16)
         for at in range(0, len(held), SLICE):
             if held[at : at + SLICE].any():
                 yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([pa.compress(held[at : at + SLICE].tobytes(), "zstd", asbytes=True)], pa.binary())], ["at", "held"])
@@ -114,25 +163,26 @@ def frequent(docs: DataFrame, size: int, least: int, split=words) -> np.ndarray:
     return out
 
 
-def prefix(s: np.ndarray, threshold: float, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The first shingles of a sorted set, so many that a similar set has one of them among its own, and their rests.
+def prefix(sizes: np.ndarray, members: np.ndarray, threshold: float, known: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(set, shingle, rest) of the first members of sets in order, so many that a similar set has one of them among its own.
 
     A rest is the number of shingles from this one to the last.  Shingles of no other text are left out.
     """
-    n = len(s) - int(np.ceil(threshold * len(s) - 1e-9)) + 1
-    if not len(known):
-        return s[:n], len(s) - np.arange(n)
-    level = known[(s >> np.uint64(65 - len(known).bit_length())).astype(np.int64)]
-    order = np.argsort(level, kind="stable")[:n]
-    at = np.flatnonzero(level[order] > 1)
-    return s[order[at]], len(s) - at
+    n = np.minimum(sizes - np.ceil(threshold * sizes - 1e-9).astype(np.int64) + 1, sizes)
+    whose = np.arange(len(sizes)).repeat(n)
+    at = np.arange(len(whose)) - (np.cumsum(n) - n)[whose]
+    first = members[(np.cumsum(sizes) - sizes)[whose] + at]
+    if known:
+        told = np.flatnonzero(first >> np.uint64(HASH) > 1)
+        whose, at, first = whose[told], at[told], first[told]
+    return whose, first & np.uint64((1 << HASH) - 1), sizes[whose] - at
 
 
-def _signature(s: np.ndarray) -> bytes:
-    """Four bytes of the size of the set, then a bitmap of its members."""
-    bits = np.zeros(BITS, bool)
-    bits[(s % np.uint64(BITS)).astype(np.int64)] = True
-    return len(s).to_bytes(4, "little") + np.packbits(bits).tobytes()
+def _signatures(sizes: np.ndarray, members: np.ndarray) -> np.ndarray:
+    """A row of bytes for each set: four of its size, then a bitmap of its members."""
+    bits = np.zeros((len(sizes), BITS), bool)
+    bits[np.arange(len(sizes)).repeat(sizes), (members % np.uint64(BITS)).astype(np.int64)] = True
+    return np.concatenate([sizes.astype("<u4").view(np.uint8).reshape(-1, 4), np.packbits(bits, axis=1)], axis=1)
 
 
 def _reach(n: np.ndarray, m: np.ndarray, rest: np.ndarray, threshold: float) -> np.ndarray:
@@ -157,27 +207,24 @@ def buckets(docs: DataFrame, threshold: float, size: int, least: int, split=word
 
     def cut(batches):
         for batch in batches:
-            ids, lengths, keys, rests, signs = [], [], [], [], []
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                s = shingles(text, size, least, split)
-                if s is not None:
-                    first, rest = prefix(s, threshold, known.value)
-                    ids.append(i), lengths.append((len(s), len(first))), keys.append(first), rests.append(rest), signs.append(_signature(s))
-            if not ids:
+            every, held = batch.column(0).to_numpy().astype(np.int64), []
+            for at, sizes, members in shingles(batch.column(1), size, least, split, known.value):
+                whose, first, rest = prefix(sizes, members, threshold, len(known.value) > 0)
+                held.append((every[at], _signatures(sizes, members), every[at][whose], sizes[whose], first, rest))
+            if not held:
                 continue
-            ids, lengths, key = np.array(ids, np.int64), np.array(lengths), np.concatenate(keys)
+            ids, signs, owner, n, key, rest = (np.concatenate(x) for x in zip(*held))
             order, base = np.argsort(key), int(ids.min())
             wide = int(ids.max()) - base >= 1 << 32
-            owner = (ids if wide else (ids - base).astype(np.uint32)).repeat(lengths[:, 1])[order]
-            n, rest = (np.minimum(x, 65535).astype(np.uint16)[order] for x in (lengths[:, 0].repeat(lengths[:, 1]), np.concatenate(rests)))
-            key = key[order]
-            part = (key >> np.uint64(52)).astype(np.int32)
+            owner = (owner if wide else (owner - base).astype(np.uint32))[order]
+            n, rest, key = *(np.minimum(x, 65535).astype(np.uint16)[order] for x in (n, rest)), key[order]
+            part = (key >> np.uint64(HASH - 12)).astype(np.int32)
             ends = np.flatnonzero(np.diff(part, append=-1)) + 1
             at = list(zip([0, *ends[:-1].tolist()], ends.tolist()))
-            low = (key >> np.uint64(20)).astype(np.uint32)
+            low = (key >> np.uint64(HASH - 44)).astype(np.uint32)
             cells = [pa.array([x[i:j].tobytes() for i, j in at], pa.binary()) for x in (low, owner, n, rest)]
             yield pa.RecordBatch.from_arrays([pa.array(part[ends - 1]), pa.array([base] * len(at), pa.int64()), *cells], ["part", "base", "keys", "owners", "sizes", "rests"])
-            sign = [pa.array([x], pa.binary()) for x in (b"".join(signs), ids.tobytes(), b"", b"")]
+            sign = [pa.array([x], pa.binary()) for x in (signs.tobytes(), ids.tobytes(), b"", b"")]
             yield pa.RecordBatch.from_arrays([pa.array([-1 - base % 4096], pa.int32()), pa.array([0], pa.int64()), *sign], ["part", "base", "keys", "owners", "sizes", "rests"])
 
     def met(held):
@@ -306,12 +353,11 @@ def _verify(pairs: DataFrame, sigs: DataFrame, docs: DataFrame, threshold: float
         wanted = F.broadcast(wanted)
 
     def sets(batch):
-        ids, out = [], []
-        for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            s = shingles(text, size, least, split)
-            if s is not None:
-                ids.append(i), out.append(s.tobytes())
-        return {"doc_id": ids, "set": out}
+        ids, out = batch.column(0).to_numpy(), {}
+        for at, sizes, members in shingles(batch.column(1), size, least, split):
+            ends = np.cumsum(sizes)
+            out |= {i: members[j:k].tobytes() for i, j, k in zip(ids[at].tolist(), (ends - sizes).tolist(), ends.tolist())}
+        return {"doc_id": list(out), "set": list(out.values())}
 
     held = work.keep(arrow_map(docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi"), sets, "doc_id long, set binary"), f"{name}-sets")
     count_a = near.groupBy("a").agg(F.count("*").alias("weight"))
@@ -377,7 +423,7 @@ def groups(docs: DataFrame, threshold: float = 0.8, size: int = SHINGLE, least:
 
     Input columns doc_id (unique) and text; others are ignored.  Texts that are null, empty or
     under ``least`` words take no part.  No pair of the threshold, which is above 0, is left out.
-    ``split`` gives the words of a text; of a text that is folded words already, ``str.split`` does.
+    ``split`` gives the words of a text; None stands for texts that are folded words already, with one space between.
     """
     work = work or Durable(docs.sparkSession)
     met = work.keep(buckets(docs, threshold, size, least, split, min(SMALL, block)), "members")

@@ -32,7 +32,7 @@ def p2_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every version but the first of its group; of copies only the first takes part."""
     work = Durable(spark)
-    got = p3_versions.groups(p1_copies.firsts(table(spark, sf_dir, "documents"), work), threshold=0.5, work=work, split=str.split)
+    got = p3_versions.groups(p1_copies.firsts(table(spark, sf_dir, "documents"), work), threshold=0.5, work=work, split=None)
     return got.select(F.col("root").alias("first_id"), F.col("id").alias("doc_id"))
 
 
