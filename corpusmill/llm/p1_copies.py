@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .common import Durable, arrow_map, digest, join_unique, words
-from .p3_versions import components
+from .p3_versions import SENT, components
 
 FIRST_BYTES = 4
 BUCKET_ROWS = 50_000
@@ -261,9 +261,10 @@ def repeated(docs: DataFrame, work: Durable | None = None, **limits) -> DataFram
 def firsts(docs: DataFrame, work: Durable) -> DataFrame:
     """(doc_id, text) of the first document of each class, the text as its folded words with a space between."""
     classes, canon = _classed(docs, work, {}, "doc_id", F.expr("substring(cast(canon as string), 2)").alias("text"))
-    # A written table, whose size decides whether it is sent to the texts or meets them by shuffle.
     again = work.keep(join_unique(canon.select("doc_id", "digest"), classes.where("copies > 1"), "digest", "weight").where("doc_id <> first_id").select("doc_id"), "again")
-    return canon.join(again, "doc_id", "left_anti").select("doc_id", "text")
+    if again.count() <= SENT:
+        return canon.join(F.broadcast(again), "doc_id", "left_anti").select("doc_id", "text")
+    return work.keep(canon.join(again, "doc_id", "left_anti").select("doc_id", "text"), "firsts")  # else each reader shuffles the texts
 
 
 def _classed(docs: DataFrame, work: Durable | None, limits: dict, *columns) -> tuple[DataFrame, DataFrame]:

@@ -29,8 +29,8 @@ from .common import Durable, arrow_map, join_unique, words
 
 SHINGLE = 5
 LEAST_WORDS = 40
-#: Cells of the table that tells frequent shingles (0: none is told), and cells of a row of it.
-FREQUENT = 1 << 24
+#: Cells of the table that tells frequent shingles, at most (0: none is told) and at least, and cells of a row of it.
+FREQUENT, FEW = 1 << 27, 1 << 20
 SLICE = 1 << 16
 #: Members of a bucket that is expanded into its pairs, and ids that are sent to every task, at most.
 SMALL, SENT = 32, 1 << 20
@@ -128,38 +128,57 @@ def _levels(counts: np.ndarray) -> np.ndarray:
     return np.where(counts < 16, counts, np.minimum(high, 255)).astype(np.uint8)
 
 
-def frequent(docs: DataFrame, size: int, least: int, split=words) -> np.ndarray:
-    """In how many texts shingles are, as levels in cells by the first bits of the shingle; none where ``FREQUENT`` is 0.
+def frequent(docs: DataFrame, size: int, least: int, split=words) -> tuple[int, list[tuple[int, bytes]]]:
+    """In how many texts shingles are, as levels in cells by the first bits of the shingle, packed; none where ``FREQUENT`` is 0.
 
     A cell holds all shingles that begin as it does, so a count can be too high and never too low.
+    There are about as many cells as shingles, or ``FREQUENT``.
     """
     if not FREQUENT:
-        return np.zeros(0, np.uint8)
-    bits = FREQUENT.bit_length() - 1
+        return 0, []
+    size_of = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    cells = min(FREQUENT, max(FEW, 1 << (size_of // 4).bit_length()))
+
+    def packed(held):
+        cell = np.sort(np.concatenate(held))
+        ends = np.searchsorted(cell, np.arange(0, cells + 1, SLICE)).tolist()
+        step = np.diff(cell % SLICE, prepend=np.int64(0))
+        rows = []
+        for at, i, j in zip(range(0, cells, SLICE), ends, ends[1:]):
+            if i < j:
+                step[i] = cell[i] - at
+                rows.append((at, j - i, pa.compress(step[i:j].astype(np.uint16).tobytes(), "zstd", asbytes=True)))
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.int32(), pa.binary()))], ["at", "n", "held"])
 
     def each(batches):
-        held = np.zeros(1 << bits, np.uint32)
+        held = []
         for batch in batches:
             for _, _, members in shingles(batch.column(0), size, least, split):
-                np.add.at(held, _cell(members, len(held)), np.uint32(1))
-        held = np.minimum(held, 65535).astype(np.uint16)
-        for at in range(0, len(held), SLICE):
-            if held[at : at + SLICE].any():
-                yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([pa.compress(held[at : at + SLICE].tobytes(), "zstd", asbytes=True)], pa.binary())], ["at", "held"])
+                held.append(_cell(members, cells))
+                if sum(map(len, held)) > 1 << 22:
+                    yield packed(held)
+                    held = []
+        if held:
+            yield packed(held)
 
     def add(batches):
         sums = {}
         for batch in batches:
-            for at, held in zip(*(c.to_pylist() for c in batch.columns)):
-                sums[at] = sums.get(at, 0) + np.frombuffer(pa.decompress(held, 2 * SLICE, "zstd", asbytes=True), np.uint16).astype(np.int64)
+            for at, n, held in zip(*(c.to_pylist() for c in batch.columns)):
+                step = np.frombuffer(pa.decompress(held, 2 * n, "zstd", asbytes=True), np.uint16)
+                np.add.at(sums.setdefault(at, np.zeros(SLICE, np.uint32)), np.cumsum(step, dtype=np.int64), np.uint32(1))
         for at, total in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([_levels(total).tobytes()], pa.binary())], ["at", "held"])
+            yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([pa.compress(_levels(total).tobytes(), "zstd", asbytes=True)], pa.binary())], ["at", "held"])
 
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select("text").mapInArrow(each, "at long, held binary").repartition(parts, "at").mapInArrow(add, "at long, held binary")
-    out = np.zeros(1 << bits, np.uint8)
-    for r in rows.collect():  # a byte a cell, whatever the data
-        out[r.at : r.at + SLICE] = np.frombuffer(r.held, np.uint8)
+    rows = docs.select("text").mapInArrow(each, "at long, n int, held binary").repartition(parts, "at").mapInArrow(add, "at long, held binary")
+    return cells, [(r.at, bytes(r.held)) for r in rows.collect()]  # a byte a cell at most, whatever the data
+
+
+def _table(cells: int, rows: list[tuple[int, bytes]]) -> np.ndarray:
+    out = np.zeros(cells, np.uint8)
+    for at, held in rows:
+        out[at : at + SLICE] = np.frombuffer(pa.decompress(held, SLICE, "zstd", asbytes=True), np.uint8)
     return out
 
 
@@ -198,7 +217,7 @@ def buckets(docs: DataFrame, threshold: float, size: int, least: int, split=word
     The keys of a batch are 44 bits of a shingle and cut by the first twelve; each part is one row.
     Sizes and rests are at most 65,535, which for longer sets leaves in more pairs and none out.
     """
-    known = docs.sparkSession.sparkContext.broadcast(frequent(docs, size, least, split))
+    told = docs.sparkSession.sparkContext.broadcast(frequent(docs, size, least, split))
     names = ["key", "a", "b", "rest", "sig"]
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
 
@@ -206,10 +225,11 @@ def buckets(docs: DataFrame, threshold: float, size: int, least: int, split=word
         return pa.RecordBatch.from_arrays([pa.array(columns[c], k) if c in columns else pa.nulls(n, k) for c, k in zip(names, kinds)], names)
 
     def cut(batches):
+        known = _table(*told.value)
         for batch in batches:
             every, held = batch.column(0).to_numpy().astype(np.int64), []
-            for at, sizes, members in shingles(batch.column(1), size, least, split, known.value):
-                whose, first, rest = prefix(sizes, members, threshold, len(known.value) > 0)
+            for at, sizes, members in shingles(batch.column(1), size, least, split, known):
+                whose, first, rest = prefix(sizes, members, threshold, len(known) > 0)
                 held.append((every[at], _signatures(sizes, members), every[at][whose], sizes[whose], first, rest))
             if not held:
                 continue
